@@ -80,7 +80,7 @@ def tagged_union(frames: Mapping[str, DataFrame], tag: str = "source") -> DataFr
     return out
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: str | int = 0, top_rows: int = 1_000_000) -> DataFrame:
+def sample_n(df: DataFrame, n: int, key: str, seed: str | int = 0, top_rows: int = 10_000) -> DataFrame:
     """At most ``n`` rows without replacement, in the random order given by the hashed key.
 
     Small samples are a bounded top-n per task. Larger ones find the key at rank ``n`` by radix selection and filter, so nothing is

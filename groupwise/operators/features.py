@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from .ranks import exact_quantiles
 
 MAX_CATEGORIES = 1_000
 
@@ -117,12 +118,10 @@ def magnitude_rescale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def quantile_cut(df: DataFrame, column: str, n: int, out: str | None = None, exact: bool = True) -> DataFrame:
     """Bin number 0..n-1 by right-closed quantile bins of the whole column; the minimum itself falls outside and gives NULL.
 
-    ``exact=True`` interpolates linearly between order statistics; ``exact=False`` uses the sketch, for columns whose distinct
-    values do not fit an executor (the exact aggregate keeps one counter per distinct value).
+    ``exact=True`` interpolates linearly between order statistics; ``exact=False`` uses the sketch, in a single pass.
     """
     probs = [i / n for i in range(n + 1)]
-    agg = F.percentile(column, F.array(*[F.lit(p) for p in probs])) if exact else F.percentile_approx(column, probs, 100_000)
-    edges = df.agg(agg).first()[0]
+    edges = exact_quantiles(df, column, probs) if exact else df.agg(F.percentile_approx(column, probs, 100_000)).first()[0]
     c = F.col(column)
     binned = F.when(c <= F.lit(edges[0]), F.lit(None).cast("int"))
     for i, edge in enumerate(edges[1:]):

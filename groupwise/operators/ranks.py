@@ -128,6 +128,25 @@ def prefix_sums(
     return out
 
 
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
+    """Quantiles with linear interpolation between order statistics, from counts per value and their running sum.
+
+    Only the order statistics asked for reach the driver, two per quantile.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    edges = quantile_edges(values, "v", max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = values.count()
+    if n == 0:
+        return []
+    at = [p * (n - 1) for p in probs]
+    wanted = sorted({r for x in at for r in (int(x) + 1, min(int(x) + 2, n))})
+    run = prefix_sums(counts, [], "v", ["c"], edges=edges)
+    ranks = F.filter(F.array(*[F.lit(r).cast("bigint") for r in wanted]), lambda r: (r <= F.col("cum_c")) & (r > F.col("cum_c") - F.col("c")))
+    value = {row[0]: row[1] for row in run.select(F.explode(ranks), "v").collect()}
+    return [value[int(x) + 1] + (value[min(int(x) + 2, n)] - value[int(x) + 1]) * (x - int(x)) for x in at]
+
+
 def dense_codes(distinct: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
     """``distinct`` (unique on ``cols``) plus its 0-based position in sort order.
 

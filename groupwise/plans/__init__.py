@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-MODULES = ("losses", "metrics", "calibration")
+MODULES = ("sources", "clean", "features", "groups", "losses", "metrics", "calibration", "dual", "trials", "learners", "streams")
 
 
 def load() -> tuple[dict, dict]:

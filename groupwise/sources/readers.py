@@ -24,14 +24,14 @@ def header_of(spark: SparkSession, path: str, sep: str = ",", encoding: str | No
     """Column names in the first line."""
     reader = spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
     if encoding:
-        reader = reader.option("encoding", _charset(spark, encoding))
+        reader = reader.option("encoding", allow_charset(spark, encoding))
     return reader.csv(path).columns
 
 
-def _charset(spark: SparkSession, encoding: str) -> str:
+def allow_charset(spark: SparkSession, encoding: str) -> str:
+    """JVM name of a charset; one outside Spark's default list is switched on for the session."""
     name = CHARSETS.get(encoding.lower().replace("-", "").replace("_", ""), encoding)
     if name.upper() not in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"):
-        # other charsets are only read in this mode
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return name
 
@@ -69,7 +69,7 @@ def read_table(
         .option("nanValue", "NaN")
     )
     if encoding:
-        reader = reader.option("encoding", _charset(spark, encoding))
+        reader = reader.option("encoding", allow_charset(spark, encoding))
     return reader.csv(path)
 
 
