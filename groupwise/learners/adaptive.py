@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import constraint_loss
-from .game import bounded_rows
+from .game import bounded_rows, cached_rows
 from .linear import LinearModel, LogisticLearner
 
 CLASS_PRIOR_FLOOR = 1e-3
@@ -97,8 +96,8 @@ class LogisticRiskOracle:
 
     def __post_init__(self):
         cols = [*dict.fromkeys([*self.features, self.y, self.g])]
-        self._rows = self.train.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-        self._held = self.valid.select(*cols).persist(StorageLevel.MEMORY_AND_DISK) if self.valid is not None else self._rows
+        self._rows = cached_rows(self.train.select(*cols))
+        self._held = cached_rows(self.valid.select(*cols)) if self.valid is not None else self._rows
         sizes = bounded_rows(self._rows.where(F.col(self.g).isNotNull()).groupBy(self.g).agg(F.count(F.lit(1)).alias("n")), "groups")
         sizes = sizes.sort_values(self.g)
         self.names = sizes[self.g].tolist()

@@ -1,8 +1,8 @@
 """Histogram gradient boosting with min-max group weights.
 
-Rows stay on the executors: they are binned once, cached, and every tree level is one Arrow pass that turns the rows of a task into
-``(node, feature, bin)`` sums. The shuffle carries those sums, so its size depends on nodes, features and bins and not on the row count.
-The driver receives one best split per open node and one loss per group.
+Rows stay on the executors: they are binned once, cached, and every tree level is one aggregation to ``(node, feature, bin)`` sums. The
+shuffle carries sums made by each task, so its size depends on nodes, features and bins and not on the row count. The driver receives
+one best split per open node and one loss per group.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,12 +35,12 @@ from ..functions.losses import (
 from ..functions.numeric import flag, ratio
 from ..operators.dual import DUAL_MODES, EarlyStop, dual_update
 from ..operators.ranks import dense_codes
-from ..session import settle
+from ..session import settle, spread
 from .game import bounded_rows
 
 MAX_BINS = 255
-HISTOGRAM_BYTES = 256 << 20
-HISTOGRAM = "node int, feature int, bin int, g double, h double, n bigint"
+HISTOGRAM_CELLS = 1 << 20
+MIN_GAIN = 1e-12
 
 
 # ---- trees -----------------------------------------------------------------------------------------------------------
@@ -55,6 +54,7 @@ class Node:
     hess: float
     rows: int
     depth: int
+    parent: int = -1
     gain: float | None = None
     feature: int = -1
     bin: int = -1
@@ -210,11 +210,12 @@ def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str = "g",
     found = df.agg(
         *[F.percentile_approx(F.col(f).cast("double"), probs, 10_000).alias(f) for f in features],
         *[F.min(F.col(f).cast("double")).alias(f"{f}\0low") for f in features],
+        F.count(F.lit(1)).alias("\0n"),
     ).first()
     edges = [sorted({v for v in (found[f] or []) if v > found[f"{f}\0low"]}) for f in features]
     codes = dense_codes(df.select(g).where(F.col(g).isNotNull()).distinct(), [g], "_g")
     names = bounded_rows(codes, "groups").sort_values("_g")[g].tolist()
-    rows = _bin(df, features, edges, y, _codes(df, g, names)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(_bin(df, features, edges, y, _codes(df, g, names)), found["\0n"]).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = bounded_rows(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n")), "groups").sort_values("_g")["n"].to_numpy(float)
     return Binned(rows, features, edges, names, sizes)
 
@@ -222,52 +223,25 @@ def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str = "g",
 # ---- histograms ------------------------------------------------------------------------------------------------------
 
 
-def _histograms(nodes: Sequence[int], features: Sequence[int], bins: int):
-    """Arrow task function: rows ``(_node, _grad, _hess, _b..)`` to partial sums per (node, feature, bin).
+def histograms(rows: DataFrame, bins: Sequence[str]) -> DataFrame:
+    """Gradient, Hessian and row sums per (node, feature, bin) of rows ``(_node, _grad, _hess, bins...)``.
 
-    Sums are kept for the whole task when they fit ``HISTOGRAM_BYTES``, and emitted per batch otherwise.
+    Every task sums its rows before the shuffle, so what moves depends on nodes, features and bins and not on the row count.
+    ``feature`` is the position in ``bins``.
     """
-    place = np.full(max(nodes) + 1, -1)
-    place[list(nodes)] = np.arange(len(nodes))
-    cells = len(nodes) * bins
-    hold = cells * len(features) * 24 <= HISTOGRAM_BYTES
-    feature_ids = list(features)
-    node_ids = np.array(nodes)
-
-    def emit(sums: dict[int, np.ndarray]):
-        for f, s in sums.items():
-            at = np.flatnonzero(s[2])
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(node_ids[at // bins], pa.int32()),
-                        pa.array(np.full(len(at), f), pa.int32()),
-                        pa.array(at % bins, pa.int32()),
-                        pa.array(s[0][at]),
-                        pa.array(s[1][at]),
-                        pa.array(s[2][at].astype(np.int64)),
-                    ],
-                    names=["node", "feature", "bin", "g", "h", "n"],
-                )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = place[batch.column("_node").to_numpy(zero_copy_only=False)] * bins
-            grad = batch.column("_grad").to_numpy(zero_copy_only=False)
-            hess = batch.column("_hess").to_numpy(zero_copy_only=False)
-            for f in feature_ids:
-                cell = at + batch.column(f"_b{f}").to_numpy(zero_copy_only=False)
-                part = np.stack(
-                    [np.bincount(cell, grad, cells), np.bincount(cell, hess, cells), np.bincount(cell, minlength=cells)]
-                )
-                total[f] = total[f] + part if f in total else part
-            if not hold:
-                yield from emit(total)
-                total = {}
-        yield from emit(total)
-
-    return run
+    cells = rows.select("_node", "_grad", "_hess", F.posexplode(F.array(*bins)).alias("feature", "bin"))
+    return cells.groupBy(F.col("_node").alias("node"), "feature", "bin").agg(
+        F.sum("_grad").alias("g"), F.sum("_hess").alias("h"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def dense_histograms(hist: DataFrame, nodes: Sequence[int], features: int, bins: int) -> dict[int, np.ndarray]:
+    """The histograms as one ``(sum, feature, bin)`` array per node. Callers check ``nodes * features * bins`` first."""
+    cells = hist.toPandas()
+    out = {i: np.zeros((3, features, bins)) for i in nodes}
+    for i, part in cells.groupby("node"):
+        out[i][:, part["feature"], part["bin"]] = part[["g", "h", "n"]].to_numpy(float).T
+    return out
 
 
 def _soft(g: Column, alpha: float) -> Column:
@@ -277,29 +251,64 @@ def _soft(g: Column, alpha: float) -> Column:
     return F.signum(g) * F.greatest(F.abs(g) - F.lit(alpha), F.lit(0.0))
 
 
-def best_splits(hist: DataFrame, p: "BoostParams") -> DataFrame:
-    """Per node: totals and the best split ``(gain, feature, bin)`` with the left sums; ties go to the lowest feature and bin.
+@dataclass(frozen=True)
+class Split:
+    """Totals of a node and its best split; ``gain`` is None when no split is allowed."""
+
+    total: tuple[float, float, int]
+    gain: float | None = None
+    feature: int = -1
+    bin: int = -1
+    left: tuple[float, float, int] = (0.0, 0.0, 0)
+
+
+def best_split(cells: np.ndarray, p: "BoostParams") -> Split:
+    """Best split of one node from its dense histogram; ties go to the lowest feature, then the lowest bin."""
+    total = cells[:, 0, :].sum(axis=1)
+    left = cells.cumsum(axis=2)
+    right = total[:, None, None] - left
+
+    def score(part: np.ndarray) -> np.ndarray:
+        g = np.sign(part[0]) * np.maximum(np.abs(part[0]) - p.reg_alpha, 0.0)
+        den = part[1] + p.reg_lambda
+        return np.divide(g * g, den, out=np.zeros_like(g), where=den > 0)
+
+    gain = 0.5 * (score(left) + score(right) - score(total))
+    allowed = (np.minimum(left[2], right[2]) >= max(p.min_child_samples, 1)) & (np.minimum(left[1], right[1]) >= p.min_child_weight)
+    gain = np.where(allowed & (gain > max(p.min_gain_to_split, MIN_GAIN)), gain, -np.inf)
+    f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
+    whole = (float(total[0]), float(total[1]), int(round(total[2])))
+    if not np.isfinite(gain[f, b]):
+        return Split(whole)
+    return Split(whole, float(gain[f, b]), int(f), int(b), (float(left[0, f, b]), float(left[1, f, b]), int(round(left[2, f, b]))))
+
+
+def best_splits(hist: DataFrame, p: "BoostParams") -> dict[int, Split]:
+    """:func:`best_split` of many nodes on the executors, for histograms too large to gather.
 
-    The windows run inside one (node, feature) and see at most one row per bin.
+    The windows run inside one (node, feature) and see at most one row per bin; one row per node reaches the driver.
     """
     key = Window.partitionBy("node", "feature")
     run = key.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = {f"{c}l": F.sum(c).over(run) for c in "ghn"} | {f"{c}t": F.sum(c).over(key) for c in "ghn"}
     t = hist.select("node", "feature", "bin", *[e.alias(k) for k, e in sums.items()])
     gr, hr, nr = (F.col(f"{c}t") - F.col(f"{c}l") for c in "ghn")
-    score = lambda g, h: ratio(_soft(g, p.reg_alpha) * _soft(g, p.reg_alpha), h + F.lit(p.reg_lambda))
+
+    def score(g: Column, h: Column) -> Column:
+        soft = _soft(g, p.reg_alpha)
+        return F.coalesce(ratio(soft * soft, F.when(h + p.reg_lambda > 0, h + p.reg_lambda)), F.lit(0.0))
+
     gain = 0.5 * (score(F.col("gl"), F.col("hl")) + score(gr, hr) - score(F.col("gt"), F.col("ht")))
-    fits = (
-        (F.col("nl") >= p.min_child_samples)
-        & (nr >= p.min_child_samples)
-        & (F.col("hl") >= p.min_child_weight)
-        & (hr >= p.min_child_weight)
-    )
+    allowed = (F.least(F.col("nl"), nr) >= max(p.min_child_samples, 1)) & (F.least(F.col("hl"), hr) >= p.min_child_weight)
     option = F.struct(gain.alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), "gl", "hl", "nl")
-    usable = fits & gain.isNotNull() & (gain > F.lit(max(p.min_gain_to_split, 1e-12)))
-    return t.groupBy("node").agg(
+    usable = allowed & (gain > F.lit(max(p.min_gain_to_split, MIN_GAIN)))
+    found = t.groupBy("node").agg(
         F.max(F.when(usable, option)).alias("best"), F.max_by(F.struct("gt", "ht", "nt"), -F.col("feature")).alias("total")
     )
+    out = {}
+    for node, best, total in found.collect():
+        out[node] = Split(tuple(total)) if best is None else Split(tuple(total), best[0], -best[1], -best[2], tuple(best)[3:])
+    return out
 
 
 # ---- fitting ---------------------------------------------------------------------------------------------------------
@@ -481,38 +490,52 @@ class _Booster:
         features = sorted(rng.sample(usable, count)) if count < len(usable) else usable
         if not features:
             return None
-        bins = max(len(binned.edges[f]) for f in features) + 2
         grad, hess = self._gradients(scale)
         rows = frame.select(grad.alias("_grad"), hess.alias("_hess"), *[f"_b{f}" for f in features])
         nodes: dict[int, Node] = {0: Node(0.0, 0.0, 0, 0)}
+        bins = max(len(binned.edges[f]) for f in features) + 2
+        store: dict[int, np.ndarray] = {}
         open_nodes = [0]
         while open_nodes:
-            self._measure(rows, nodes, open_nodes, features, bins)
+            self._measure(rows, nodes, open_nodes, features, bins, store)
             open_nodes = _next_open(nodes, p)
         chosen = _best_first(nodes, p.num_leaves)
         return _flatten(nodes, chosen, binned.edges, p) if chosen else None
 
-    def _measure(self, rows: DataFrame, nodes: dict[int, Node], wanted: list[int], features: list[int], bins: int) -> None:
-        route = _route_expr(nodes, 0)
-        picked = rows.withColumn("_node", route) if len(nodes) > 1 else rows.withColumn("_node", F.lit(0))
-        if len(nodes) > 1:
-            picked = picked.where(F.col("_node").isin(wanted))
-        partial = picked.mapInArrow(_histograms(sorted(wanted), features, bins), HISTOGRAM)
-        hist = partial.groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])
-        for row in best_splits(hist, self.p).collect():
-            node = nodes[row["node"]]
+    def _measure(self, rows: DataFrame, nodes: dict[int, Node], wanted: list[int], features: list[int], bins: int, store: dict) -> None:
+        """Histograms and best splits of the ``wanted`` nodes.
+
+        While all histograms of a tree fit ``HISTOGRAM_CELLS``, only the smaller child of each split is summed: its sibling is the
+        difference to the parent. Larger ones stay on the executors and every wanted node is summed.
+        """
+        names = [f"_b{f}" for f in features]
+        at = rows.withColumn("_node", _route_expr(nodes, 0))
+        if self.p.num_leaves * len(features) * bins > HISTOGRAM_CELLS:
+            found = best_splits(histograms(at.where(F.col("_node").isin(wanted)), names), self.p)
+        else:
+            pairs = [(i, nodes[i].left, nodes[i].right) for i in sorted({nodes[w].parent for w in wanted}) if i >= 0]
+            pairs = [(i, *sorted(lr, key=lambda c: nodes[c].rows)) for i, *lr in pairs]
+            summed = [low for _, low, _ in pairs] or [0]
+            part = at.where(F.col("_node").isin(summed)) if pairs else at
+            store.update(dense_histograms(histograms(part, names), summed, len(features), bins))
+            for i, low, high in pairs:
+                rest = store.pop(i) - store[low]
+                store[high] = np.where(rest[2] > 0.5, rest, 0.0)
+            found = {i: best_split(store[i], self.p) for i in wanted}
+        for i in wanted:
+            node, split = nodes[i], found.get(i)
             node.known = True
-            if row["node"] == 0:
-                node.grad, node.hess, node.rows = row["total"]["gt"], row["total"]["ht"], row["total"]["nt"]
-            best = row["best"]
-            if best is None or (self.p.max_depth > 0 and node.depth >= self.p.max_depth):
+            if split is None:
                 continue
-            node.gain, node.feature, node.bin = best["gain"], -best["f"], -best["b"]
+            if i == 0:
+                node.grad, node.hess, node.rows = split.total
+            if split.gain is None or 0 < self.p.max_depth <= node.depth:
+                continue
+            (gl, hl, nl) = split.left
+            node.gain, node.feature, node.bin = split.gain, features[split.feature], split.bin
             node.left, node.right = len(nodes), len(nodes) + 1
-            nodes[node.left] = Node(best["gl"], best["hl"], best["nl"], node.depth + 1)
-            nodes[node.right] = Node(node.grad - best["gl"], node.hess - best["hl"], node.rows - best["nl"], node.depth + 1)
-        for i in wanted:
-            nodes[i].known = True
+            nodes[node.left] = Node(gl, hl, nl, node.depth + 1, i)
+            nodes[node.right] = Node(node.grad - gl, node.hess - hl, node.rows - nl, node.depth + 1, i)
 
 
 def _best_first(nodes: dict[int, Node], num_leaves: int) -> list[int]:
@@ -546,10 +569,13 @@ def _next_open(nodes: dict[int, Node], p: BoostParams) -> list[int]:
 
 
 def _route_expr(nodes: dict[int, Node], i: int) -> Column:
-    node = nodes[i]
-    if node.left < 0:
-        return F.lit(i)
-    return F.when(F.col(f"_b{node.feature}") <= node.bin, _route_expr(nodes, node.left)).otherwise(_route_expr(nodes, node.right))
+    """Explored node a binned row falls into, as one nested CASE."""
+
+    def at(i: int) -> str:
+        n = nodes[i]
+        return str(i) if n.left < 0 else f"CASE WHEN _b{n.feature} <= {n.bin} THEN {at(n.left)} ELSE {at(n.right)} END"
+
+    return F.expr(at(i))
 
 
 def _flatten(nodes: dict[int, Node], chosen: list[int], edges: list[list[float]], p: BoostParams) -> Tree:
@@ -579,16 +605,15 @@ def _flatten(nodes: dict[int, Node], chosen: list[int], edges: list[list[float]]
 
 
 def _value_expr(tree: Tree, edges: list[list[float]]) -> Column:
-    """Leaf value of a tree on binned rows, as nested comparisons."""
+    """Leaf value of a tree on binned rows, as one nested CASE."""
 
-    def at(i: int) -> Column:
+    def at(i: int) -> str:
         f = tree.feature[i]
         if f < 0:
-            return F.lit(tree.value[i])
-        bin_id = edges[f].index(tree.threshold[i])
-        return F.when(F.col(f"_b{f}") <= bin_id, at(tree.left[i])).otherwise(at(tree.right[i]))
+            return f"{tree.value[i]!r}D"
+        return f"CASE WHEN _b{f} <= {edges[f].index(tree.threshold[i])} THEN {at(tree.left[i])} ELSE {at(tree.right[i])} END"
 
-    return at(0)
+    return F.expr(at(0))
 
 
 def _params(defaults: dict, given: dict) -> BoostParams:
@@ -632,6 +657,9 @@ __all__ = [
     "MinMaxBoostClassifier",
     "MinMaxBoostRegressor",
     "Tree",
+    "best_split",
     "best_splits",
+    "dense_histograms",
+    "histograms",
     "prepare",
 ]

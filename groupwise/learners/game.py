@@ -21,6 +21,7 @@ from ..operators.dual import GAME_MODES, game_update, step_size
 from ..operators.groups import group_sizes
 from ..operators.history import highest_gamma, trajectory
 from ..operators.metrics import group_logloss
+from ..session import spread
 from ..spec import require_columns
 from .linear import LinearLearner, LogisticLearner
 from .mixture import MixtureModel, mixture
@@ -34,6 +35,11 @@ def bounded_rows(df: DataFrame, what: str) -> pd.DataFrame:
     return pinned.frame.toPandas()
 
 
+def cached_rows(df: DataFrame) -> DataFrame:
+    """Training rows, cached for many passes and spread over the cores when they are few."""
+    return spread(df, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @dataclass
 class _GroupType:
     """Sizes, weights and multipliers of the groups of one column."""
@@ -108,7 +114,7 @@ class MinimaxGame:
             kinds = list(dict.fromkeys([*kinds, "0/1 Loss"]))
 
         columns = [*dict.fromkeys([*features, y, *groups])]
-        rows = require_columns(df, *columns).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = cached_rows(require_columns(df, *columns).select(*columns))
         held = valid.select(*columns).persist(StorageLevel.MEMORY_AND_DISK) if valid is not None else None
         try:
             return self._play(rows, held, list(features), y, list(groups), main, pop, kinds, mode)

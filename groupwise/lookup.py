@@ -27,9 +27,10 @@ class Pinned:
     small: bool
 
 
-def pin(dim: DataFrame, max_rows: int = LOOKUP_ROWS) -> Pinned:
-    """Evaluate ``dim`` once: local relation if it has at most ``max_rows`` rows, written table otherwise."""
+def pin(dim: DataFrame, max_rows: int | None = None) -> Pinned:
+    """Evaluate ``dim`` once: local relation if it has at most ``max_rows`` rows (default ``LOOKUP_ROWS``), written table otherwise."""
     spark = dim.sparkSession
+    max_rows = LOOKUP_ROWS if max_rows is None else max_rows
     head = dim.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
         return Pinned(spark.createDataFrame(head, schema=dim.schema), True)
@@ -41,7 +42,7 @@ def attach(
     dim: DataFrame | Pinned,
     on: Sequence[str],
     how: str = "inner",
-    max_rows: int = LOOKUP_ROWS,
+    max_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join the rows of ``df`` with the derived table ``dim`` (unique on ``on``) without shuffling a hot key into one task."""

@@ -102,7 +102,7 @@ def boost_round_group_loss(spark, sf):
     {r('sum(score - y)', 'grad')}, {r('sum(score * (1 - score))', 'hess')}, count(*) AS n FROM scored GROUP BY 1, 2""",
 )
 def boost_histogram(spark, sf):
-    """One histogram pass: gradient and Hessian sums per (node, bin) by the Arrow task function."""
+    """One histogram pass: gradient and Hessian sums per (node, bin) of all rows."""
     t = scored_orders(spark, sf)
     rows = t.select(
         F.when(F.col("o_totalprice") < 250000, 0).otherwise(1).alias("_node"),
@@ -110,10 +110,8 @@ def boost_histogram(spark, sf):
         (F.col("score") * (1 - F.col("score"))).alias("_hess"),
         (F.floor(F.col("c_acctbal") / 1000) + 1).cast("smallint").alias("_b0"),
     )
-    hist = rows.mapInArrow(B._histograms([0, 1], [0], 12), B.HISTOGRAM).groupBy("node", "bin").agg(
-        F.sum("g").alias("grad"), F.sum("h").alias("hess"), F.sum("n").alias("n")
-    )
-    return hist.select(big("node"), big("bin"), r6("grad"), r6("hess"), "n")
+    hist = B.histograms(rows, ["_b0"])
+    return hist.select(big("node"), big("bin"), r6("g", "grad"), r6("h", "hess"), "n")
 
 
 @query("boost_trials")

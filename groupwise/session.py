@@ -54,3 +54,18 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/groupwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ROWS_PER_TASK = 20_000
+ROWS_PER_CORE = 1_000_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Give a table that is small for the cluster one task per core, as it may come from a single file.
+
+    From ``ROWS_PER_CORE`` rows per core on, the partitioning of the scan is kept and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows >= ROWS_PER_CORE * cores:
+        return df
+    return df.repartition(max(1, min(cores, -(-rows // ROWS_PER_TASK))))
