@@ -197,8 +197,9 @@ def _bin(df: DataFrame, features: Sequence[str], edges: list[list[float]], y: st
             outputCols=[f"_o{i}" for i in cut],
             handleInvalid="keep",
         ).transform(base)
-    made = {i: F.col(f"_o{i}").cast("smallint") if i in cut else F.lit(0).cast("smallint") for i in range(len(features))}
-    return base.select("_y", "_g", *[e.alias(f"_b{i}") for i, e in made.items()])
+    # missing values share the bin after the last one
+    made = [F.coalesce(F.col(f"_o{i}"), F.lit(len(edges[i]) + 1)) if i in cut else F.lit(0) for i in range(len(features))]
+    return base.select("_y", "_g", *[e.cast("smallint").alias(f"_b{i}") for i, e in enumerate(made)])
 
 
 def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str = "g", max_bins: int = MAX_BINS) -> Binned:
@@ -598,12 +599,17 @@ def _flatten(nodes: dict[int, Node], chosen: list[int], edges: list[list[float]]
     for i in order:
         n = nodes[i]
         if i in split:
-            rows.append((n.feature, float(edges[n.feature][n.bin]), at[n.left], at[n.right], 0.0))
+            rows.append((n.feature, _threshold(edges[n.feature], n.bin), at[n.left], at[n.right], 0.0))
         else:
             rows.append((-1, float("nan"), -1, -1, value(n)))
     return Tree(*[tuple(c) for c in zip(*rows)])
 
 
+def _threshold(edges: list[float], bin_id: int) -> float:
+    """Upper edge of a bin; infinite for the last one, after which only missing values follow."""
+    return float(edges[bin_id]) if bin_id < len(edges) else float("inf")
+
+
 def _value_expr(tree: Tree, edges: list[list[float]]) -> Column:
     """Leaf value of a tree on binned rows, as one nested CASE."""
 
@@ -611,7 +617,8 @@ def _value_expr(tree: Tree, edges: list[list[float]]) -> Column:
         f = tree.feature[i]
         if f < 0:
             return f"{tree.value[i]!r}D"
-        return f"CASE WHEN _b{f} <= {edges[f].index(tree.threshold[i])} THEN {at(tree.left[i])} ELSE {at(tree.right[i])} END"
+        last = len(edges[f]) if tree.threshold[i] == float("inf") else edges[f].index(tree.threshold[i])
+        return f"CASE WHEN _b{f} <= {last} THEN {at(tree.left[i])} ELSE {at(tree.right[i])} END"
 
     return F.expr(at(0))
 

@@ -18,6 +18,7 @@ from .ranks import prefix_sums
 
 DUAL_MODES = ("optim", "gradient", "gradient_norm", "gradient_norm2")
 GAME_MODES = ("minimax", "relaxed", "equal")
+TIE = 1e-12
 
 
 # ---- group vectors on the driver -------------------------------------------------------------------------------------
@@ -33,7 +34,7 @@ def simplex(v: np.ndarray, z: float = 1.0) -> np.ndarray:
 def dual_update(mu: np.ndarray, loss: np.ndarray, lam: float, eta: float, mode: str, scale_step_by_lambda: bool = True) -> np.ndarray:
     """Next group weights of the booster.
 
-    ``optim`` puts the mass ``lam`` on the worst group (lowest id on ties); ``gradient`` climbs without projection; ``gradient_norm``
+    ``optim`` puts the mass ``lam`` on the worst group (lowest id on ties, which allow for rounding in the sums); ``gradient`` climbs without projection; ``gradient_norm``
     projects the climb back; ``gradient_norm2`` shifts and rescales instead. Groups without a loss (no row under the constraint) do not
     move. The regressor leaves ``lam`` out of the step and, in ``gradient_norm2``, the shift.
     """
@@ -42,7 +43,7 @@ def dual_update(mu: np.ndarray, loss: np.ndarray, lam: float, eta: float, mode:
     known = np.where(np.isnan(loss), -np.inf, loss)
     if mode == "optim":
         out = np.zeros_like(mu)
-        out[int(np.argmax(known))] = lam
+        out[int(np.argmax(known >= known.max() - TIE * abs(known.max())))] = lam
         return out
     step = eta * (lam if scale_step_by_lambda else 1.0)
     if mode == "gradient":
