@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import col, let
 
 CE_FLOOR = 1e-20
 
@@ -20,19 +20,26 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def scaled(v: Column) -> Column:
+    """The vector divided by its sum."""
+    return let(v, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
+
+
 def softmax(logits: Column | str) -> Column:
-    logits = col(logits)
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = let(col(logits), lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))))
+    return scaled(shifted)
+
+
+def log_sum_exp(logits: Column | str) -> Column:
+    z = col(logits)
+    return let(F.array_max(z), lambda top: top + F.log(total(F.transform(z, lambda x: F.exp(x - top)))))
 
 
 def vector_loss(onehot: Column | str, logits: Column | str, kind: str, reduction: str = "mean") -> Column:
     """Cross-entropy (``ce``), total variation (``l1``) or Brier loss of softmax(logits) against a one-hot target."""
     onehot, logits = col(onehot), col(logits)
-    top = F.array_max(logits)
     if kind == "ce":
-        lse = top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
-        parts = F.zip_with(onehot, logits, lambda t, x: t.cast("double") * (lse - x))
+        parts = let(log_sum_exp(logits), lambda lse: F.zip_with(onehot, logits, lambda t, x: t.cast("double") * (lse - x)))
     elif kind == "l1":
         parts = F.zip_with(onehot, softmax(logits), lambda t, x: F.abs(x - t))
     elif kind == "brier":
@@ -46,11 +53,8 @@ def vector_loss(onehot: Column | str, logits: Column | str, kind: str, reduction
 
 def entropy(p: Column | str) -> Column:
     """Entropy in nats of a non-negative vector after scaling it to sum 1; ``0 ln 0`` is 0."""
-    p = col(p)
-    mass = total(p)
-    return F.aggregate(
-        p, F.lit(0.0), lambda a, x: a + F.when(x > 0, -(x / mass) * F.log(x / mass)).otherwise(F.lit(0.0))
-    )
+    parts = F.transform(scaled(col(p)), lambda x: F.when(x > 0, -x * F.log(x)).otherwise(F.lit(0.0)))
+    return total(parts)
 
 
 def argmax(v: Column | str) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,15 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class Pinned:
-    """A derived table evaluated once. ``small`` tells whether it passed the row bound."""
+    """A derived table evaluated once. ``small`` tells whether it passed the row bound; ``rows`` then holds it on the driver."""
 
     frame: DataFrame
     small: bool
+    rows: pa.Table | None = None
+
+    def derived(self, frame: DataFrame) -> "Pinned":
+        """A table made from this one that has no more rows."""
+        return Pinned(frame, self.small)
 
 
 def pin(dim: DataFrame, max_rows: int | None = None) -> Pinned:
@@ -33,7 +39,7 @@ def pin(dim: DataFrame, max_rows: int | None = None) -> Pinned:
     max_rows = LOOKUP_ROWS if max_rows is None else max_rows
     head = dim.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        return Pinned(spark.createDataFrame(head, schema=dim.schema), True)
+        return Pinned(spark.createDataFrame(head, schema=dim.schema), True, head)
     return Pinned(settle(dim), False)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import flag, ratio
-from ..functions.vectors import argmax, brier, cross_entropy, entropy
+from ..functions.vectors import argmax, brier, cross_entropy, entropy, scaled
 from ..lookup import attach
 
 
@@ -70,9 +70,7 @@ def group_report(pred: DataFrame, g: str = "g", y: str = "y", p: str = "p", bins
 
     Probabilities are rescaled to sum 1 for the calibration part. The share divides by all rows.
     """
-    scaled = F.transform(F.col(p), lambda x: F.greatest(x, F.lit(0.0)))
-    mass = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)
-    normal = pred.withColumn("_p", F.transform(scaled, lambda x: x / mass))
+    normal = pred.withColumn("_p", scaled(F.transform(F.col(p), lambda x: F.greatest(x, F.lit(0.0)))))
     m = vector_metrics(pred, [g], y, p).withColumn("_k", F.lit(1))
     total = m.groupBy("_k").agg(F.sum("n").alias("total"))
     out = m.join(total, "_k").select(

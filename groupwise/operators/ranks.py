@@ -33,21 +33,23 @@ def rank_cuts(df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame, sort_
     """
     by = list(by)
     rows = df.select(*by, key)
-    state = pin(cuts.select(*by, "cut", F.col("k").cast("bigint").alias("k"), F.lit("").alias("prefix"), F.lit(0).alias("depth"))).frame
+    start = cuts.select(*by, "cut", F.col("k").cast("bigint").alias("k"), F.lit("").alias("prefix"))
+    state = pin(start)
     done = []
     for depth in range(DIGITS, KEY_DIGITS + 1, DIGITS):
-        open_cuts = state.where(F.col("k") > 0).select(*by, "cut", "k", "prefix")
-        done.append(state.where(F.col("k") <= 0).select(*by, "cut", F.lit("").alias("at")))
+        open_cuts = state.frame.where(F.col("k") > 0).select(*by, "cut", "k", "prefix")
+        done.append(state.frame.where(F.col("k") <= 0).select(*by, "cut", F.lit("").alias("at")))
         counted = rows.withColumn("prefix", F.substring(key, 1, depth - DIGITS))
         if depth > DIGITS:
-            counted = attach(counted, open_cuts.select(*by, "prefix").distinct(), [*by, "prefix"])
+            counted = attach(counted, state.derived(open_cuts.select(*by, "prefix").distinct()), [*by, "prefix"])
         counts = counted.groupBy(*by, "prefix", F.substring(key, depth - DIGITS + 1, DIGITS).alias("digit")).agg(
             F.count(F.lit(1)).alias("n")
         )
         w = Window.partitionBy(*by, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("upto", F.sum("n").over(w))
+        asked = open_cuts.groupBy(*by, "prefix").agg(F.collect_list(F.struct("cut", "k")).alias("cuts"))
         hit = (
-            attach(counts, open_cuts.groupBy(*by, "prefix").agg(F.collect_list(F.struct("cut", "k")).alias("cuts")), [*by, "prefix"])
+            attach(counts, state.derived(asked), [*by, "prefix"])
             .withColumn("c", F.explode("cuts"))
             .where((F.col("c.k") > F.col("upto") - F.col("n")) & (F.col("c.k") <= F.col("upto")))
             .select(
@@ -58,20 +60,21 @@ def rank_cuts(df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame, sort_
                 "n",
             )
         )
-        pinned = pin(hit)
-        beyond = open_cuts.join(pinned.frame.select(*by, "cut"), [*by, "cut"], "left_anti")
+        state = pin(hit)
+        beyond = open_cuts.join(state.frame.select(*by, "cut"), [*by, "cut"], "left_anti")
         done.append(beyond.select(*by, "cut", F.lit("~").alias("at")))
-        state = pinned.frame
-        largest = state.agg(F.max("n")).first()[0] or 0
+        if state.small:
+            largest = max(state.rows["n"].to_pylist(), default=0)
+        else:
+            largest = state.frame.agg(F.max("n")).first()[0]
         if largest <= sort_rows or depth >= KEY_DIGITS:
             break
-    buckets = state.select(*by, "prefix").distinct()
-    near = attach(rows.withColumn("prefix", F.substring(key, 1, depth)), buckets, [*by, "prefix"])
+    buckets = state.frame.select(*by, "prefix").distinct()
+    near = attach(rows.withColumn("prefix", F.substring(key, 1, depth)), state.derived(buckets), [*by, "prefix"])
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy(*by, "prefix").orderBy(key)).cast("bigint"))
-    found = attach(ranked, state.select(*by, "prefix", "k").distinct(), [*by, "prefix", "k"]).select(
-        *by, "prefix", "k", F.col(key).alias("at")
-    )
-    last = state.join(found, [*by, "prefix", "k"]).select(*by, "cut", "at")
+    asked = state.frame.select(*by, "prefix", "k").distinct()
+    found = attach(ranked, state.derived(asked), [*by, "prefix", "k"]).select(*by, "prefix", "k", F.col(key).alias("at"))
+    last = state.frame.join(found, [*by, "prefix", "k"]).select(*by, "cut", "at")
     return reduce(DataFrame.unionByName, [last, *done])
 
 

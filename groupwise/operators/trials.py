@@ -93,6 +93,21 @@ LARGE_SPACES: dict[str, Space] = SPACES | {
 }
 
 
+def number_rows(df: DataFrame, count: Column, out: str, block: int = 10_000) -> DataFrame:
+    """Every row ``count`` times, numbered from 0 in ``out``.
+
+    Rows fan out to blocks first and the blocks are spread over all tasks, so a single large count is not one task's work. The number
+    of tasks is given explicitly, because sizes seen before the second fan-out say nothing about the work after it.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = df.withColumn("_n_", count.cast("bigint"))
+    blocks = n.where(F.col("_n_") > 0).withColumn("_b_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n_") - 1) / block))))
+    blocks = blocks.repartition(tasks, F.xxhash64(*[c for c in blocks.columns if c != "_n_"]))
+    low = F.col("_b_") * F.lit(block)
+    high = F.least(low + F.lit(block), F.col("_n_")) - 1
+    return blocks.withColumn(out, F.explode(F.sequence(low, high))).drop("_n_", "_b_")
+
+
 def sample_params(trials: DataFrame, space: Space, seed: str | int = 0, number: str = "number") -> DataFrame:
     """Add one random value per parameter to every trial; the draw depends on seed, parameter name and trial number only."""
     return trials.withColumns({name: p.draw(unit(f"{seed}|{name}", number)) for name, p in space.items()})
@@ -105,8 +120,7 @@ def run_table(datasets: DataFrame, variants: Mapping[str, str], n_params: str =
     dataset by its own ``n_params``; the space depends on the family and the size class.
     """
     models = F.array(*[F.struct(F.lit(v).alias("model_name"), F.lit(f).alias("family")) for v, f in variants.items()])
-    runs = datasets.select("dataset", n_params, large, F.inline(models)).repartition("dataset", "model_name")
-    runs = runs.withColumn("number", F.explode(F.sequence(F.lit(0), F.col(n_params).cast("int") - 1)))
+    runs = number_rows(datasets.select("dataset", n_params, large, F.inline(models)), F.col(n_params), "number")
     params: Column | None = None
     for family in sorted(set(variants.values())):
         for is_large, spaces in ((False, SPACES), (True, LARGE_SPACES)):
@@ -152,7 +166,7 @@ def select_models(
 
     For each key, alpha and repetition: draw ``n`` validation rows with replacement, take the best ``alpha * fair + (1 - alpha) * perf``
     (lowest model number on ties) and report that model's test metrics. Draws are hashed row positions, generated by all tasks
-    and reduced to the best draw before any shuffle.
+    and reduced to the best draw of each task before they move.
     """
     keys = list(keys)
     order = Window.partitionBy(*keys).orderBy(number)
@@ -160,10 +174,16 @@ def select_models(
         "_i", (F.row_number().over(order) - 1).cast("bigint")
     )
     sizes = models.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    grid = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*keys, "rep")
-    grid = grid.select("*", F.posexplode(F.array(*[F.lit(float(a)) for a in alphas])).alias("_a", "alpha"))
-    draws = grid.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("_i", F.pmod(hash_int(seed, *keys, "_a", "rep", "draw"), F.col("_n")))
+    draws = number_rows(sizes, F.lit(len(alphas) * reps * n), "_d")
+    table = F.array(*[F.lit(float(a)) for a in alphas])
+    draws = draws.withColumn("_a", F.floor(F.col("_d") / (reps * n)).cast("int")).withColumns(
+        {
+            "alpha": F.get(table, F.col("_a")),
+            "rep": (F.floor(F.col("_d") / n) % reps).cast("int"),
+            "draw": (F.col("_d") % n).cast("int"),
+        }
+    )
+    draws = draws.drop("_d").withColumn("_i", F.pmod(hash_int(seed, *keys, "_a", "rep", "draw"), F.col("_n")))
     scored = attach(draws, models, [*keys, "_i"]).withColumn("_s", F.col("alpha") * F.col("_f") + (1 - F.col("alpha")) * F.col("_p"))
     sign = 1.0 if maximize else -1.0
     best = scored.groupBy(*keys, "alpha", "rep").agg(F.max(F.struct(F.lit(sign) * F.col("_s"), -F.col(number)))["col2"].alias("_b"))
