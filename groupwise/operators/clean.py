@@ -89,6 +89,6 @@ def sample_n(df: DataFrame, n: int, key: str, seed: str | int = 0, top_rows: int
     hashed = df.withColumn("_h", hash_key(seed, key))
     if n <= top_rows:
         return hashed.orderBy("_h").limit(n).drop("_h")
-    cuts = df.sparkSession.createDataFrame([(0, "n", n)], "one int, cut string, k long")
-    at = rank_cuts(hashed.withColumn("one", F.lit(0)), ["one"], "_h", cuts).first()["at"]
+    at = rank_cuts(hashed.withColumn("one", F.lit(0)), ["one"], "_h", lambda s: s.select("one", F.lit("n").alias("cut"), F.lit(n).alias("k")))
+    at = at.first()["at"]
     return hashed.where(F.col("_h") <= F.lit(at)).drop("_h")

@@ -169,7 +169,7 @@ def roc_auc(sf: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "s
     """Area under the ROC curve, ties counted half; NULL when a class is missing."""
     c = _curve(sf, by, y, score, False, buckets)
     won = F.sum(F.col("p").cast("double") * ((F.col("cum_q") - F.col("q")).cast("double") + F.col("q") / F.lit(2.0)))
-    t = c.groupBy(*by).agg(won.alias("_w"), F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    t = c.groupBy(*by).agg(won.alias("_w"), F.max("cum_p").alias("_p"), F.max("all_q").alias("_q"))
     return t.select(*by, ratio("_w", F.col("_p").cast("double") * F.col("_q")).alias("roc_auc"))
 
 
@@ -180,14 +180,9 @@ def ks_threshold(sf: DataFrame, by: Sequence[str] = (), y: str = "y", score: str
     integers (``tp * N - fp * P``), so ties are exact.
     """
     c = _curve(sf, by, y, score, True, buckets)
-    sizes = _score_table(sf, by, y, score).groupBy(*by).agg(F.sum("p").alias("_P"), F.sum("q").alias("_N"))
-    if by:
-        c = attach(c, sizes, by)
-    else:
-        c = attach(c.withColumn("_k", F.lit(1)), sizes.withColumn("_k", F.lit(1)), ["_k"])
     wide = lambda name: F.col(name).cast("decimal(19,0)")
-    c = c.withColumn("_d", wide("cum_p") * wide("_N") - wide("cum_q") * wide("_P"))
-    best = c.groupBy(*by).agg(F.max(F.struct("_d", score)).alias("_b"), F.max("_P").alias("_P"), F.max("_N").alias("_N"))
+    c = c.withColumn("_d", wide("cum_p") * wide("all_q") - wide("cum_q") * wide("all_p"))
+    best = c.groupBy(*by).agg(F.max(F.struct("_d", score)).alias("_b"), F.max("all_p").alias("_P"), F.max("all_q").alias("_N"))
     return best.select(
         *by,
         F.when(F.col("_b._d") > 0, F.col(f"_b.{score}")).otherwise(F.lit(float("inf"))).alias("threshold"),

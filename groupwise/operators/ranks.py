@@ -10,7 +10,7 @@ Two tools carry the splits, ROC curves and simplex projections:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,27 +24,31 @@ DIGITS = 2
 KEY_DIGITS = 32
 
 
-def rank_cuts(df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
+def rank_cuts(
+    df: DataFrame, by: Sequence[str], key: str, cuts: Callable[[DataFrame], DataFrame], sort_rows: int = SORT_ROWS
+) -> DataFrame:
     """Key value at rank ``k`` of each stratum.
 
-    ``cuts`` holds ``(*by, cut, k)``, ranks counted from 1; ``key`` is a fixed-length hex text column. Returns ``(*by, cut, at)``:
-    exactly ``k`` rows of the stratum have ``key <= at`` as long as keys are distinct. Cuts with ``k = 0`` give an empty text, which
-    is below every key. A rank above the stratum size gives ``'~'``, which is above every key.
+    ``cuts`` turns the stratum sizes ``(*by, n)`` into ``(*by, cut, k)``, ranks counted from 1; the sizes come from the first digit count,
+    so they cost no pass of their own. ``key`` is a fixed-length hex text column. Returns ``(*by, cut, at)``: exactly ``k`` rows of the
+    stratum have ``key <= at`` as long as keys are distinct. Cuts with ``k = 0`` give an empty text, which is below every key. A rank
+    above the stratum size gives ``'~'``, which is above every key.
     """
     by = list(by)
     rows = df.select(*by, key)
-    start = cuts.select(*by, "cut", F.col("k").cast("bigint").alias("k"), F.lit("").alias("prefix"))
-    state = pin(start)
+    first = pin(_digit_counts(rows.withColumn("prefix", F.lit("")), by, key, 0))
+    sizes = first.frame.groupBy(*by).agg(F.sum("n").alias("n"))
+    state = pin(cuts(sizes).select(*by, "cut", F.col("k").cast("bigint").alias("k"), F.lit("").alias("prefix")))
     done = []
     for depth in range(DIGITS, KEY_DIGITS + 1, DIGITS):
         open_cuts = state.frame.where(F.col("k") > 0).select(*by, "cut", "k", "prefix")
         done.append(state.frame.where(F.col("k") <= 0).select(*by, "cut", F.lit("").alias("at")))
-        counted = rows.withColumn("prefix", F.substring(key, 1, depth - DIGITS))
-        if depth > DIGITS:
-            counted = attach(counted, state.derived(open_cuts.select(*by, "prefix").distinct()), [*by, "prefix"])
-        counts = counted.groupBy(*by, "prefix", F.substring(key, depth - DIGITS + 1, DIGITS).alias("digit")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
+        if depth == DIGITS:
+            counts = first.frame
+        else:
+            near = rows.withColumn("prefix", F.substring(key, 1, depth - DIGITS))
+            near = attach(near, state.derived(open_cuts.select(*by, "prefix").distinct()), [*by, "prefix"])
+            counts = _digit_counts(near, by, key, depth - DIGITS)
         w = Window.partitionBy(*by, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("upto", F.sum("n").over(w))
         asked = open_cuts.groupBy(*by, "prefix").agg(F.collect_list(F.struct("cut", "k")).alias("cuts"))
@@ -78,6 +82,12 @@ def rank_cuts(df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame, sort_
     return reduce(DataFrame.unionByName, [last, *done])
 
 
+def _digit_counts(rows: DataFrame, by: Sequence[str], key: str, depth: int) -> DataFrame:
+    """Rows per stratum, prefix and the next digits: at most 256 counts per open prefix."""
+    digit = F.substring(key, depth + 1, DIGITS).alias("digit")
+    return rows.groupBy(*by, "prefix", digit).agg(F.count(F.lit(1)).alias("n"))
+
+
 def quantile_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
     """At most ``buckets - 1`` distinct inner edges that cut the rows into parts of similar size (sketch, one pass)."""
     if buckets < 2:
@@ -109,10 +119,12 @@ def prefix_sums(
     buckets: int | None = None,
     edges: Sequence[float] | None = None,
 ) -> DataFrame:
-    """``table`` plus ``cum_<s>`` (inclusive running sum along ``order`` within ``by``) for every column in ``sums``.
+    """``table`` plus ``cum_<s>`` (inclusive running sum along ``order`` within ``by``) and ``all_<s>`` (the sum of the key) for every
+    column in ``sums``.
 
     ``table`` must have one row per ``(*by, order)``. The running sum of a bucket starts from the totals of the buckets before it;
-    those totals are at most ``buckets`` rows per key.
+    those totals are at most ``buckets`` rows per key. Use every ``cum_`` column asked for: then both sides of the join read the
+    same columns, and an aggregation behind ``table`` runs once and is shuffled once.
     """
     by = list(by)
     if edges is None:
@@ -123,12 +135,18 @@ def prefix_sums(
     totals = cut.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     bucket_order = F.col("_b").desc() if descending else F.col("_b").asc()
     before = Window.partitionBy(*by, F.lit(0)).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    whole = Window.partitionBy(*by, F.lit(0))
+    offsets = totals.select(
+        *by,
+        "_b",
+        *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *[F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums],
+    )
     row_order = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*by, "_b").orderBy(row_order).rowsBetween(Window.unboundedPreceding, 0)
     joined = cut.join(offsets, [*by, "_b"])
-    out = joined.select(*table.columns, *[(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
-    return out
+    runs = [(F.sum(s).over(inside) + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums]
+    return joined.select(*table.columns, *runs, *[f"all_{s}" for s in sums])
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:

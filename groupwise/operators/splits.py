@@ -6,7 +6,7 @@ Rows are ordered by ``md5(seed|key)``; a split is a rank cut in that order insid
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,10 +35,11 @@ def allocate(counts: DataFrame, by: Sequence[str], label: str, n: str, take: str
     )
 
 
-def assign_by_cuts(df: DataFrame, by: Sequence[str], cuts: DataFrame, names: Sequence, out: str, values: Sequence | None = None) -> DataFrame:
+def assign_by_cuts(df: DataFrame, by: Sequence[str], cuts: Callable[[DataFrame], DataFrame], names: Sequence, out: str) -> DataFrame:
     """Label rows by the first cut whose threshold their hash does not exceed; the last name covers the rest.
 
-    ``cuts`` holds ``(*by, cut, k)`` with ``cut`` 0..len(names)-2 and cumulative ranks ``k``. ``df`` carries the hash column.
+    ``cuts`` turns stratum sizes ``(*by, n)`` into ``(*by, cut, k)`` with ``cut`` 0..len(names)-2 and cumulative ranks ``k``. ``df`` carries
+    the hash column. Two passes find the thresholds, the third labels the rows.
     """
     by = list(by)
     at = rank_cuts(df, by, HASH, cuts)
@@ -71,49 +72,51 @@ def split_by_group(
     without label strata (regression).
     """
     strata = [g, y] if y else [g]
-    counts = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy(g)
-    counts = counts.withColumn("_take", F.floor(F.sum("n").over(total) * F.lit(pct) / F.lit(100)).cast("bigint"))
-    if y:
-        counts = allocate(counts, [g], y, "n", "_take", "n_test")
-        counts = counts.withColumn("_rest", F.col("n") - F.col("n_test"))
-        counts = allocate(counts, [g], y, "_rest", "_take", "n_val")
-    else:
-        counts = counts.withColumns({"n_test": F.col("_take"), "n_val": F.col("_take")})
-    cuts = _long_cuts(counts, strata, [F.col("n_test"), F.col("n_test") + F.col("n_val")])
+
+    def cuts(sizes: DataFrame) -> DataFrame:
+        total = F.sum("n").over(Window.partitionBy(g))
+        counts = sizes.withColumn("_take", F.floor(total * F.lit(pct) / F.lit(100)).cast("bigint"))
+        if y:
+            counts = allocate(counts, [g], y, "n", "_take", "n_test")
+            counts = counts.withColumn("_rest", F.col("n") - F.col("n_test"))
+            counts = allocate(counts, [g], y, "_rest", "_take", "n_val")
+        else:
+            counts = counts.withColumns({"n_test": F.col("_take"), "n_val": F.col("_take")})
+        return _long_cuts(counts, strata, [F.col("n_test"), F.col("n_test") + F.col("n_val")])
+
     return assign_by_cuts(_hashed(df, key, seed), strata, cuts, ["test", "val", "train"], out).drop(HASH)
 
 
-def fold_cuts(df: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+def fold_cuts(sizes: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     """Cumulative fold sizes per stratum; the first ``n mod k`` folds hold one row more."""
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     small, extra = F.floor(F.col("n") / k), F.col("n") % k
-    return _long_cuts(n, by, [small * (i + 1) + F.least(F.lit(i + 1), extra) for i in range(k - 1)])
+    return _long_cuts(sizes, by, [small * (i + 1) + F.least(F.lit(i + 1), extra) for i in range(k - 1)])
 
 
 def assign_folds(df: DataFrame, key: str, k: int, stratify: str | None = "y", seed: str | int = "fold", out: str = "fold") -> DataFrame:
     """Fold number 0..k-1 of every row, label-stratified or plain."""
     base = _hashed(df.withColumn(ONE, F.lit(0)), key, seed)
     by = [stratify] if stratify else [ONE]
-    return assign_by_cuts(base, by, fold_cuts(base, by, k), list(range(k)), out).drop(HASH, ONE)
+    return assign_by_cuts(base, by, lambda sizes: fold_cuts(sizes, by, k), list(range(k)), out).drop(HASH, ONE)
 
 
 def _cut_first(df: DataFrame, key: str, by: str | None, size: Column, names: tuple[str, str], seed, out: str) -> DataFrame:
     """Two-way cut: the first ``size`` (an expression of the stratum size ``n``) rows of each stratum in hash order get ``names[0]``."""
     base = _hashed(df.withColumn(ONE, F.lit(0)), key, seed)
     strata = [by] if by else [ONE]
-    n = base.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
-    return assign_by_cuts(base, strata, _long_cuts(n, strata, [size]), list(names), out).drop(HASH, ONE)
+    return assign_by_cuts(base, strata, lambda sizes: _long_cuts(sizes, strata, [size]), list(names), out).drop(HASH, ONE)
 
 
 def _proportional_val(train: DataFrame, key: str, g: str, share: tuple[int, int], seed, out: str) -> DataFrame:
     """Group-stratified validation cut of ``ceil(n * a / b)`` rows in total, shared over groups by largest remainder."""
     a, b = share
-    counts = train.groupBy(g).agg(F.count(F.lit(1)).alias("n")).withColumn(ONE, F.lit(0))
-    w = Window.partitionBy(ONE)
-    counts = counts.withColumn("_take", F.ceil(F.sum("n").over(w) * F.lit(a) / F.lit(b)).cast("bigint"))
-    counts = allocate(counts, [ONE], g, "n", "_take", "n_val").drop(ONE)
-    cuts = _long_cuts(counts, [g], [F.col("n_val")])
+
+    def cuts(sizes: DataFrame) -> DataFrame:
+        counts = sizes.withColumn(ONE, F.lit(0))
+        total = F.sum("n").over(Window.partitionBy(ONE))
+        counts = counts.withColumn("_take", F.ceil(total * F.lit(a) / F.lit(b)).cast("bigint"))
+        return _long_cuts(allocate(counts, [ONE], g, "n", "_take", "n_val"), [g], [F.col("n_val")])
+
     return assign_by_cuts(_hashed(train, key, seed), [g], cuts, ["val", "train"], out).drop(HASH)
 
 
@@ -159,10 +162,9 @@ def ratio_split(
 ) -> DataFrame:
     """Cut the hash order at the cumulative percentages ``int(cum * n / 100)``."""
     base = _hashed(df.withColumn(ONE, F.lit(0)), key, seed)
-    n = base.groupBy(ONE).agg(F.count(F.lit(1)).alias("n"))
     cums = [sum(ratios[: i + 1]) for i in range(len(ratios) - 1)]
-    cuts = _long_cuts(n, [ONE], [F.floor(F.col("n") * F.lit(c) / F.lit(100)) for c in cums])
-    return assign_by_cuts(base, [ONE], cuts, list(names), out).drop(HASH, ONE)
+    ranks = [F.floor(F.col("n") * F.lit(c) / F.lit(100)) for c in cums]
+    return assign_by_cuts(base, [ONE], lambda sizes: _long_cuts(sizes, [ONE], ranks), list(names), out).drop(HASH, ONE)
 
 
 __all__ = [

@@ -24,7 +24,8 @@ def test_rank_cuts(spark, sort_rows):
     pdf = df.toPandas()
     groups = sorted(pdf["g"].unique())
     cuts = [(g, c, k) for g in groups for c, k in (("a", 1), ("b", 20), ("none", 0), ("all", 10_000))]
-    got = R.rank_cuts(df, ["g"], "h", spark.createDataFrame(cuts, "g string, cut string, k long"), sort_rows).collect()
+    table = spark.createDataFrame(cuts, "g string, cut string, k long")
+    got = R.rank_cuts(df, ["g"], "h", lambda sizes: table, sort_rows).collect()
     assert len(got) == len(cuts)
     at = {(r["g"], r["cut"]): r["at"] for r in got}
     for g in groups:
@@ -44,6 +45,7 @@ def test_prefix_sums(spark, descending, buckets):
     for _, part in got.groupby("g"):
         part = part.sort_values("v", ascending=not descending)
         assert (part["cum_c"] == part["c"].cumsum()).all()
+        assert (part["all_c"] == part["c"].sum()).all()
 
 
 def test_exact_quantiles(spark):
