@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import flag, ratio
 from ..functions.vectors import argmax, brier, cross_entropy, entropy, scaled
-from ..lookup import attach
+from ..lookup import pin
 
 
 def bin_edges(bins: int) -> list[float]:
@@ -68,13 +68,24 @@ def majority_accuracy(pred: DataFrame, by: Sequence[str] = ("g",), y: str = "y")
 def group_report(pred: DataFrame, g: str = "g", y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
     """Share, accuracy, Brier score, cross-entropy, entropy, calibration errors and majority-class accuracy per group.
 
-    Probabilities are rescaled to sum 1 for the calibration part. The share divides by all rows.
+    One aggregation over (group, class, confidence bin) serves all of them. Probabilities are rescaled to sum 1 for the calibration
+    part. The share divides by all rows.
     """
-    normal = pred.withColumn("_p", scaled(F.transform(F.col(p), lambda x: F.greatest(x, F.lit(0.0)))))
-    m = vector_metrics(pred, [g], y, p).withColumn("_k", F.lit(1))
-    total = m.groupBy("_k").agg(F.sum("n").alias("total"))
-    out = m.join(total, "_k").select(
-        g, ratio("n", "total").alias("ratio"), F.col("acc"), F.col("brier").alias("bs"), "ce", "entropy"
+    v = _scored(pred, y, p).withColumn("_q", F.array_max(scaled(F.transform(F.col(p), lambda x: F.greatest(x, F.lit(0.0))))))
+    cells = v.withColumn("_bin", confidence_bin(F.col("_q"), bins)).groupBy(g, F.col(y).alias("_y"), "_bin").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("_hit").alias("hit"),
+        F.sum("_q").alias("conf"),
+        F.sum(brier(y, p)).alias("bs"),
+        F.sum(cross_entropy(y, p)).alias("ce"),
+        F.sum(entropy(p)).alias("entropy"),
     )
-    out = attach(out, calibration_errors(normal, [g], bins, y, "_p"), [g])
-    return attach(out, majority_accuracy(pred, [g], y), [g])
+    cells = pin(cells).frame
+    total = cells.groupBy(F.lit(1).alias("_k")).agg(F.sum("n").alias("total"))
+    whole = cells.groupBy(g).agg(*[F.sum(c).alias(c) for c in ("n", "hit", "bs", "ce", "entropy")]).withColumn("_k", F.lit(1))
+    by_bin = cells.where(F.col("_bin").isNotNull()).groupBy(g, "_bin").agg(*[F.sum(c).alias(c) for c in ("n", "hit", "conf")])
+    gap = F.abs(ratio("conf", "n") - ratio("hit", "n"))
+    errors = by_bin.groupBy(g).agg(ratio(F.sum(gap * F.col("n")), F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+    by_class = cells.groupBy(g, "_y").agg(F.sum("n").alias("n")).groupBy(g).agg(ratio(F.max("n"), F.sum("n")).alias("acc_prior"))
+    rates = [ratio("hit", "n").alias("acc"), *[ratio(c, "n").alias(c) for c in ("bs", "ce", "entropy")]]
+    return whole.join(total, "_k").select(g, ratio("n", "total").alias("ratio"), *rates).join(errors, g, "left").join(by_class, g)

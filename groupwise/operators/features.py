@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..lookup import pin
 from .ranks import exact_quantiles
 
 MAX_CATEGORIES = 1_000
@@ -131,8 +132,8 @@ def quantile_cut(df: DataFrame, column: str, n: int, out: str | None = None, exa
 
 def priors(df: DataFrame, column: str) -> DataFrame:
     """``(column, prior)``: relative frequency of each value."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    counts = pin(df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))).frame
+    total = counts.agg(F.sum("n").alias("total"))
     keyed = counts.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k")
     return keyed.select(column, ratio("n", "total").alias("prior"))
 

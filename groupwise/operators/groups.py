@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import poisson
 from ..functions.numeric import ratio
 from ..functions.recode import argmax_name, bands, keep_listed
-from ..lookup import attach
+from ..lookup import attach, pin
 from .ranks import dense_codes
 
 
@@ -89,7 +89,8 @@ def group_sizes(df: DataFrame, by: Sequence[str] = ("g",), y: str = "y") -> Data
 
 
 def _with_total(sizes: DataFrame) -> DataFrame:
-    """Group sizes joined with the table total; both are aggregates, the total a single row."""
+    """Group sizes joined with the table total, which is one row. The sizes are evaluated once for both."""
+    sizes = pin(sizes).frame
     total = sizes.agg(F.sum("n").alias("total")).withColumn("_k", F.lit(1))
     return sizes.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..lookup import pin
 
 
 def _so_far(by: Sequence[str], order: str = "round"):
@@ -38,6 +39,7 @@ def mixture_pop_error(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def trajectory(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(round, pop_err, max_group_err)`` of the mixture after each round."""
+    history = pin(history).frame
     worst = group_errors(history, by).groupBy(*by, "round").agg(F.max("mix_err").alias("max_group_err"))
     pop = mixture_pop_error(history, by).select(*by, "round", F.col("mix_pop_err").alias("pop_err"))
     return pop.join(worst, [*by, "round"])

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.losses import constraint_loss, logloss
+from ..functions.losses import CONSTRAINTS, EVAL_EPS, constraint_loss, logloss
 from ..functions.numeric import flag, ratio
-from ..lookup import attach
+from ..lookup import attach, pin
 from .ranks import prefix_sums, quantile_edges
 
 COUNTS = ("n", "pos", "tp", "fp", "tn", "fn")
@@ -47,6 +47,11 @@ def group_stats(sf: DataFrame, by: Sequence[str] = ("g",), y: str = "y", pred: s
     return sf.groupBy(*by).agg(*stat_exprs(y, pred, score))
 
 
+def collect_stats(sf: DataFrame, by: Sequence[str] = ("g",), y: str = "y", pred: str | None = "pred", score: str | None = "score") -> DataFrame:
+    """Sufficient statistics evaluated once, for several results derived from them: the rows are read a single time."""
+    return pin(group_stats(sf, by, y, pred, score)).frame
+
+
 def merge_stats(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Statistics of coarser keys (overall with ``by=()``) from those of finer ones."""
     sums = [c for c in (*COUNTS, *SUMS) if c in stats.columns]
@@ -126,7 +131,19 @@ def group_level(stats: DataFrame, metrics: Sequence[str], groups: Sequence | Non
     return r.groupBy(*by).agg(*cells)
 
 
-def group_logloss(sf: DataFrame, kind: str, by: Sequence[str] = ("g",), y: str = "y", score: str = "score", eps: float = 1e-15) -> DataFrame:
+def group_loglosses(
+    sf: DataFrame, kinds: Sequence[str] = CONSTRAINTS, by: Sequence[str] = ("g",), y: str = "y", score: str = "score", eps: float = EVAL_EPS
+) -> DataFrame:
+    """Mean loss per group under several constraints, one row per ``(by, kind)``, from one aggregation.
+
+    Each constraint averages the rows it looks at; a group without such rows gives NULL.
+    """
+    means = sf.groupBy(*by).agg(*[F.avg(constraint_loss(y, score, k, eps)).alias(k) for k in kinds])
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("loss")) for k in kinds])
+    return means.select(*by, F.inline(pairs))
+
+
+def group_logloss(sf: DataFrame, kind: str, by: Sequence[str] = ("g",), y: str = "y", score: str = "score", eps: float = EVAL_EPS) -> DataFrame:
     """Mean constraint loss per group over the rows the constraint looks at."""
     return sf.groupBy(*by).agg(F.avg(constraint_loss(y, score, kind, eps)).alias("loss"))
 
@@ -135,20 +152,39 @@ def max_group_logloss(sf: DataFrame, kind: str, by: Sequence[str] = (), g: str =
     return group_logloss(sf, kind, [*by, g], **cols).groupBy(*by).agg(F.max("loss").alias("max_loss"))
 
 
+BUNDLE = ("min_acc", "min_bal_acc", "min_tpr", "min_pr", "max_logloss", "max_logloss_tpr", "eod", "spd", "eq_loss")
+
+
+def _bundle_exprs() -> list[Column]:
+    return [
+        F.min("_acc").alias("min_acc"),
+        F.min("_bal_acc").alias("min_bal_acc"),
+        F.min("_tpr").alias("min_tpr"),
+        F.min("_pr").alias("min_pr"),
+        F.max("_logloss").alias("max_logloss"),
+        F.max("_logloss_pos").alias("max_logloss_tpr"),
+        (F.max("_tpr") - F.min("_tpr")).alias("eod"),
+        (F.max("_pr") - F.min("_pr")).alias("spd"),
+        (F.max("_logloss") - F.min("_logloss")).alias("eq_loss"),
+    ]
+
+
+def overview(stats: DataFrame, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Performance and fairness bundle side by side, from one second-level aggregation of the group statistics.
+
+    ``carry`` names columns that are constant per key.
+    """
+    sums = [c for c in (*COUNTS, *SUMS) if c in stats.columns]
+    exprs = rate_exprs(stats)
+    grouped = stats.withColumns({f"_{m}": exprs[m] for m in ("acc", "bal_acc", "tpr", "pr", "logloss", "logloss_pos")})
+    t = grouped.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *_bundle_exprs(), *[F.max(c).alias(c) for c in carry])
+    whole = rate_exprs(t)
+    return t.select(*by, *carry, *[whole[m].alias(m) for m in ("bal_acc", "precision", "acc", "recall", "logloss")], *BUNDLE)
+
+
 def fairness_metrics(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The fairness bundle of a classifier: raw group minima, largest log-losses and unsigned group ranges."""
-    r = rates(stats, [*by, "g"], ["acc", "bal_acc", "tpr", "pr", "logloss", "logloss_pos"])
-    return r.groupBy(*by).agg(
-        F.min("acc").alias("min_acc"),
-        F.min("bal_acc").alias("min_bal_acc"),
-        F.min("tpr").alias("min_tpr"),
-        F.min("pr").alias("min_pr"),
-        F.max("logloss").alias("max_logloss"),
-        F.max("logloss_pos").alias("max_logloss_tpr"),
-        (F.max("tpr") - F.min("tpr")).alias("eod"),
-        (F.max("pr") - F.min("pr")).alias("spd"),
-        (F.max("logloss") - F.min("logloss")).alias("eq_loss"),
-    )
+    return overview(stats, by).select(*by, *BUNDLE)
 
 
 def _score_table(sf: DataFrame, by: Sequence[str], y: str, score: str) -> DataFrame:
@@ -190,20 +226,14 @@ def ks_threshold(sf: DataFrame, by: Sequence[str] = (), y: str = "y", score: str
     )
 
 
-def _fairness_scores(stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The six fairness scores as used by the scorers: differences as ranges, minima as ``1 - min``."""
-    f = fairness_metrics(stats, by)
-    minima = [(1 - F.col(m)).alias(m) for m in ("min_tpr", "min_pr", "min_bal_acc", "min_acc")]
-    return f.select(*by, "eod", "spd", *minima)
-
-
 def _perf_and_fair(sf: DataFrame, by: Sequence[str], perf: Sequence[str], fair: Sequence[str], y, pred, score) -> DataFrame:
-    stats = group_stats(sf, [*by, "g"], y, pred, score)
-    key = list(by) or ["_k"]
-    one = (lambda d: d) if by else (lambda d: d.withColumn("_k", F.lit(1)))
-    out = one(performance(stats, by)).join(one(_fairness_scores(stats, by)), key)
+    """Every pair of metrics. Differences enter as ranges, group minima as ``1 - min``."""
+    out = overview(group_stats(sf, [*by, "g"], y, pred, score), by)
+    out = out.withColumns({m: 1 - F.col(m) for m in FAIRNESS if m.startswith("min_")})
     if "roc_auc" in perf:
-        out = out.join(one(roc_auc(sf, by, y, score)), key)
+        key = list(by) or ["_k"]
+        auc = roc_auc(sf, by, y, score)
+        out = out.join(auc, key) if by else out.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), key)
     pairs = F.array(
         *[
             F.struct(F.lit(p).alias("perf_metric"), F.lit(f).alias("fair_metric"), F.col(p).alias("perf"), F.col(f).alias("fair"))
@@ -246,7 +276,7 @@ def regression_metrics(sf: DataFrame, by: Sequence[str] = (), y: str = "y", yhat
 
 def group_mse(sf: DataFrame, by: Sequence[str] = (), y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Mean squared error per group and the inverse share ``N / n_g``."""
-    t = regression_stats(sf, [*by, "g"], y, yhat)
+    t = pin(regression_stats(sf, [*by, "g"], y, yhat)).frame
     key = list(by) or ["_k"]
     t = t if by else t.withColumn("_k", F.lit(1))
     total = t.groupBy(*key).agg(F.sum("n").alias("total"))
@@ -275,8 +305,7 @@ def evaluate_models(
         sf = long_sf.withColumn("thresh", F.lit(float(thresholds)))
     sf = sf.withColumn("_pred", flag(F.col(score) > F.col("thresh")))
     stats = sf.groupBy(*by, "g").agg(*stat_exprs(y, "_pred", score), F.max("thresh").alias("thresh"))
-    out = performance(stats, by).join(fairness_metrics(stats, by), list(by))
-    out = out.join(stats.groupBy(*by).agg(F.max("thresh").alias("thresh")), list(by))
+    out = overview(stats, by, carry=["thresh"])
     return attach(out, durations, ["model"], how="left") if durations is not None else out
 
 
@@ -289,7 +318,8 @@ def running_mean(df: DataFrame, order: str, value: str, count: str, by: Sequence
 def weighted_group_loss(pred: DataFrame, mu: DataFrame, loss: str = "loss", correct: str = "correct", g: str = "g") -> DataFrame:
     """Per group: mean loss, accuracy, weight and the group's part ``mu * mean loss``; ``total`` is the weighted loss overall."""
     means = pred.groupBy(g).agg(F.avg(loss).alias("mean_loss"), F.avg(F.col(correct).cast("double")).alias("acc"))
-    t = attach(means, mu.select(g, "mu"), [g]).withColumn("part", F.col("mu") * F.col("mean_loss")).withColumn("_k", F.lit(1))
+    t = attach(pin(means).frame, mu.select(g, "mu"), [g])
+    t = t.withColumn("part", F.col("mu") * F.col("mean_loss")).withColumn("_k", F.lit(1))
     return t.join(t.groupBy("_k").agg(F.sum("part").alias("total")), "_k").drop("_k")
 
 

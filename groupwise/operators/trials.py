@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, unit
 from ..functions.numeric import ratio
-from ..lookup import attach
+from ..lookup import attach, pin
 from .clean import tagged_union
 
 
@@ -173,7 +173,8 @@ def select_models(
     models = val.select(*keys, number, F.col(perf).alias("_p"), F.col(fair).alias("_f")).withColumn(
         "_i", (F.row_number().over(order) - 1).cast("bigint")
     )
-    sizes = models.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    models = pin(models)
+    sizes = models.frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draws = number_rows(sizes, F.lit(len(alphas) * reps * n), "_d")
     table = F.array(*[F.lit(float(a)) for a in alphas])
     draws = draws.withColumn("_a", F.floor(F.col("_d") / (reps * n)).cast("int")).withColumns(
@@ -200,12 +201,12 @@ def t_quantile(df: int, p: float = 0.975) -> float:
     def upper_half(t: float) -> float:
         # substitute x = tan(a) * sqrt(df): the density becomes c * sqrt(df) * cos(a)^(df - 1) on a bounded interval
         top = math.atan(t / math.sqrt(df))
-        a = np.linspace(0.0, top, 4001)
+        a = np.linspace(0.0, top, 1001)
         f = math.exp(log_c) * math.sqrt(df) * np.cos(a) ** (df - 1)
-        return float(top / 4000 / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()))
+        return float(top / 1000 / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()))
 
     low, high = 0.0, 2000.0
-    for _ in range(100):
+    for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if upper_half(mid) < p - 0.5 else (low, mid)
     return (low + high) / 2
@@ -236,7 +237,7 @@ def mean_ci(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
 
 def cost_ratio(df: DataFrame, baseline: str, dataset: str = "dataset", model: str = "model_name", duration: str = "duration") -> DataFrame:
     """Mean duration of each model relative to the baseline model on the same dataset."""
-    means = df.groupBy(dataset, model).agg(F.avg(duration).alias("mean_duration"))
+    means = pin(df.groupBy(dataset, model).agg(F.avg(duration).alias("mean_duration"))).frame
     base = means.where(F.col(model) == baseline).select(dataset, F.col("mean_duration").alias("_base"))
     return attach(means, base, [dataset]).withColumn("cost_ratio", ratio("mean_duration", "_base")).drop("_base")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lookup import pin
 from ..operators import groups as G
 from ..operators import splits as S
 from .bindings import EVENTS, SCORED, key_sql, scored_events, scored_orders
@@ -94,8 +95,9 @@ def group_row_scale(spark, sf):
 
 def _state(t, g, scale):
     """Group sizes with illustrative weights and multipliers."""
-    total = t.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    s = G.group_sizes(t, [g]).withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
+    sizes = pin(G.group_sizes(t, [g])).frame
+    total = sizes.agg(F.sum("n").alias("total")).withColumn("_k", F.lit(1))
+    s = sizes.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
     return s.withColumns({"w": F.col("n") / F.col("total") + scale, "lam": F.col("n_pos") / F.col("total") - 0.05})
 
 

@@ -13,6 +13,7 @@ from ..learners import boosting as B
 from ..learners import experiments as E
 from ..learners import game as G
 from ..learners.linear import LinearLearner, LogisticLearner, PairedLearner
+from ..lookup import pin
 from ..operators.history import trajectory
 from ..sources.writers import load_model, save_model
 from .bindings import SCORED, regression_orders, scored_orders
@@ -91,9 +92,10 @@ def boost_round_group_loss(spark, sf):
     from ..functions.losses import constraint_loss, sigmoid
 
     t = scored_orders(spark, sf)
-    total = t.groupBy(F.lit(1).alias("_k")).agg(F.count(F.lit(1)).alias("total"))
-    loss = t.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg(constraint_loss("y", sigmoid("margin"), "true_positive_rate")).alias("loss"))
-    return loss.withColumn("_k", F.lit(1)).join(total, "_k").select("g", "n", r6("loss"), r6(F.col("n") / F.col("total"), "share"))
+    loss = F.avg(constraint_loss("y", sigmoid("margin"), "true_positive_rate")).alias("loss")
+    by_group = pin(t.groupBy("g").agg(F.count(F.lit(1)).alias("n"), loss)).frame.withColumn("_k", F.lit(1))
+    total = by_group.groupBy("_k").agg(F.sum("n").alias("total"))
+    return by_group.join(total, "_k").select("g", "n", r6("loss"), r6(F.col("n") / F.col("total"), "share"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import losses as L
 from ..functions import vectors as V
 from ..operators.dual import mixed_grad_hess
+from ..operators.groups import group_ratio
 from .bindings import MULTI, REGRESSION, SCORED, multi, regression_orders, scored_orders
 from .registry import big, query, r, r6, table
 
@@ -139,8 +140,6 @@ def loss_entropy(spark, sf):
 )
 def loss_mixed_gradient(spark, sf):
     t = scored_orders(spark, sf)
-    total = t.groupBy(F.lit(1).alias("_k")).agg(F.count(F.lit(1)).alias("total"))
-    sizes = t.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1)).join(total, "_k")
-    mu = sizes.select("g", (0.5 * F.col("n") / F.col("total")).alias("mu"), (F.col("total") / F.col("n")).alias("n_over_ng"))
+    mu = group_ratio(t).select("g", (0.5 / F.col("ratio")).alias("mu"), F.col("ratio").alias("n_over_ng"))
     out = mixed_grad_hess(t, mu, 0.5, "true_positive_rate")
     return out.select("row_id", r6("grad"), r6("hess"))

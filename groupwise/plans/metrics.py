@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit
-from ..functions.losses import CONSTRAINTS
+from ..lookup import pin
 from ..operators import metrics as M
 from ..operators.groups import Keep, subgroup
 from .bindings import DOCS, HISTORY, REGRESSION, SCORED, history, regression_orders, scored_docs, scored_events, scored_orders, unit_sql
@@ -57,7 +57,7 @@ def metric_worst_segments(spark, sf):
     """Segments ordered by accuracy, with the gap to the overall accuracy."""
     from pyspark.sql import Window
 
-    stats = M.group_stats(scored_orders(spark, sf))
+    stats = M.collect_stats(scored_orders(spark, sf))
     overall = M.rates(M.merge_stats(stats), (), ["acc"]).select(F.col("acc").alias("all_acc"), F.lit(1).alias("_k"))
     t = M.rates(stats, ["g", "n"], ["acc", "tpr", "logloss"]).withColumn("_k", F.lit(1)).join(overall, "_k")
     # one row per segment is left here
@@ -163,7 +163,7 @@ WORST = ("tpr", "pr", "bal_acc", "acc")
     f"WITH {SCORED}, {GR} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {r(f'1 - min({m})', 'worst')}, arg_min(g, {m}) AS worst_g FROM rt" for m in WORST),
 )
 def metric_worst_group(spark, sf):
-    stats = M.group_stats(scored_orders(spark, sf))
+    stats = M.collect_stats(scored_orders(spark, sf))
     out = None
     for m in WORST:
         part = M.worst_group(stats, m).select(F.lit(m).alias("metric"), r6(f"worst_{m}", "worst"), "worst_g")
@@ -173,7 +173,7 @@ def metric_worst_group(spark, sf):
 
 @query("metric_max_error_rates", f"WITH {SCORED}, {GR} SELECT {r('max(fnr)', 'max_fnr')}, {r('max(fpr)', 'max_fpr')} FROM rt")
 def metric_max_error_rates(spark, sf):
-    stats = M.group_stats(scored_orders(spark, sf))
+    stats = M.collect_stats(scored_orders(spark, sf))
     a, b = (M.max_rate(stats, m).withColumn("_k", F.lit(1)) for m in ("fnr", "fpr"))
     return a.join(b, "_k").select(r6("max_fnr"), r6("max_fpr"))
 
@@ -204,11 +204,7 @@ def metric_group_level_wide(spark, sf):
     SELECT kind, g, {r('loss', 'loss')}, {r('max(loss) OVER (PARTITION BY kind)', 'max_loss')} FROM m""",
 )
 def metric_group_logloss(spark, sf):
-    t = scored_orders(spark, sf)
-    out = None
-    for kind in CONSTRAINTS:
-        part = M.group_logloss(t, kind).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
+    out = pin(M.group_loglosses(scored_orders(spark, sf))).frame
     top = out.groupBy("kind").agg(F.max("loss").alias("max_loss"))
     return out.join(top, "kind").select("kind", "g", r6("loss"), r6("max_loss"))
 
