@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import random
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -159,6 +159,31 @@ class BoostModel:
         return cls(head["kind"], tuple(head["features"]), head["init"], trees)
 
 
+def score_models(df: DataFrame, models: Mapping[int, BoostModel], model: str = "model", score: str = "score") -> DataFrame:
+    """Long frame with one row per (row, model): all models score a batch while it is in the task, so the table is read once."""
+    numbers = sorted(models)
+    fitted = [models[i] for i in numbers]
+    if len({(m.kind, m.features) for m in fitted}) != 1:
+        raise ValueError("models scored together share kind and features")
+    names, sigmoid_out = list(fitted[0].features), fitted[0].kind == "classifier"
+
+    @F.pandas_udf("array<double>")
+    def scores(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for pdf in parts:
+            x = pdf[names].to_numpy(float)
+            out = np.empty((len(x), len(fitted)))
+            for i, m in enumerate(fitted):
+                out[:, i] = m.init
+                for tree in m.trees:
+                    out[:, i] += tree.predict(x)
+            yield pd.Series(list(1 / (1 + np.exp(-out)) if sigmoid_out else out))
+
+    arrays = scores(F.struct(*[F.col(f).cast("double").alias(f) for f in names]))
+    ids = F.array(*[F.lit(int(i)) for i in numbers])
+    zipped = df.withColumn("_z", F.arrays_zip(ids.alias("m"), arrays.alias("s")))
+    return zipped.select(*df.columns, F.inline("_z").alias(model, score))
+
+
 # ---- binned rows -----------------------------------------------------------------------------------------------------
 
 
@@ -669,4 +694,5 @@ __all__ = [
     "dense_histograms",
     "histograms",
     "prepare",
+    "score_models",
 ]

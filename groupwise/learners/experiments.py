@@ -9,9 +9,13 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lookup import pin
 from ..operators.metrics import evaluate_models, group_stats, merge_stats, rates
 from ..operators.trials import sweep_params
-from .boosting import BoostModel, prepare
+from .boosting import BoostModel, prepare, score_models
+
+
+MODELS_PER_PASS = 50
 
 
 def run_trials(
@@ -23,12 +27,12 @@ def run_trials(
     g: str = "g",
     split: str = "split",
     thresh: float | str = 0.5,
-    key: str = "row_id",
+    models_per_pass: int = MODELS_PER_PASS,
 ) -> tuple[DataFrame, DataFrame, dict]:
-    """Fit one booster per parameter set on the train split and evaluate all of them in one aggregation.
+    """Fit one booster per parameter set on the train split and evaluate all of them on all splits.
 
-    Rows are binned once for all trials. Returns ``(results, trials, models)``; models are keyed by trial number. The objective of the
-    search is random, so trials do not depend on each other.
+    Rows are binned once for all trials. Evaluation reads the table once per ``models_per_pass`` models and keeps a few rows per model.
+    Returns ``(results, trials, models)``; models are keyed by trial number. The search is random, so trials do not depend on each other.
     """
     spark = df.sparkSession
     train = df.where(F.col(split) == "train")
@@ -45,14 +49,15 @@ def run_trials(
     finally:
         binned.unpersist()
     table = spark.createDataFrame(trials, "model int, duration_s double, duration string, params map<string,string>")
-    long = None
-    for number, model in models.items():
-        part = model.transform(df).select(
-            key, F.col(y).alias("y"), F.col(g).alias("g"), F.col(split).alias("split"), F.col("p").alias("score"), F.lit(number).alias("model")
-        )
-        long = part if long is None else long.unionByName(part)
     durations = table.select("model", F.col("duration_s").alias("duration"))
-    return evaluate_models(long, thresh, durations=durations), table, models
+    rows = df.select(*features, F.col(y).alias("_y"), F.col(g).alias("_g"), F.col(split).alias("split"))
+    results = None
+    for low in range(0, len(models), models_per_pass):
+        batch = {i: models[i] for i in range(low, min(low + models_per_pass, len(models)))}
+        long = score_models(rows, batch).select("model", "split", F.col("_y").alias("y"), F.col("_g").alias("g"), "score")
+        part = pin(evaluate_models(long, thresh, durations=durations)).frame
+        results = part if results is None else results.unionByName(part)
+    return results, table, models
 
 
 def fair_weight_sweep(

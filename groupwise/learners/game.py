@@ -114,12 +114,15 @@ class MinimaxGame:
             kinds = list(dict.fromkeys([*kinds, "0/1 Loss"]))
 
         columns = [*dict.fromkeys([*features, y, *groups])]
-        rows = cached_rows(require_columns(df, *columns).select(*columns))
+        # a caller that plays several games on one table hands in the cached rows
+        ready = df.is_cached and df.columns == columns
+        rows = df if ready else cached_rows(require_columns(df, *columns).select(*columns))
         held = valid.select(*columns).persist(StorageLevel.MEMORY_AND_DISK) if valid is not None else None
         try:
             return self._play(rows, held, list(features), y, list(groups), main, pop, kinds, mode)
         finally:
-            rows.unpersist()
+            if not ready:
+                rows.unpersist()
             if held is not None:
                 held.unpersist()
 
@@ -267,7 +270,7 @@ def gamma_sweep(game: MinimaxGame, df: DataFrame, features: Sequence[str], y: st
     from dataclasses import replace
 
     columns = [*dict.fromkeys([*features, y, *groups])]
-    rows = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cached_rows(df.select(*columns))
     try:
         base = replace(game, mode="minimax").fit(rows, features, y, groups)
         path = trajectory(base.errors())
@@ -307,12 +310,16 @@ class MixtureClassifier:
         if self.constraint not in ("equalized_loss", "true_positive_rate"):
             raise ValueError("constraint must be 'equalized_loss' or 'true_positive_rate'")
         learner = LogisticLearner(C=self.C, max_iter=self.max_iter)
-        start = learner.fit(df, features, y).transform(df)
+        rows = cached_rows(df.select(*dict.fromkeys([*features, y, g])))
+        start = learner.fit(rows, features, y).transform(rows)
         loss = bounded_rows(group_logloss(start, self.constraint, [g], y, "p"), "groups")["loss"].dropna()
         gamma = float(loss.min() + self.gamma * (loss.max() - loss.min()))
         kind = "Log-Loss" if self.constraint == "equalized_loss" else "FN-Log-Loss"
         game = MinimaxGame(learner, "relaxed" if self.relaxed else "minimax", self.n_estimators, self.a, self.b, gamma, kind)
-        return game.fit(df, features, y, [g])
+        try:
+            return game.fit(rows, features, y, [g])
+        finally:
+            rows.unpersist()
 
 
 @dataclass
@@ -328,12 +335,16 @@ class MixtureRegressor:
 
     def fit(self, df: DataFrame, features: Sequence[str], y: str = "y", g: str = "g") -> GameResult:
         learner = LinearLearner(alpha=self.C)
-        start = learner.fit(df, features, y).transform(df)
+        rows = cached_rows(df.select(*dict.fromkeys([*features, y, g])))
+        start = learner.fit(rows, features, y).transform(rows)
         d = F.col(y) - F.col("p")
         mse = bounded_rows(start.groupBy(g).agg(F.avg(d * d).alias("mse")), "groups")["mse"]
         gamma = float(mse.min() + self.gamma * (mse.max() - mse.min()))
         game = MinimaxGame(learner, "relaxed" if self.relaxed else "minimax", self.n_estimators, self.a, self.b, gamma, "MSE")
-        return game.fit(df, features, y, [g])
+        try:
+            return game.fit(rows, features, y, [g])
+        finally:
+            rows.unpersist()
 
 
 __all__ = ["MinimaxGame", "GameResult", "MixtureClassifier", "MixtureRegressor", "gamma_sweep", "bounded_rows"]

@@ -194,7 +194,10 @@ def test_missing_values_go_right(spark, frame):
 
 def test_trials_share_one_table(frame):
     params = [{"n_estimators": 1}, {"n_estimators": 2}]
-    results, trials, models = run_trials(lambda p: B.BoostClassifier(**p, **SMALL), params, frame, FEATURES)
+    results, trials, models = run_trials(lambda p: B.BoostClassifier(**p, **SMALL), params, frame, FEATURES, models_per_pass=1)
+    together, _, _ = run_trials(lambda p: B.BoostClassifier(**p, **SMALL), params, frame, FEATURES)
+    key = lambda d: sorted((r["model"], r["split"], round(r["logloss"], 9), round(r["eod"], 9)) for r in d.collect())
+    assert key(results) == key(together)
     assert {(r["model"], r["split"]) for r in results.collect()} == {(m, s) for m in (0, 1) for s in ("train", "val")}
     assert results.where("duration is null").isEmpty() and trials.count() == 2
     assert [len(models[i].trees) for i in (0, 1)] == [1, 2]
