@@ -13,6 +13,10 @@ from ..functions.numeric import flag
 from ..functions.vectors import softmax
 from .registry import table
 
+# Irrational factors, so that no derived mean lies halfway between two rounded values.
+UNEVEN = 0.9549296585513721
+SPREAD = 0.3183098861837907
+
 SHIFT = {"BUILDING": 0.0, "AUTOMOBILE": 0.3, "FURNITURE": 0.6, "HOUSEHOLD": 0.9, "MACHINERY": 1.2}
 
 
@@ -141,19 +145,19 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod("user_id", F.lit(8)).cast("bigint").alias("g"),
         "value",
     )
-    return e.groupBy("round", "g").agg((F.avg("value") / 100).alias("err"), F.count(F.lit(1)).alias("n"))
+    return e.groupBy("round", "g").agg((F.avg("value") * (UNEVEN / 100)).alias("err"), F.count(F.lit(1)).alias("n"))
 
 
-HISTORY = """
+HISTORY = f"""
 hist AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) AS round, user_id % 8 AS g,
-  avg(value) / 100 AS err, count(*) AS n FROM events GROUP BY 1, 2)"""
+  avg(value) * {UNEVEN / 100}::DOUBLE AS err, count(*) AS n FROM events GROUP BY 1, 2)"""
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Weight state per day: ``(vid, g, mu, loss, w, lam, share, mean_err, risk, best, k, k_min)``."""
     h = history(spark, sf)
     day = Window.partitionBy("round")
-    err = F.round("err", 6)
+    err = F.round("err", 6) * UNEVEN
     return h.select(
         F.col("round").alias("vid"),
         "g",
@@ -170,18 +174,14 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-VECTORS = HISTORY + """,
-vec AS (SELECT round AS vid, g, n / sum(n) OVER d AS mu, round(err, 6) AS loss, n / sum(n) OVER d AS w, (g + 1) / 100.0::DOUBLE AS lam,
-  n / sum(n) OVER d AS share, sum(round(err, 6) * n) OVER d / sum(n) OVER d AS mean_err, round(err, 6) AS risk,
+VECTORS = HISTORY + f""",
+vec AS (SELECT round AS vid, g, n / sum(n) OVER d AS mu, round(err, 6) * {UNEVEN}::DOUBLE AS loss, n / sum(n) OVER d AS w, (g + 1) / 100.0::DOUBLE AS lam,
+  n / sum(n) OVER d AS share, sum(round(err, 6) * {UNEVEN}::DOUBLE * n) OVER d / sum(n) OVER d AS mean_err, round(err, 6) * {UNEVEN}::DOUBLE AS risk,
   CASE round % 3 WHEN 0 THEN NULL WHEN 1 THEN 0.6::DOUBLE ELSE 2.0::DOUBLE END AS best, CAST(round % 30 + 1 AS BIGINT) AS k,
   CAST(20 AS BIGINT) AS k_min
   FROM hist WINDOW d AS (PARTITION BY round))"""
 
 
-# An irrational factor, so that no derived mean lies halfway between two rounded values.
-SPREAD = 0.3183098861837907
-
-
 def results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(val, test, trials)`` of many models: parts stand for evaluations, brands for datasets."""
     p = table(spark, sf, "part")
