@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.losses import constraint_grad, constraint_hess, logloss_grad, logloss_hess
 from ..functions.numeric import ratio
 from ..lookup import attach, attach_totals, pin
-from .ranks import prefix_sums
+from .ranks import prefix_sums, quantile_edges
 
 DUAL_MODES = ("optim", "gradient", "gradient_norm", "gradient_norm2")
 GAME_MODES = ("minimax", "relaxed", "equal")
@@ -86,7 +86,7 @@ def project_simplex(vectors: DataFrame, vid: str = "vid", mu: str = "mu", z: flo
     values, so one very long vector is spread over all tasks.
     """
     values = vectors.groupBy(vid, mu).agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", F.col(mu) * F.col("_c"))
-    run = prefix_sums(values, [vid], mu, ["_c", "_s"], descending=True)
+    run = prefix_sums(values, [vid], mu, ["_c", "_s"], descending=True, edges=quantile_edges(vectors, mu))
     shift = run.groupBy(vid).agg(F.max((F.col("cum__s") - F.lit(z)) / F.col("cum__c")).alias("_t"))
     return attach(vectors, shift, [vid]).withColumn(out, F.greatest(F.col(mu) - F.col("_t"), F.lit(0.0))).drop("_t")
 

@@ -195,8 +195,6 @@ def _score_table(sf: DataFrame, by: Sequence[str], y: str, score: str) -> DataFr
 
 
 def _curve(sf: DataFrame, by: Sequence[str], y: str, score: str, descending: bool, buckets: int | None) -> DataFrame:
-    if buckets is None:
-        buckets = max(8, int(sf.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = quantile_edges(sf, score, buckets)
     return prefix_sums(_score_table(sf, by, y, score), by, score, ["p", "q"], descending, edges=edges)
 

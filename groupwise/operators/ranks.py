@@ -88,8 +88,9 @@ def _digit_counts(rows: DataFrame, by: Sequence[str], key: str, depth: int) -> D
     return rows.groupBy(*by, "prefix", digit).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantile_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
+def quantile_edges(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
     """At most ``buckets - 1`` distinct inner edges that cut the rows into parts of similar size (sketch, one pass)."""
+    buckets = buckets or _buckets(df)
     if buckets < 2:
         return []
     probs = [i / buckets for i in range(1, buckets)]
@@ -97,6 +98,11 @@ def quantile_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
     return sorted(set(found or []))
 
 
+def _buckets(df: DataFrame) -> int:
+    """One bucket per shuffle task."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def edge_bucket(column: Column | str, edges: Sequence[float]) -> Column:
     """Number of edges below or equal to the value, as a balanced comparison tree (``log2`` comparisons per row)."""
     c = F.col(column) if isinstance(column, str) else column
@@ -128,8 +134,6 @@ def prefix_sums(
     """
     by = list(by)
     if edges is None:
-        if buckets is None:
-            buckets = max(8, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         edges = quantile_edges(table, order, buckets)
     cut = table.withColumn("_b", edge_bucket(order, edges))
     totals = cut.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
@@ -156,16 +160,21 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    edges = quantile_edges(values, "v", max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    n = values.count()
-    if n == 0:
-        return []
-    at = [p * (n - 1) for p in probs]
-    wanted = sorted({r for x in at for r in (int(x) + 1, min(int(x) + 2, n))})
-    run = prefix_sums(counts, [], "v", ["c"], edges=edges)
-    ranks = F.filter(F.array(*[F.lit(r).cast("bigint") for r in wanted]), lambda r: (r <= F.col("cum_c")) & (r > F.col("cum_c") - F.col("c")))
-    value = {row[0]: row[1] for row in run.select(F.explode(ranks), "v").collect()}
-    return [value[int(x) + 1] + (value[min(int(x) + 2, n)] - value[int(x) + 1]) * (x - int(x)) for x in at]
+    run = prefix_sums(counts, [], "v", ["c"], edges=quantile_edges(values, "v"))
+    last = F.col("all_c") - 1
+    asked = []
+    for i, p in enumerate(probs):
+        low = F.floor(F.lit(float(p)) * last).cast("bigint") + 1
+        asked += [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.least(low + j, F.col("all_c")).alias("rank")) for j in (0, 1)]
+    here = F.filter(F.array(*asked), lambda a: (a["rank"] <= F.col("cum_c")) & (a["rank"] > F.col("cum_c") - F.col("c")))
+    found = {(r["i"], r["j"]): r for r in run.select("v", "all_c", F.inline(here)).collect()}
+    out = []
+    for i, p in enumerate(probs):
+        if (i, 0) in found:
+            low, high = found[i, 0], found[i, 1]
+            at = p * (low["all_c"] - 1)
+            out.append(low["v"] + (high["v"] - low["v"]) * (at - int(at)))
+    return out
 
 
 def dense_codes(distinct: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
