@@ -56,7 +56,7 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 50_000
 ROWS_PER_CORE = 1_000_000
 
 
