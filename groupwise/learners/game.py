@@ -291,7 +291,7 @@ def gamma_sweep(game: MinimaxGame, df: DataFrame, features: Sequence[str], y: st
 
 @dataclass
 class MixtureClassifier:
-    """Minimax-fair logistic mixture.
+    """Mixture of logistic models under a bound on the group losses.
 
     A plain fit gives the range of group log-losses; ``gamma`` in [0, 1] places the relaxation inside it. ``relaxed=False`` plays the
     unrelaxed game.
@@ -324,7 +324,7 @@ class MixtureClassifier:
 
 @dataclass
 class MixtureRegressor:
-    """Minimax-fair ridge mixture; the relaxation lies between the smallest and the largest group MSE of a plain fit."""
+    """Mixture of ridge models under a bound on the group errors; the relaxation lies between the smallest and the largest group MSE of a plain fit."""
 
     n_estimators: int = 10
     gamma: float = 1.0
