@@ -4,7 +4,8 @@ Credentials found by the base patterns are the labelled examples. For each kind
 sample of them (at most ``per_kind`` distinct values, those with the smallest hash): a prefix tree over character classes whose
 states are merged, in breadth-first order, when their outgoing frequencies agree within the Hoeffding bound, recursively. Every
 candidate of the corpus (a run of 16 or more credential characters with a digit) is then scored by its mean log likelihood per
-character; one that at least one automaton finds as likely as its own examples (their ``least_share`` quantile) is added as a span.
+character; one whose likelihood lies in the typical range of an automaton's own examples (between their ``TAIL`` and ``1 - TAIL``
+quantiles: ordinary numbers are too likely, ordinary words not likely enough) and that overlaps no base span is added as a span.
 
 The text is scanned once: base spans, base values and candidates of a document are written out, the automata are inferred from
 the values, and only the small written table is read again.
@@ -41,7 +42,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 DIGIT = re.compile(r"[0-9]")
 PER_KIND = 400
 LEAST_EXAMPLES = 20
-LEAST_SHARE = 0.05
+TAIL = 0.03
 CONFIDENCE = 0.05
 END = "$"
 
@@ -149,20 +150,21 @@ class Automaton:
 
 
 class FormatModel:
-    """One automaton per kind with the likelihood its examples reach."""
+    """One automaton per kind with the range of likelihood of its examples."""
 
-    def __init__(self, examples: dict[str, list[str]], least: int = LEAST_EXAMPLES, share: float = LEAST_SHARE):
-        self.kinds: dict[str, tuple[Automaton, float]] = {}
+    def __init__(self, examples: dict[str, list[str]], least: int = LEAST_EXAMPLES, tail: float = TAIL):
+        self.kinds: dict[str, tuple[Automaton, float, float]] = {}
         for kind, values in sorted(examples.items()):
             words = [symbols(v) for v in sorted(set(values))]
             if len(words) >= least:
                 auto = Automaton(words)
                 reached = sorted(map(auto.likelihood, words))
-                self.kinds[kind] = (auto, reached[int(share * len(reached))])
+                out = int(tail * len(reached))
+                self.kinds[kind] = (auto, reached[out], reached[-1 - out])
 
     def accepts(self, value: str) -> bool:
         word = symbols(value)
-        return any(auto.likelihood(word) >= least for auto, least in self.kinds.values())
+        return any(low <= auto.likelihood(word) <= high for auto, low, high in self.kinds.values())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +206,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for doc, base, cands in rows:
             spans = [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in base]
             for c in cands:
-                if model.accepts(c["value"]):
+                inside = any(s["start"] < c["end"] and c["start"] < s["end"] for s in base)
+                if not inside and model.accepts(c["value"]):
                     spans.append((c["start"], len(KINDS), c["end"]))
             named = [{"kind": [*KINDS, LEARNED][k], "start": a, "end": b} for a, k, b in sorted(spans)]
             yield doc, [{k: s[k] for k in ("kind", "start", "end")} for s in base], named
