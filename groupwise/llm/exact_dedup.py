@@ -30,7 +30,9 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """At most ``counters`` values of the binary column ``_d`` that may be frequent."""
     task = digests.select("_d", F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_m"))
     summaries = task.groupBy("_m").agg(F.expr(f"approx_top_k_accumulate(hex(_d), {counters})").alias("_s"))
-    whole = summaries.agg(F.expr(f"approx_top_k_combine(_s, {counters})").alias("_s"))
+    # all in one group, by a key: an empty task of an aggregation without a key would pass on a summary without a type
+    one = summaries.select(F.floor(F.col("_m") / F.lit(MERGERS)).alias("_g"), "_s")
+    whole = one.groupBy("_g").agg(F.expr(f"approx_top_k_combine(_s, {counters})").alias("_s"))
     items = whole.select(F.explode(F.expr(f"approx_top_k_estimate(_s, {counters})")).alias("_e"))
     return items.where(F.col("_e.item").isNotNull()).select(F.unhex("_e.item").alias("_d"))
 
