@@ -32,7 +32,8 @@ from .common import text_of, word_count
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SEED = "mix"
-PIECE = 20_000
+PIECE = 500
+SLICE = 20_000
 HASH_RANGE = 2**52
 
 
@@ -125,7 +126,7 @@ def _cut(queued: DataFrame, late: DataFrame, on_time) -> tuple | None:
     if not totals["n"]:
         return None
     left = int(totals["budget"] - totals["sent"])
-    grid = max(64, totals["n"] // PIECE)
+    grid = max(64, totals["n"] // SLICE)
     cell = F.least(F.floor((F.col("finish") - 1) * grid), F.lit(4 * grid)).cast("bigint")
     cells = late.withColumn("cell", cell)
     sums = cells.groupBy("cell").agg(F.sum("size").alias("words"))

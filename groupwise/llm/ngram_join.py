@@ -9,10 +9,12 @@ estimates how many documents hold a shingle; shingles are ordered rarest first.
 prefixes. Each document picks the lift with the smallest estimated cost of scanning its prefix and verifying what that leaves;
 documents whose prefix is shared by many get longer prefixes and must share more of them.
 
-Links are only needed as far as they connect, so candidates come in two steps. First every document meets the smallest document of
+Links are only needed as far as they connect, so candidates come in two steps. First every document meets ``HUBS`` documents of
 similar size for each of its prefix shingles, which joins near copies of one text without pairing them all. Then documents that
-share prefix shingles across different components so far are paired, all of them. Both steps count shared prefix shingles per pair,
-ask for the lifts' minimum, and verify on whole sets. No link between different components is lost, so the components are exact.
+share prefix shingles across different components so far are paired, all of them: by a join where few are outside a shingle's largest
+component, by matrix products over blocks of documents elsewhere. Both steps count shared prefix shingles per pair, ask for as many as the lifts, the sizes and the ends
+of the two prefixes imply, and verify on whole sets. The second step runs twice, first with the best partner of
+each document only, so that the pairs of one large group are few when all are asked for. No link between different components is lost, so the components are exact.
 
 Null, empty and blank texts have an empty set and link with nothing. Component ids are smallest ids, null only if all ids of the
 component are null. Rows that repeat an id are documents of their own. An empty table gives an empty table.
@@ -40,6 +42,10 @@ VERIFY_COST = 0.05
 SKETCH_BITS = 19
 BLOCK_BITS = 13
 BROADCAST_IDS = 1_000_000
+HUBS = 3
+LIGHT = 32
+BLOCK = 1024
+COLUMNS = 4096
 CACHE_WORDS = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -104,8 +110,9 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def prefix_of(tokens: np.ndarray, others: np.ndarray, percent: int = PERCENT, max_lift: int = MAX_LIFT) -> tuple[int, np.ndarray]:
-    """The lift with the smallest estimated cost, and the prefix in the common order (rarest first, then by hash)."""
+def prefix_of(tokens: np.ndarray, others: np.ndarray, percent: int = PERCENT, max_lift: int = MAX_LIFT) -> tuple[int, np.ndarray, tuple[float, int]]:
+    """The lift with the smallest estimated cost, the prefix in the common order (rarest first, then by hash), and the place of
+    its last shingle in that order."""
     order = np.lexsort((tokens, others))
     n, o = len(tokens), need(len(tokens), percent)
     scan = np.cumsum(others[order])
@@ -113,7 +120,8 @@ def prefix_of(tokens: np.ndarray, others: np.ndarray, percent: int = PERCENT, ma
     shared = scan[n - o + lifts - 1]  # postings met by each prefix
     cost = shared * (1 + VERIFY_COST * n / lifts)
     lift = int(lifts[np.argmin(cost)])
-    return lift, tokens[order[: n - o + lift]]
+    last = order[n - o + lift - 1]
+    return lift, tokens[order[: n - o + lift]], (float(others[last]), int(tokens[last] >> np.uint64(1)))
 
 
 def read_documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, np.ndarray]:
@@ -153,7 +161,7 @@ def read_documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple
 
 
 def classes_of(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, n: int, percent: int, max_lift: int) -> DataFrame:
-    """``v, d1, d2, first_id, n, lift, prefix``: one row per distinct non-empty set, written out."""
+    """``v, d1, d2, first_id, n, lift, cut, prefix``: one row per distinct non-empty set, written out."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Frequencies(sketch.astype("float32")))
 
@@ -162,13 +170,13 @@ def classes_of(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str,
         for key, data in rows:
             tokens = shingle_set(data, hashes, n)
             if len(tokens):
-                lift, prefix = prefix_of(tokens, known.others(tokens), percent, max_lift)
-                yield (key, *set_digest(tokens), len(tokens), lift, prefix.view("int64").tolist())
+                lift, prefix, (f, h) = prefix_of(tokens, known.others(tokens), percent, max_lift)
+                yield (key, *set_digest(tokens), len(tokens), lift, {"f": f, "h": h}, prefix.view("int64").tolist())
 
-    schema = f"id {kind}, d1 bigint, d2 bigint, n int, lift int, prefix array<bigint>"
+    schema = f"id {kind}, d1 bigint, d2 bigint, n int, lift int, cut struct<f: double, h: bigint>, prefix array<bigint>"
     rows = map_rows(docs.select(F.col(id_col), text_of(text_col).cast("binary")), run, schema)
     one = rows.groupBy("d1", "d2").agg(
-        F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("lift").alias("lift"), F.first("prefix").alias("prefix")
+        F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "lift", "cut", "prefix")]
     )
     return settle(one.withColumn("v", F.monotonically_increasing_id()))
 
@@ -178,46 +186,136 @@ def fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def enough(pairs: DataFrame) -> DataFrame:
-    """``a, b, na, nb`` of the pairs that share as many prefix shingles as the smaller lift asks for."""
-    counted = pairs.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("least").alias("least")
-    )
-    return counted.where(F.col("c") >= F.col("least")).select("a", "b", "na", "nb")
+def asked(nx, ny, lx, ly, x_first, y_first, percent, low, high, up, when):
+    """How many prefix shingles two sets must share to be worth verifying.
+
+    Common shingles up to the earlier of the two cuts are in both prefixes and counted; beyond it there are at most as many as the
+    set with the earlier cut has left, its size less its prefix. What the pair needs less that rest is asked for, and the smaller
+    lift in any case. The arithmetic is handed in, for columns and for arrays.
+    """
+    rest_x, rest_y = up(nx * percent / 100) - lx, up(ny * percent / 100) - ly
+    beyond = when(x_first, rest_x, when(y_first, rest_y, low(rest_x, rest_y)))
+    return high(low(lx, ly), up((nx + ny) * percent / (100 + percent)) - beyond)
+
 
+def enough(pairs: DataFrame, percent: int, besides: DataFrame | None = None) -> DataFrame:
+    """``a, b, na, nb, c`` of the pairs ``x, y`` (structs of ``v, n, lift, cut``, a row per shared shingle) that share enough.
 
-def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each document with the smallest one of similar size for each of its prefix shingles."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    ``besides`` (``v, h``) counts shingles not joined here; a pair may share the smaller of its two numbers of them too.
+    """
+    swap = F.col("x.v") > F.col("y.v")
+    ends = pairs.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
+    counted = ends.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
+    least = asked(
+        F.col("x.n"), F.col("y.n"), F.col("x.lift"), F.col("y.lift"), F.col("x.cut") < F.col("y.cut"), F.col("y.cut") < F.col("x.cut"),
+        percent, F.least, F.greatest, F.ceil, lambda c, p, q: F.when(c, p).otherwise(q),
+    )
+    sure = counted.select("a", "b", "c", least.alias("least"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    if besides is not None:
+        for end in ("a", "b"):
+            sure = sure.join(besides.select(F.col("v").alias(end), F.col("h").alias(f"h{end}")), end, "left")
+        sure = sure.withColumn("c", F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
+    return sure.where(F.col("c") >= F.col("least")).select("a", "b", "na", "nb", "c")
+
+
+def hub_pairs(postings: DataFrame, percent: int, hubs: int = HUBS) -> DataFrame:
+    """Each document with a few others of similar size for each of its prefix shingles, the same ones for all that hold it:
+    those that come first in ``hubs`` different shuffles."""
+    band = F.floor(F.log(F.col("x.n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
     banded = postings.withColumn("band", band)
-    hubs = banded.groupBy("t", "band").agg(F.min(F.struct("v", "n", "lift")).alias("hub"))
-    met = banded.join(hubs, ["t", "band"]).where(F.col("v") != F.col("hub.v"))
-    return met.select(
-        F.col("hub.v").alias("a"), F.col("v").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.least("lift", "hub.lift").alias("least")
-    ).where(fits(F.col("na"), F.col("nb"), percent))
+    first = [F.min_by("x", F.struct(F.xxhash64("x.v", F.lit(i)), "x.v")) for i in range(hubs)]
+    chosen = banded.groupBy("t", "band").agg(F.array(*first).alias("ys"))
+    met = banded.join(chosen, ["t", "band"]).select("x", F.explode(F.array_distinct("ys")).alias("y"))
+    return met.where((F.col("x.v") != F.col("y.v")) & fits(F.col("x.n"), F.col("y.n"), percent))
 
 
-def cross_pairs(postings: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a prefix shingle and are in different components so far.
+def cross_pairs(postings: DataFrame, comps: DataFrame, percent: int, best: bool) -> DataFrame:
+    """``a, b, na, nb``: all pairs in different components so far that share enough prefix shingles; with ``best`` only the one that
+    shares most for each document.
 
-    For each shingle its largest component is met by the documents of all others; two documents of one component never meet.
+    For each shingle its largest component is met by the documents of all others; two documents of one component never meet. Where
+    at most ``LIGHT`` documents are outside the largest component this is a join, with at most ``LIGHT`` rows per posting. Longer
+    lists of documents that are alike but not linked are compared in blocks by matrix products, which emit only pairs that
+    share enough.
     """
-    known = postings.join(comps, "v", "left").select("t", "v", "n", "lift", F.coalesce("comp", "v").alias("comp"))
-    known = settle(known)
+    held = postings.select("t", "x", F.col("x.v").alias("v")).join(comps, "v", "left")
+    known = settle(held.select("t", "x", F.coalesce("comp", "v").alias("comp")))
     per = known.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per.groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    rows = settle(known.join(mixed.select("t", "main"), "t"))
-    other = rows.where(F.col("comp") != F.col("main")).select("t", *[F.col(c).alias(f"{c}_") for c in ("v", "n", "lift", "comp")])
-    met = rows.join(other, "t").where(F.col("comp") != F.col("comp_"))
-    met = met.where((F.col("comp") == F.col("main")) | (F.col("v") < F.col("v_"))).where(fits(F.col("n"), F.col("n_"), percent))
-    low = F.col("v") < F.col("v_")
-    return met.select(
-        F.least("v", "v_").alias("a"),
-        F.greatest("v", "v_").alias("b"),
-        F.when(low, F.col("n")).otherwise(F.col("n_")).alias("na"),
-        F.when(low, F.col("n_")).otherwise(F.col("n")).alias("nb"),
-        F.least("lift", "lift_").alias("least"),
-    )
+    lists = per.groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("df"))
+    lists = lists.where(F.col("df") > F.col("most")).withColumn("light", F.col("df") - F.col("most") <= LIGHT)
+    rows = settle(known.join(lists.select("t", "main", "df", "light"), "t"))
+    light = rows.where("light")
+    other = light.where(F.col("comp") != F.col("main")).select("t", F.col("x").alias("y"), F.col("comp").alias("comp_"))
+    met = light.join(other, "t").where(F.col("comp") != F.col("comp_"))
+    met = met.where((F.col("comp") == F.col("main")) | (F.col("x.v") < F.col("y.v")))
+    # a light list gives each of its shared shingles; those of heavy lists are added to the count for both as if all were shared
+    heavy = rows.where(~F.col("light"))
+    found = block_pairs(heavy, known, percent, best)
+    extra = heavy.groupBy(F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("h"))
+    joined = met.where(fits(F.col("x.n"), F.col("y.n"), percent)).select("x", "y")
+    pairs = enough(joined, percent, extra).unionByName(found)
+    if best:
+        one = F.struct("c", "a", "b", "na", "nb")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), one.alias("p"))
+        pairs = ends.groupBy("v").agg(F.max("p").alias("p")).select("p.*")
+    return pairs.dropDuplicates(["a", "b"])
+
+
+def block_pairs(heavy: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
+    """``a, b, na, nb, c`` of the pairs within the lists of ``heavy`` that share enough of all their repeated prefix shingles.
+
+    A list is cut into blocks of about ``BLOCK`` documents; a task holds two blocks.
+    """
+    sets = known.select(F.col("x.v").alias("v"), "t").join(heavy.select(F.col("x.v").alias("v")).distinct(), "v")
+    sets = sets.groupBy("v").agg(F.collect_list("t").alias("p"))  # at most the prefix of one document
+    parts = F.ceil(F.col("df") / F.lit(BLOCK)).cast("int")
+    cut = heavy.select("t", "x", F.col("x.v").alias("v"), "comp", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("v", "t"), F.col("parts")).cast("int"))
+    spread = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "v", "x", "comp").join(sets, "v")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        i, j, own = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), rows.column("own").to_numpy()
+        x = rows.column("x").to_pylist()
+        v, n, lift = (np.array([r[k] for r in x]) for k in ("v", "n", "lift"))
+        cuts = np.array([(r["cut"]["f"], r["cut"]["h"]) for r in x], dtype=[("f", "f8"), ("h", "i8")])
+        place = np.unique(cuts, return_inverse=True)[1]
+        comp = rows.column("comp").to_numpy()
+        lengths = np.diff(rows.column("p").combine_chunks().offsets.to_numpy())
+        flat = np.unique(rows.column("p").combine_chunks().flatten().to_numpy(), return_inverse=True)[1]
+        doc = np.repeat(np.arange(len(v)), lengths)
+        names, counts = np.unique(comp, return_counts=True)
+        left = np.flatnonzero((own == i) if i != j else (comp != names[np.argmax(counts)]))
+        right = np.flatnonzero(own == j)
+        same = np.zeros((len(left), len(right)), "float32")
+        at_left, at_right = np.full(len(v), -1), np.full(len(v), -1)
+        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+        for start in range(0, int(flat.max(initial=-1)) + 1, COLUMNS):
+            here = (flat >= start) & (flat < start + COLUMNS)
+            d, c = doc[here], flat[here] - start
+            m = [np.zeros((len(k), COLUMNS), "float32") for k in (left, right)]
+            for mat, at in zip(m, (at_left, at_right)):
+                mine = at[d] >= 0
+                mat[at[d[mine]], c[mine]] = 1
+            same += m[0] @ m[1].T
+        nx, ny = n[left][:, None], n[right][None, :]
+        least = asked(
+            nx, ny, lift[left][:, None], lift[right][None, :], place[left][:, None] < place[right][None, :],
+            place[right][None, :] < place[left][:, None], percent, np.minimum, np.maximum, np.ceil, np.where,
+        )
+        fit = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+        r, c = np.nonzero((same >= least) & fit & (comp[left][:, None] != comp[right][None, :]))
+        if best and len(r):
+            order = np.lexsort((-same[r, c], r))
+            first = np.append(True, r[order][1:] != r[order][:-1])
+            r, c = r[order][first], c[order][first]
+        shared = same[r, c].astype("int64")
+        a, b = left[r], right[c]
+        flip = v[a] > v[b]
+        a, b = np.where(flip, b, a), np.where(flip, a, b)
+        out = {"a": pa.array(v[a], pa.int64()), "b": pa.array(v[b], pa.int64()), "na": pa.array(n[a], pa.int32()), "nb": pa.array(n[b], pa.int32()), "c": pa.array(shared, pa.int64())}
+        return pa.table(out)
+
+    return spread.groupBy("t", "i", "j").applyInArrow(compare, "a bigint, b bigint, na int, nb int, c bigint").dropDuplicates(["a", "b"])
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -252,14 +350,16 @@ def near_duplicates(
     the rows with the smallest id (of equal ids the smallest set digest) of their component."""
     rows, sketch = read_documents(docs, id_col, text_col, n)
     classes = classes_of(docs, sketch, id_col, text_col, n, percent, max_lift)
-    postings = classes.select("v", "n", "lift", F.explode("prefix").alias("t"))
+    postings = classes.select("v", F.explode("prefix").alias("t"))
     shared = postings.groupBy("t").agg(F.min("v").alias("a"), F.max("v").alias("b")).where(F.col("a") != F.col("b")).select("t")
     postings = settle(postings.join(shared, "t"))
+    postings = postings.join(classes.select("v", F.struct("v", "n", "lift", "cut").alias("x")), "v").select("t", "x")
     options = dict(docs=docs, classes=classes, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    edges = settle(linked(enough(hub_pairs(postings, percent)), **options))
+    edges = settle(linked(enough(hub_pairs(postings, percent), percent), **options))
     comps = connected_components(edges)
-    more = linked(enough(cross_pairs(postings, comps, percent)), **options)
-    comps = connected_components(edges.unionByName(more))
+    for best in (True, False):  # documents that link with their best partner are together before all others are asked for
+        edges = settle(edges.unionByName(linked(cross_pairs(postings, comps, percent, best), **options)))
+        comps = connected_components(edges)
 
     named = classes.select("v", "d1", "d2", "first_id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = settle(named)

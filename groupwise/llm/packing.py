@@ -35,7 +35,7 @@ from .common import map_rows, text_of
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 400_000
-RANK_PIECE = 50_000
+RANK_PIECE = 500
 
 
 @dataclass(frozen=True)
