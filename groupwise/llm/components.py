@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import release, settle
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = settle(large)
         low = large.groupBy("u").agg(F.min("w").alias("m"))
         small = large.join(low, "u").where(F.col("w") != F.col("m")).select(F.col("w").alias("u"), F.col("m").alias("w"))
-        state = settle(small.unionByName(low.select("u", F.col("m").alias("w"))).distinct())
+        old, state = state, settle(small.unionByName(low.select("u", F.col("m").alias("w"))).distinct())
+        release(old, large)
         after = _signature(state)
         if after == before:
             break

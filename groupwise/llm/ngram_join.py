@@ -13,7 +13,7 @@ Links are only needed as far as they connect, so candidates come in two steps. F
 similar size for each of its prefix shingles, which joins near copies of one text without pairing them all. Then documents that
 share prefix shingles across different components so far are paired, all of them: by a join where few are outside a shingle's largest
 component, by matrix products over blocks of documents elsewhere. Both steps count shared prefix shingles per pair, ask for as many as the lifts, the sizes and the ends
-of the two prefixes imply, and verify on whole sets. The second step runs twice, first with the best partner of
+of the two prefixes imply, and verify on whole sets. The second step runs three times, first twice with the best partner of
 each document only, so that the pairs of one large group are few when all are asked for. No link between different components is lost, so the components are exact.
 
 Null, empty and blank texts have an empty set and link with nothing. Component ids are smallest ids, null only if all ids of the
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import release, settle
 from .common import map_rows, text_of
 from .components import connected_components
 
@@ -198,129 +198,131 @@ def asked(nx, ny, lx, ly, x_first, y_first, percent, low, high, up, when):
     return high(low(lx, ly), up((nx + ny) * percent / (100 + percent)) - beyond)
 
 
-def enough(pairs: DataFrame, percent: int, besides: DataFrame | None = None) -> DataFrame:
-    """``a, b, na, nb, c`` of the pairs ``x, y`` (structs of ``v, n, lift, cut``, a row per shared shingle) that share enough.
+def enough(pairs: DataFrame, facts: DataFrame, percent: int, besides: DataFrame | None = None) -> DataFrame:
+    """``a, b, na, nb, c`` of the pairs ``v, v_`` (a row per shared shingle) that share enough; ``facts`` holds ``v, n, lift, cut``.
 
     ``besides`` (``v, h``) counts shingles not joined here; a pair may share the smaller of its two numbers of them too.
     """
-    swap = F.col("x.v") > F.col("y.v")
-    ends = pairs.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
-    counted = ends.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
+    counted = pairs.groupBy(F.least("v", "v_").alias("a"), F.greatest("v", "v_").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    for end, name in (("a", "x"), ("b", "y")):
+        counted = counted.join(facts.select(F.col("v").alias(end), F.struct("n", "lift", "cut").alias(name)), end)
+        if besides is not None:
+            counted = counted.join(besides.select(F.col("v").alias(end), F.col("h").alias(f"h{end}")), end, "left")
+    if besides is not None:
+        counted = counted.withColumn("c", F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
     least = asked(
         F.col("x.n"), F.col("y.n"), F.col("x.lift"), F.col("y.lift"), F.col("x.cut") < F.col("y.cut"), F.col("y.cut") < F.col("x.cut"),
         percent, F.least, F.greatest, F.ceil, lambda c, p, q: F.when(c, p).otherwise(q),
     )
-    sure = counted.select("a", "b", "c", least.alias("least"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    if besides is not None:
-        for end in ("a", "b"):
-            sure = sure.join(besides.select(F.col("v").alias(end), F.col("h").alias(f"h{end}")), end, "left")
-        sure = sure.withColumn("c", F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
-    return sure.where(F.col("c") >= F.col("least")).select("a", "b", "na", "nb", "c")
+    return counted.where(F.col("c") >= least).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), "c")
 
 
 def hub_pairs(postings: DataFrame, percent: int, hubs: int = HUBS) -> DataFrame:
-    """Each document with a few others of similar size for each of its prefix shingles, the same ones for all that hold it:
-    those that come first in ``hubs`` different shuffles."""
-    band = F.floor(F.log(F.col("x.n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+    """``v, v_``: each document with a few others of similar size for each of its prefix shingles, the same ones for all that hold
+    it: those that come first in ``hubs`` different shuffles."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
     banded = postings.withColumn("band", band)
-    first = [F.min_by("x", F.struct(F.xxhash64("x.v", F.lit(i)), "x.v")) for i in range(hubs)]
+    first = [F.min_by(F.struct("v", "n"), F.struct(F.xxhash64("v", F.lit(i)), "v")) for i in range(hubs)]
     chosen = banded.groupBy("t", "band").agg(F.array(*first).alias("ys"))
-    met = banded.join(chosen, ["t", "band"]).select("x", F.explode(F.array_distinct("ys")).alias("y"))
-    return met.where((F.col("x.v") != F.col("y.v")) & fits(F.col("x.n"), F.col("y.n"), percent))
+    met = banded.join(chosen, ["t", "band"]).select("v", "n", F.explode(F.array_distinct("ys")).alias("y"))
+    met = met.where((F.col("v") != F.col("y.v")) & fits(F.col("n"), F.col("y.n"), percent))
+    return met.select("v", F.col("y.v").alias("v_"))
 
 
-def cross_pairs(postings: DataFrame, comps: DataFrame, percent: int, best: bool) -> DataFrame:
+def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, percent: int, best: bool) -> DataFrame:
     """``a, b, na, nb``: all pairs in different components so far that share enough prefix shingles; with ``best`` only the one that
-    shares most for each document.
+    shares most for each document. Written out.
 
     For each shingle its largest component is met by the documents of all others; two documents of one component never meet. Where
     at most ``LIGHT`` documents are outside the largest component this is a join, with at most ``LIGHT`` rows per posting. Longer
     lists of documents that are alike but not linked are compared in blocks by matrix products, which emit only pairs that
     share enough.
     """
-    held = postings.select("t", "x", F.col("x.v").alias("v")).join(comps, "v", "left")
-    known = settle(held.select("t", "x", F.coalesce("comp", "v").alias("comp")))
+    known = settle(postings.join(comps, "v", "left").select("t", "v", "n", F.coalesce("comp", "v").alias("comp")))
     per = known.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c"))
     lists = per.groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("df"))
     lists = lists.where(F.col("df") > F.col("most")).withColumn("light", F.col("df") - F.col("most") <= LIGHT)
-    rows = settle(known.join(lists.select("t", "main", "df", "light"), "t"))
+    rows = settle(known.join(lists.select("t", "main", "df", "light"), "t").withColumn("out", F.col("comp") != F.col("main")).drop("main"))
     light = rows.where("light")
-    other = light.where(F.col("comp") != F.col("main")).select("t", F.col("x").alias("y"), F.col("comp").alias("comp_"))
-    met = light.join(other, "t").where(F.col("comp") != F.col("comp_"))
-    met = met.where((F.col("comp") == F.col("main")) | (F.col("x.v") < F.col("y.v")))
-    # a light list gives each of its shared shingles; those of heavy lists are added to the count for both as if all were shared
+    other = light.where("out").select("t", *[F.col(c).alias(f"{c}_") for c in ("v", "n", "comp")])
+    met = light.join(other, "t").where((F.col("comp") != F.col("comp_")) & (~F.col("out") | (F.col("v") < F.col("v_"))))
+    met = met.where(fits(F.col("n"), F.col("n_"), percent)).select("v", "v_")
+    # a light list gives each of its shared shingles; those of heavy lists are added to the count as if all were shared
     heavy = rows.where(~F.col("light"))
-    found = block_pairs(heavy, known, percent, best)
-    extra = heavy.groupBy(F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("h"))
-    joined = met.where(fits(F.col("x.n"), F.col("y.n"), percent)).select("x", "y")
-    pairs = enough(joined, percent, extra).unionByName(found)
+    extra = heavy.groupBy("v").agg(F.count(F.lit(1)).alias("h"))
+    pairs = enough(met, facts, percent, extra).unionByName(block_pairs(heavy, known, facts, percent, best))
     if best:
         one = F.struct("c", "a", "b", "na", "nb")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), one.alias("p"))
         pairs = ends.groupBy("v").agg(F.max("p").alias("p")).select("p.*")
-    return pairs.dropDuplicates(["a", "b"])
+    out = settle(pairs.dropDuplicates(["a", "b"]))
+    release(known, rows)
+    return out
 
 
-def block_pairs(heavy: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
+def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
     """``a, b, na, nb, c`` of the pairs within the lists of ``heavy`` that share enough of all their repeated prefix shingles.
 
     A list is cut into blocks of about ``BLOCK`` documents; a task holds two blocks.
     """
-    sets = known.select(F.col("x.v").alias("v"), "t").join(heavy.select(F.col("x.v").alias("v")).distinct(), "v")
-    sets = sets.groupBy("v").agg(F.collect_list("t").alias("p"))  # at most the prefix of one document
+    long = heavy.groupBy("v").agg(F.collect_list("t").alias("q"))
+    sets = known.select("v", "t").join(long.select("v"), "v").groupBy("v").agg(F.collect_list("t").alias("p"))  # parts of one prefix
+    sets = sets.join(long, "v").join(facts.select("v", F.struct("n", "lift", "cut").alias("x")), "v")
     parts = F.ceil(F.col("df") / F.lit(BLOCK)).cast("int")
-    cut = heavy.select("t", "x", F.col("x.v").alias("v"), "comp", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("v", "t"), F.col("parts")).cast("int"))
+    cut = heavy.select("t", "v", "comp", "out", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("v", "t"), F.col("parts")).cast("int"))
     spread = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "v", "x", "comp").join(sets, "v")
+    spread = spread.select("t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "v", "comp", "out").join(sets, "v")
+
+    def common(rows: pa.Table, name: str, left: np.ndarray, right: np.ndarray, below: int | None = None) -> np.ndarray:
+        """How many values of the list column ``name`` (less than ``below``) each two rows share."""
+        column = rows.column(name).combine_chunks()
+        values, doc = column.flatten().to_numpy(), np.repeat(np.arange(rows.num_rows), np.diff(column.offsets.to_numpy()))
+        if below is not None:
+            values, doc = values[values < below], doc[values < below]
+        flat = np.unique(values, return_inverse=True)[1]
+        same = np.zeros((len(left), len(right)), "float32")
+        for start in range(0, int(flat.max(initial=-1)) + 1, COLUMNS):
+            here = (flat >= start) & (flat < start + COLUMNS)
+            whole = np.zeros((rows.num_rows, COLUMNS), "float32")
+            whole[doc[here], flat[here] - start] = 1
+            same += whole[left] @ whole[right].T
+        return same
 
     def compare(rows: pa.Table) -> pa.Table:
-        i, j, own = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), rows.column("own").to_numpy()
+        t, i, j = (rows.column(k)[0].as_py() for k in ("t", "i", "j"))
+        own, v, comp, out = (rows.column(k).to_numpy() for k in ("own", "v", "comp", "out"))
         x = rows.column("x").to_pylist()
-        v, n, lift = (np.array([r[k] for r in x]) for k in ("v", "n", "lift"))
+        n, lift = (np.array([r[k] for r in x]) for k in ("n", "lift"))
         cuts = np.array([(r["cut"]["f"], r["cut"]["h"]) for r in x], dtype=[("f", "f8"), ("h", "i8")])
         place = np.unique(cuts, return_inverse=True)[1]
-        comp = rows.column("comp").to_numpy()
-        lengths = np.diff(rows.column("p").combine_chunks().offsets.to_numpy())
-        flat = np.unique(rows.column("p").combine_chunks().flatten().to_numpy(), return_inverse=True)[1]
-        doc = np.repeat(np.arange(len(v)), lengths)
-        names, counts = np.unique(comp, return_counts=True)
-        left = np.flatnonzero((own == i) if i != j else (comp != names[np.argmax(counts)]))
+        left = np.flatnonzero((own == i) & (out if i == j else True))
         right = np.flatnonzero(own == j)
-        same = np.zeros((len(left), len(right)), "float32")
-        at_left, at_right = np.full(len(v), -1), np.full(len(v), -1)
-        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-        for start in range(0, int(flat.max(initial=-1)) + 1, COLUMNS):
-            here = (flat >= start) & (flat < start + COLUMNS)
-            d, c = doc[here], flat[here] - start
-            m = [np.zeros((len(k), COLUMNS), "float32") for k in (left, right)]
-            for mat, at in zip(m, (at_left, at_right)):
-                mine = at[d] >= 0
-                mat[at[d[mine]], c[mine]] = 1
-            same += m[0] @ m[1].T
+        same = common(rows, "p", left, right)
+        first = common(rows, "q", left, right, t) == 0  # a pair belongs to the first of the long lists that hold both
         nx, ny = n[left][:, None], n[right][None, :]
         least = asked(
             nx, ny, lift[left][:, None], lift[right][None, :], place[left][:, None] < place[right][None, :],
             place[right][None, :] < place[left][:, None], percent, np.minimum, np.maximum, np.ceil, np.where,
         )
         fit = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
-        r, c = np.nonzero((same >= least) & fit & (comp[left][:, None] != comp[right][None, :]))
+        once = ~out[right][None, :] | (v[left][:, None] < v[right][None, :]) if i == j else True
+        r, c = np.nonzero((same >= least) & fit & first & once & (comp[left][:, None] != comp[right][None, :]))
         if best and len(r):
             order = np.lexsort((-same[r, c], r))
-            first = np.append(True, r[order][1:] != r[order][:-1])
-            r, c = r[order][first], c[order][first]
+            top = np.append(True, r[order][1:] != r[order][:-1])
+            r, c = r[order][top], c[order][top]
         shared = same[r, c].astype("int64")
         a, b = left[r], right[c]
         flip = v[a] > v[b]
         a, b = np.where(flip, b, a), np.where(flip, a, b)
-        out = {"a": pa.array(v[a], pa.int64()), "b": pa.array(v[b], pa.int64()), "na": pa.array(n[a], pa.int32()), "nb": pa.array(n[b], pa.int32()), "c": pa.array(shared, pa.int64())}
-        return pa.table(out)
+        found = {"a": pa.array(v[a], pa.int64()), "b": pa.array(v[b], pa.int64()), "na": pa.array(n[a], pa.int32()), "nb": pa.array(n[b], pa.int32()), "c": pa.array(shared, pa.int64())}
+        return pa.table(found)
 
-    return spread.groupBy("t", "i", "j").applyInArrow(compare, "a bigint, b bigint, na int, nb int, c bigint").dropDuplicates(["a", "b"])
+    return spread.groupBy("t", "i", "j").applyInArrow(compare, "a bigint, b bigint, na int, nb int, c bigint")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """``a, b`` of the pairs whose whole sets link. Only documents of candidate pairs are read for it."""
-    pairs = settle(pairs)
+    """``a, b`` of the written ``pairs`` whose whole sets link, written out. Only documents of candidate pairs are read for it."""
     nodes = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     wanted = settle(classes.select("v", "d1", "d2", "first_id").join(nodes, "v"))
     ids = wanted.select(F.col("first_id").alias("id")).distinct()
@@ -340,7 +342,9 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, t
     both = pairs.join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
     both = both.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a")
     same = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * same >= percent * (F.col("na") + F.col("nb") - same)).select("a", "b")
+    out = settle(both.where(100 * same >= percent * (F.col("na") + F.col("nb") - same)).select("a", "b"))
+    release(pairs, wanted, sets)
+    return out
 
 
 def near_duplicates(
@@ -350,19 +354,22 @@ def near_duplicates(
     the rows with the smallest id (of equal ids the smallest set digest) of their component."""
     rows, sketch = read_documents(docs, id_col, text_col, n)
     classes = classes_of(docs, sketch, id_col, text_col, n, percent, max_lift)
-    postings = classes.select("v", F.explode("prefix").alias("t"))
+    postings = classes.select("v", "n", F.explode("prefix").alias("t"))
     shared = postings.groupBy("t").agg(F.min("v").alias("a"), F.max("v").alias("b")).where(F.col("a") != F.col("b")).select("t")
     postings = settle(postings.join(shared, "t"))
-    postings = postings.join(classes.select("v", F.struct("v", "n", "lift", "cut").alias("x")), "v").select("t", "x")
+    facts = classes.select("v", "n", "lift", "cut")
     options = dict(docs=docs, classes=classes, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    edges = settle(linked(enough(hub_pairs(postings, percent), percent), **options))
+    edges = linked(settle(enough(hub_pairs(postings, percent), facts, percent)), **options)
     comps = connected_components(edges)
-    for best in (True, False):  # documents that link with their best partner are together before all others are asked for
-        edges = settle(edges.unionByName(linked(cross_pairs(postings, comps, percent, best), **options)))
+    for best in (True, True, False):  # documents that link with their best partner are together before all others are asked for
+        more = linked(cross_pairs(postings, facts, comps, percent, best), **options)
+        old, edges = edges, settle(edges.unionByName(more))
+        release(old, more)
         comps = connected_components(edges)
 
     named = classes.select("v", "d1", "d2", "first_id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = settle(named)
+    release(classes, postings, edges)
     place = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "d1", "d2")
     heads = named.groupBy("comp").agg(F.min(place).alias("head"))
     whole = named.join(heads, "comp").select("d1", "d2", "head")
