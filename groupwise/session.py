@@ -53,7 +53,17 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_root(df.sparkSession)}/groupwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`settle` returned, once everything made from them is settled itself."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.settled_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 ROWS_PER_TASK = 50_000
