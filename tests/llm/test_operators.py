@@ -1,0 +1,257 @@
+"""The corpus operators on small tables: edge cases, brute force, round trips and held-out accuracy."""
+
+from __future__ import annotations
+
+import itertools
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
+
+from check import compare, duck  # noqa: E402
+
+from groupwise.llm import ann, chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, queries, secret_scan, toxicity  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, source string, kept string, _row string, n bigint"
+BASE = " ".join(f"w{i}" for i in range(60))
+ROWS = [
+    (1, BASE, "a", "x", "y", 1), (2, BASE, "a", "x", "y", 2), (2, BASE, "a", "x", "y", 2), (3, BASE.replace("w30 ", "zz "), "b", None, None, 3),
+    (4, None, None, None, None, None), (5, "", "a", "x", "y", 5), (6, "one", "b", "x", "y", 6), (None, "no id here at all ok", None, "x", "y", 7),
+    (7, "word " * 20_000, "a", "x", "y", 8), (8, BASE + "\nmore\n\nlines", "c", "x", "y", 9),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(spark, name):
+    assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.SQL[name]) == ""
+
+
+def test_exact_dedup_edges(docs, empty):
+    rows = exact_dedup.mark_duplicates(docs).collect()
+    assert len(rows) == len(ROWS) and len({r["text_sha256"] for r in rows}) == sum(r["kept"] for r in rows)
+    assert {r["keep_id"] for r in rows if r["doc_id"] in (1, 2)} == {2} and {r["keep_id"] for r in rows if r["doc_id"] in (4, 5)} == {5}
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["2", "3", "5", "6", "None", "7", "8"])
+    assert exact_dedup.mark_duplicates(empty).count() == exact_dedup.drop_duplicates(empty).count() == 0
+
+
+def test_frequent_digests_take_the_broadcast_path(spark):
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    hot = exact_dedup.frequent_groups(many.select(exact_dedup.digest_of("text").alias("_d"), F.struct("doc_id").alias("_k")), 64).collect()
+    assert [(r["_size"], r["_keep"]["doc_id"]) for r in hot] == [(1667, 4998)]
+    assert exact_dedup.mark_duplicates(many, counters=64).where("kept").count() == 5000 - 1666
+
+
+def test_ngram_join_edges(docs, empty):
+    rows = ngram_join.near_duplicates(docs).collect()
+    of = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in rows}
+    assert len(rows) == len(ROWS) and of[1, 56] == of[2, 56] == of[3, 56] == of[8, 58] == 1
+    assert of[4, 0] == 4 and of[6, 1] == 6 and of[None, 2] is None
+    kept = ngram_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id in (1, 2, 3, 8)").count() == 1 and kept.count() == 6
+    assert ngram_join.near_duplicates(empty).count() == 0
+
+
+def test_ngram_join_dense_groups_by_brute_force(spark, monkeypatch):
+    """Many variants of one text, some linked and some not, with tiny limits, so that hubs, joins and blocks all act."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(60):
+        words = BASE.split()
+        for at in rng.choice(60, rng.integers(1, 6), replace=False):
+            words[at] = f"v{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    comp = list(range(60))
+    for a, b in itertools.combinations(range(60), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            comp = [comp[a] if c == comp[b] else c for c in comp]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {i: min(j for j in range(60) if comp[j] == comp[i]) for i in range(60)}
+
+
+def test_packing(docs, empty, spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(queries.tokenizer_path())
+    packed = packing.pack_documents(docs, queries.tokenizer_path())
+    rows = packed.collect()
+    text = {i: t for i, t, *_ in ROWS}
+    for r in rows:
+        ids = tk.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids + [1]
+        assert r["ids"] == ids[r["start"] : r["start"] + r["length"]] and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    for s in {r["sequence_id"] for r in rows}:
+        inside = sorted((r["offset"], r["length"]) for r in rows if r["sequence_id"] == s)
+        assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))] and sum(n for _, n in inside) <= 4096
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 4096)
+    assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
+    assert sum(len(r["ids"]) for r in packing.sequences(packed).collect()) == sum(r["length"] for r in rows)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_every_capacity_holds(score):
+    limits = packing.Limits(tokens=100, documents=3, attention=5_000)
+    counts = {60: 5, 40: 9, 33: 10, 7: 50, 1: 21}
+    slots = packing.plan_slots(counts, limits, score)
+    bins: dict[int, list[int]] = {}
+    for length, n in counts.items():
+        part = slots[slots["length"] == length].sort_values("rank")
+        for k in range(n):
+            s = part[part["rank"] <= k].iloc[-1]
+            bins.setdefault(s["bin"] + (k - s["rank"]) // s["each"], []).append(length)
+    assert all(sum(b) <= 100 and len(b) <= 3 and sum(x * x for x in b) <= 5_000 for b in bins.values())
+
+
+def test_words_encode_as_the_tokenizer_does(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(queries.tokenizer_path())
+    encode = packing.WordEncoder(Path(queries.tokenizer_path()).read_text(encoding="utf-8"), 50)
+    odd = ["It's, DON'T... ÉCOLE straße ﬁn Ünï ª º µ x²", "a<|endoftext|>b", "é  x y 日本 İstanbul ΣΑΣ", "", " \t\n", "1,234.5 a.b.c, ,, .."]
+    texts = odd + [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    for t in texts:
+        assert np.frombuffer(encode(t or ""), "<u4").tolist() == tk.encode(t or "", add_special_tokens=False).ids
+
+
+def test_mixing_edges(docs, empty):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(ROWS) and all(r["taken"] <= 3 * r["size"] for r in rows)
+    total = sum(r["size"] for r in rows)
+    assert abs(sum({r["source"]: r["target"] for r in rows}.values()) - total) < 1e-6 * total and sum(r["taken"] for r in rows) <= total
+    copies = mixing.mixed_documents(docs)
+    assert copies.columns == docs.columns and copies.count() == sum(r["repeats"] for r in rows)
+    assert mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
+
+
+def test_line_dedup_edges(spark, empty):
+    passage = "\n".join(" ".join(f"p{k}w{i}" for i in range(20)) for k in range(3))
+    rows = [(1, f"start here\n{passage}\nend one"), (2, f"other\n{passage}\nend two"), (3, None), (4, "short\nshort"), (2, "different text"), (None, passage)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    text = [(r["doc_id"], r["text"]) for r in got]
+    assert (None, passage) in text and (1, "start here\nend one") in text and (2, "other\nend two") in text
+    assert (3, None) in text and (4, "short\nshort") in text and (2, "different text") in text
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_chat_round_trip(spark):
+    odd = ["\\", "###", "</turn>", "\\### Assistant: </turn> ok", "####\\\\</turn></turn>", "a\\", "", "### x: y\n", "é😀"]
+    for turns in [[("user", a), ("assistant", b)] for a in odd for b in odd] + [[("a:b\\###", "x"), ("", "")], []]:
+        out, mask = chat.format_turns(turns)
+        assert chat.read_back(out) == turns
+        assert [chat.unescape(out[a:b]) for a, b in mask] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_layouts(spark):
+    table = chat.mapping_table()
+    want = [("user", "q"), ("assistant", "a")]
+    for record in (
+        {"prompt": "q", "response": "a"}, {"question": "q", "answer": "a"}, {"instruction": "q", "input": "", "output": "a"},
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+    ):
+        assert chat.turns_of(record, table) == want
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turns_of({"other": 1}, table)
+    rows = [(1, None, None, None), (1, 2, "user", "x"), (1, 2, "user", "x"), (None, 1, "assistant", "y")]
+    got = chat.digests(chat.format_records(chat.records_of(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")))).collect()
+    assert {r["conv_id"]: r["n_turns"] for r in got} == {1: 3, None: 1}
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(600, 16)).astype("float32")
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(i, [1.0] + [0.0] * 15) for i in range(600, 900)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, 2.0]), (None, [1.0] * 16)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got: dict[int, list] = {}
+    for r in ann.nearest(table, table.where("vec_id % 20 == 0"), leaf=8, probes=60, sample=300).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    x = np.array([v for _, v in rows[:900]], "float64")
+    recall = []
+    for q in range(0, 900, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(900), -s))[:20]
+        recall.append(len({v for v, _ in got[q]} & set(want.tolist())) / 20)
+        assert np.allclose([p for _, p in got[q]], [x[v] @ x[q] for v, _ in got[q]])
+    assert sorted(got) == list(range(0, 900, 20)) and np.mean(recall) >= 0.9
+    assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_language_id(spark, docs, empty):
+    rows = queries.op9_langid(spark, "/root/testdata/sf0.01").collect()
+    lang = dict(duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
+    model = langid.LanguageModel([("en", 0, "the", 5), ("de", 0, "der", 5), ("en", 1, "t", 5), ("de", 1, "d", 5)])
+    assert model.predict(None) == model.predict("12 34 ²") == ("und", 0.0) and model.predict("The the")[0] == "en" and model.predict("dx")[0] == "de"
+    assert langid.predict(empty, model).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    rows = queries.op1_toxicity(spark, "/root/testdata/sf0.01").collect()
+    label = dict(duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall())
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in label]
+    assert np.mean([r["predicted"] == label[r["doc_id"]] for r in held]) > 0.9
+    model = toxicity.ToxicityModel({"bad": 20.0}, -9.0)
+    score, spans = model.document("Fine here. So BAD it is! Fine")
+    assert score > 0.99 and [(a, b) for a, b, _ in spans] == [(10, 23)]
+    assert model.document("")[0] == model.document(None)[0] == 0.0
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got[4] == got[5] == 0.0 and toxicity.score(empty, model).count() == 0
+    assert toxicity.keep_clean(docs, model).columns == docs.columns and toxicity.keep_clean(docs, model).count() == len(ROWS)
+    assert toxicity.fit(["a"], [1]).document("a")[0] < 1e-9
+
+
+def test_secret_base_spans_by_brute_force(spark, docs, empty):
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
+    texts = ["token=ab Secret : 'abcdef' API_KEY=xxxxxxxx apikey:short", "AKIA" + "A1" * 8 + " AKIAAKIA" + "B" * 11, "x" + "0a" * 12 + "g" + "f" * 23, "", "passwordpassword=abcdefg"]
+    for t in texts:
+        want = [("assign", *m.span()) for m in pattern.finditer(t) if len(m[2]) >= 6]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert [s[:3] for s in secret_scan.base_spans(t)] == sorted(want, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+    assert secret_scan.find_secrets(docs).count() == len(ROWS) and secret_scan.find_secrets(empty).count() == 0
+
+
+def test_inferred_grammar_tells_formats():
+    rng = np.random.default_rng(1)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    examples = {"access": ["AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16) for _ in range(200)]}
+    model = secret_scan.FormatModel(examples)
+    assert np.mean([model.accepts("ASIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)) for _ in range(50)]) > 0.7
+    assert not model.accepts("4041894974608795") and not model.accepts("www.example.com/page1")
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} <= ids, name
+        docs = out
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() >= docs.count()
