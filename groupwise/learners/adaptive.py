@@ -152,7 +152,7 @@ class AdaptiveClassifier:
     alpha: float = 0.5
     k_ini: float = 1
     k_min: float = 20
-    patience: int = 20
+    patience: int | None = None  # half the iterations
     constraint: str = "equalized_loss"
     max_iter: int = 100
     info: AdaptiveResult | None = None
@@ -161,5 +161,6 @@ class AdaptiveClassifier:
         learner = LogisticLearner(C=self.C, max_iter=self.max_iter, balanced=False)
         with LogisticRiskOracle(df, features, y, g, valid, self.constraint, learner) as oracle:
             start = scheme_weights(oracle.prior, "naive")
-            self.info = adaptive_weights(oracle, start, self.n_iterations, self.patience, self.k_ini, self.k_min, self.alpha)
+            patience = self.n_iterations // 2 if self.patience is None else self.patience
+            self.info = adaptive_weights(oracle, start, self.n_iterations, patience, self.k_ini, self.k_min, self.alpha)
             return oracle.fit(self.info.mu)

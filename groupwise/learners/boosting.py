@@ -475,12 +475,13 @@ class _Booster:
                 _, halt = stop.update(self._watch_loss(watch, groups))
                 old.unpersist()
                 if halt:
-                    trees = trees[: stop.best_round + 1]
                     break
         for old in [*stale, frame]:
             old.unpersist()
         if watch is not None:
             watch.unpersist()
+            if stop.best_round >= 0:  # the best round counts whether patience or the rounds ran out
+                trees = trees[: stop.best_round + 1]
         self.info = pd.DataFrame(log, columns=["round", "g", "loss", "mu", "epsilon"])
         return BoostModel(self.kind, binned.features, init, trees, self.info)
 
@@ -495,8 +496,8 @@ class _Booster:
         if self.p.metric is not None:
             return float(self.p.metric(watch))
         base = sq_loss("_y", F.col("_m")) if self.kind == "regressor" else logloss(F.col("_y"), sigmoid(F.col("_m")))
-        by = watch.groupBy("_g").agg(F.sum(base).alias("s"), F.count(F.lit(1)).alias("n"), F.avg(self._row_loss(F.col("_m"))).alias("c"))
-        t = by.agg(F.sum("s") / F.sum("n"), F.max("c")).first()
+        by = watch.groupBy("_g").agg(F.sum(base).alias("s"), F.count(F.lit(1)).alias("n"))
+        t = by.agg(F.sum("s") / F.sum("n"), F.max(F.col("s") / F.col("n"))).first()
         lam = self.p.fair_weight if self.fair else 0.0
         return (1 - lam) * t[0] + lam * (t[1] or 0.0)
 

@@ -311,7 +311,8 @@ class MixtureClassifier:
             raise ValueError("constraint must be 'equalized_loss' or 'true_positive_rate'")
         learner = LogisticLearner(C=self.C, max_iter=self.max_iter)
         rows = cached_rows(df.select(*dict.fromkeys([*features, y, g])))
-        start = learner.fit(rows, features, y).transform(rows)
+        plain = LogisticLearner(C=self.C, max_iter=self.max_iter, balanced=False)  # the range of gamma comes from a fit without class weights
+        start = plain.fit(rows, features, y).transform(rows)
         loss = bounded_rows(group_logloss(start, self.constraint, [g], y, "p"), "groups")["loss"].dropna()
         gamma = float(loss.min() + self.gamma * (loss.max() - loss.min()))
         kind = "Log-Loss" if self.constraint == "equalized_loss" else "FN-Log-Loss"
@@ -340,7 +341,7 @@ class MixtureRegressor:
         d = F.col(y) - F.col("p")
         mse = bounded_rows(start.groupBy(g).agg(F.avg(d * d).alias("mse")), "groups")["mse"]
         gamma = float(mse.min() + self.gamma * (mse.max() - mse.min()))
-        game = MinimaxGame(learner, "relaxed" if self.relaxed else "minimax", self.n_estimators, self.a, self.b, gamma, "MSE")
+        game = MinimaxGame(learner, "relaxed" if self.relaxed else "minimax", self.n_estimators, self.a, self.b, gamma, "MSE", scale_by_label=True)
         try:
             return game.fit(rows, features, y, [g])
         finally:

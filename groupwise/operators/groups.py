@@ -166,15 +166,15 @@ def row_weights(
 ) -> DataFrame:
     """Row weight averaged over group types; ``tables`` maps a group column to its :func:`game_weight_table`.
 
-    ``shift_negative`` lifts the weights of a group type by its lowest weight when that is negative.
+    ``shift_negative`` lifts all weights by the lowest one over all group types when that is negative.
     """
     parts = []
+    lows = [t.agg(F.min(F.least("w_pos", "w_neg"))).first()[0] for t in tables.values()] if shift_negative else []
+    low = min([x for x in lows if x is not None], default=0.0)
     for i, (column, table) in enumerate(tables.items()):
         t = table.select(F.col(table.columns[0]).alias(column), F.col("w_pos").alias(f"_p{i}"), F.col("w_neg").alias(f"_n{i}"))
-        if shift_negative:
-            low = table.agg(F.min(F.least("w_pos", "w_neg"))).first()[0]
-            if low is not None and low < 0:
-                t = t.withColumns({f"_p{i}": F.col(f"_p{i}") - F.lit(low), f"_n{i}": F.col(f"_n{i}") - F.lit(low)})
+        if low < 0:
+            t = t.withColumns({f"_p{i}": F.col(f"_p{i}") - F.lit(low), f"_n{i}": F.col(f"_n{i}") - F.lit(low)})
         df = attach(df, t, [column])
         parts.append(F.when(F.col(y) == 1, F.col(f"_p{i}")).otherwise(F.col(f"_n{i}")))
     total = parts[0]
