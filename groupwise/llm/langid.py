@@ -33,8 +33,9 @@ PER_LANGUAGE = 3_000
 ENTRIES = 60_000
 SMOOTHING = 0.3
 STEP = math.log(0.4)
-CACHE_WORDS = 200_000
-PART = 1_000_000
+CACHE_CELLS = 4_000_000
+CHUNK = 4_096
+PART = 50_000
 
 
 def grams(word: str, n: int) -> Iterator[str]:
@@ -46,20 +47,23 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """``lang, kind, gram, n`` from ``(text, lang)``; kind 0 is whole words, else the n-gram length. Combined in the task first."""
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
-        seen: Counter = Counter()
+        words: dict[str, Counter] = {}
 
         def flush() -> Iterator[tuple]:
-            for (lang, kind, gram), n in seen.items():
-                yield lang, kind, gram, n
-            seen.clear()
+            for lang, counted in words.items():
+                seen: Counter = Counter()
+                for word, n in counted.items():
+                    seen[0, word] += n
+                    for k in range(1, LONGEST + 1):
+                        for gram in grams(word, k):
+                            seen[k, gram] += n
+                for (kind, gram), n in seen.items():
+                    yield lang, kind, gram, n
+            words.clear()
 
         for text, lang in rows:
-            for word, n in Counter(LETTERS.findall(text.lower())).items():
-                seen[lang, 0, word] += n
-                for k in range(1, LONGEST + 1):
-                    for gram in grams(word, k):
-                        seen[lang, k, gram] += n
-            if len(seen) > PART:
+            words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            if sum(map(len, words.values())) > PART:
                 yield from flush()
         yield from flush()
 
@@ -84,42 +88,56 @@ class LanguageModel:
                 score = np.log((row + smoothing) / total)
                 table[gram] = score - score.mean()  # what all languages share decides nothing
             self.tables.append(table)
-        self.seen: dict[str, np.ndarray] = {}
+        # the n-grams of all lengths in one matrix, with the penalty of their length; row 0 stands for none
+        longer = [(gram, row * math.exp(STEP * (LONGEST - k))) for k in range(1, LONGEST + 1) for gram, row in self.tables[k].items()]
+        self.places = {gram: i for i, (gram, _) in enumerate(longer, 1)}
+        self.weakened = np.array([np.zeros(len(self.langs)), *[row for _, row in longer]])
+        self.tables = self.tables[:1]
+        self.rows: _WordRows | None = None
 
     def unseen(self, word: str) -> np.ndarray:
         """Longest known n-gram at each place; its evidence is weakened by ``exp(STEP)`` for each step of backing off."""
-        marked = f"^{word}$"
-        out, i = np.zeros(len(self.langs)), 0
-        while i < len(marked):
-            for k in range(min(LONGEST, len(marked) - i), 0, -1):
-                row = self.tables[k].get(marked[i : i + k])
-                if row is not None:
-                    out = out + row * math.exp(STEP * (LONGEST - k))
-                    break
-            i += 1
-        return out / LONGEST
-
-    def word(self, word: str) -> np.ndarray:
-        row = self.tables[0].get(word)
-        if row is None:
-            row = self.seen.get(word)
-            if row is None:
-                if len(self.seen) >= CACHE_WORDS:
-                    self.seen.clear()
-                row = self.seen[word] = self.unseen(word)
-        return row
+        m, get = f"^{word}$", self.places.get
+        found = [get(m[i : i + 4]) or get(m[i : i + 3]) or get(m[i : i + 2]) or get(m[i]) or 0 for i in range(len(m))]
+        return self.weakened[found].sum(0) / LONGEST
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text and self.langs else []
         if not any(any(c.isalpha() for c in w) for w in words):
             return "und", 0.0
+        if self.rows is None:
+            self.rows = _WordRows(self)
         total = np.zeros(len(self.langs))
-        for start in range(0, len(words), 4096):  # bounded rows in memory, whatever the length of the text
-            total += np.array([self.word(w) for w in words[start : start + 4096]]).sum(0)
+        for start in range(0, len(words), CHUNK):  # bounded rows in memory, whatever the length of the text
+            total += self.rows.of(words[start : start + CHUNK]).sum(0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+class _WordRows(dict):
+    """Place of a word in one matrix of scores. Unseen words are added as they come, and forgotten when the matrix is full."""
+
+    def __init__(self, model: LanguageModel):
+        known = model.tables[0]
+        super().__init__((word, i) for i, word in enumerate(known))
+        self.model, self.known = model, len(known)
+        room = max(2 * CHUNK, CACHE_CELLS // max(1, len(model.langs)))
+        self.scores = np.zeros((self.known + room, len(model.langs)))
+        for i, row in enumerate(known.values()):
+            self.scores[i] = row
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        self.scores[i] = self.model.unseen(word)
+        return i
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) + len(words) > len(self.scores):
+            for word in list(self)[self.known :]:
+                del self[word]
+        return self.scores[list(map(self.__getitem__, words))]
+
+
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE, entries: int = ENTRIES) -> LanguageModel:
     """Learn from the rows of ``labelled`` (``id_col, lang_col``) with a language. The model has at most ``entries`` words and
