@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import constraint_loss
-from .game import bounded_rows, cached_rows
+from .game import bounded_rows, cached_rows, refuse_null_groups
 from .linear import LinearModel, LogisticLearner
 
 CLASS_PRIOR_FLOOR = 1e-3
@@ -98,7 +98,8 @@ class LogisticRiskOracle:
         cols = [*dict.fromkeys([*self.features, self.y, self.g])]
         self._rows = cached_rows(self.train.select(*cols))
         self._held = cached_rows(self.valid.select(*cols)) if self.valid is not None else self._rows
-        sizes = bounded_rows(self._rows.where(F.col(self.g).isNotNull()).groupBy(self.g).agg(F.count(F.lit(1)).alias("n")), "groups")
+        refuse_null_groups(self._rows, [self.g])
+        sizes = bounded_rows(self._rows.groupBy(self.g).agg(F.count(F.lit(1)).alias("n")), "groups")
         sizes = sizes.sort_values(self.g)
         self.names = sizes[self.g].tolist()
         self.prior = sizes["n"].to_numpy(float) / sizes["n"].sum()

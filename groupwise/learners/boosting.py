@@ -200,19 +200,28 @@ class Binned:
     def unpersist(self) -> None:
         self.rows.unpersist()
 
-    def bin(self, df: DataFrame, y: str, g: str) -> DataFrame:
+    def bin(self, df: DataFrame, y: str, g: str | None) -> DataFrame:
         return _bin(df, self.features, self.edges, y, _codes(df, g, self.groups))
 
 
-def _codes(df: DataFrame, g: str, groups: list) -> DataFrame:
+def _codes(df: DataFrame, g: str | None, groups: list) -> DataFrame | None:
+    if g is None:
+        return None
     kind = df.schema[g].dataType.simpleString()
     return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(groups)], f"`{g}` {kind}, _g int")
 
 
-def _bin(df: DataFrame, features: Sequence[str], edges: list[list[float]], y: str, codes: DataFrame) -> DataFrame:
-    g = codes.columns[0]
-    base = df.join(F.broadcast(codes), g).select(
-        F.col(y).cast("double").alias("_y"), "_g", *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
+def _bin(df: DataFrame, features: Sequence[str], edges: list[list[float]], y: str, codes: DataFrame | None) -> DataFrame:
+    """Without ``codes`` all rows are one group; with them a NULL or unknown group stops the job, no row is dropped."""
+    if codes is None:
+        coded, group = df, F.lit(0)
+    else:
+        g = codes.columns[0]
+        coded = df.join(F.broadcast(codes), g, "left")
+        stop = F.raise_error(F.concat(F.lit("group without training rows: "), F.coalesce(F.col(g).cast("string"), F.lit("NULL"))))
+        group = F.when(F.col("_g").isNull(), stop.cast("int")).otherwise(F.col("_g"))
+    base = coded.select(
+        F.col(y).cast("double").alias("_y"), group.alias("_g"), *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
     )
     cut = [i for i, e in enumerate(edges) if e]
     if cut:
@@ -227,7 +236,7 @@ def _bin(df: DataFrame, features: Sequence[str], edges: list[list[float]], y: st
     return base.select("_y", "_g", *[e.cast("smallint").alias(f"_b{i}") for i, e in enumerate(made)])
 
 
-def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str = "g", max_bins: int = MAX_BINS) -> Binned:
+def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str | None = "g", max_bins: int = MAX_BINS) -> Binned:
     """Quantile edges by one sketch aggregation, then bin and cache. A feature with few values gets one bin per value."""
     features = tuple(features)
     if not 2 <= max_bins <= 1024:
@@ -239,8 +248,10 @@ def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str = "g",
         F.count(F.lit(1)).alias("\0n"),
     ).first()
     edges = [sorted({v for v in (found[f] or []) if v > found[f"{f}\0low"]}) for f in features]
-    codes = dense_codes(df.select(g).where(F.col(g).isNotNull()).distinct(), [g], "_g")
-    names = bounded_rows(codes, "groups").sort_values("_g")[g].tolist()
+    names = ["all"]
+    if g is not None:
+        codes = dense_codes(df.select(g).where(F.col(g).isNotNull()).distinct(), [g], "_g")
+        names = bounded_rows(codes, "groups").sort_values("_g")[g].tolist()
     rows = spread(_bin(df, features, edges, y, _codes(df, g, names)), found["\0n"]).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = bounded_rows(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n")), "groups").sort_values("_g")["n"].to_numpy(float)
     return Binned(rows, features, edges, names, sizes)
@@ -382,10 +393,15 @@ class _Booster:
     info: pd.DataFrame | None = field(default=None)
 
     def fit(
-        self, df: DataFrame, features: Sequence[str], y: str = "y", g: str = "g", valid: DataFrame | None = None, binned: Binned | None = None
+        self, df: DataFrame, features: Sequence[str], y: str = "y", g: str | None = "g", valid: DataFrame | None = None, binned: Binned | None = None
     ) -> BoostModel:
+        """``g`` may be None for a plain booster, which has no use for groups and leaves them unread unless ``binned`` has them."""
         p, own = self.p, binned is None
         self._check()
+        if not self.fair and (binned is None or binned.groups == ["all"]):
+            g = None
+        elif g is None:
+            raise ValueError("a fair booster needs a group column")
         binned = binned or prepare(df, features, y, g, p.max_bins)
         held = binned.bin(valid, y, g) if valid is not None else None
         try:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,12 @@ def cached_rows(df: DataFrame) -> DataFrame:
     return spread(df, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def refuse_null_groups(rows: DataFrame, groups: Sequence[str]) -> None:
+    """Rows without a group would be missing in the fit but not in the population error."""
+    if not rows.where(reduce(or_, [F.col(c).isNull() for c in groups])).isEmpty():
+        raise ValueError(f"NULL in the group columns {list(groups)}; name that group or leave its rows out")
+
+
 @dataclass
 class _GroupType:
     """Sizes, weights and multipliers of the groups of one column."""
@@ -119,6 +127,7 @@ class MinimaxGame:
         rows = df if ready else cached_rows(require_columns(df, *columns).select(*columns))
         held = valid.select(*columns).persist(StorageLevel.MEMORY_AND_DISK) if valid is not None else None
         try:
+            refuse_null_groups(rows, groups)
             return self._play(rows, held, list(features), y, list(groups), main, pop, kinds, mode)
         finally:
             if not ready:

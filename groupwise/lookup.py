@@ -43,6 +43,13 @@ def pin(dim: DataFrame, max_rows: int | None = None) -> Pinned:
     return Pinned(settle(dim), False)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL keys equal each other; the key columns of ``left`` stay."""
+    keys = {c: f"_on{i}" for i, c in enumerate(on)}
+    other = right.withColumnsRenamed(keys)
+    return left.join(other, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()], how).drop(*keys.values())
+
+
 def attach(
     df: DataFrame,
     dim: DataFrame | Pinned,
@@ -50,15 +57,20 @@ def attach(
     how: str = "inner",
     max_rows: int | None = None,
     salts: int = SALTS,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Join the rows of ``df`` with the derived table ``dim`` (unique on ``on``) without shuffling a hot key into one task."""
+    """Join the rows of ``df`` with the derived table ``dim`` (unique on ``on``) without shuffling a hot key into one task.
+
+    ``null_safe`` lets a NULL key meet a NULL key.
+    """
     on = list(on)
+    join = join_null_safe if null_safe else DataFrame.join
     pinned = dim if isinstance(dim, Pinned) else pin(dim, max_rows)
     if pinned.small:
-        return df.join(F.broadcast(pinned.frame), on, how)
+        return join(df, F.broadcast(pinned.frame), on, how)
     spread = pinned.frame.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    return join(salted, spread, [*on, "_salt"], how).drop("_salt")
 
 
 def attach_totals(state: DataFrame, by: Sequence[str], **aggs) -> DataFrame:

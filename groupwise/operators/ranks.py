@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lookup import attach, pin
+from ..lookup import attach, join_null_safe, pin
 from ..session import settle
 
 SORT_ROWS = 200_000
@@ -31,7 +31,7 @@ def rank_cuts(
 
     ``cuts`` turns the stratum sizes ``(*by, n)`` into ``(*by, cut, k)``, ranks counted from 1; the sizes come from the first digit count,
     so they cost no pass of their own. ``key`` is a fixed-length hex text column. Returns ``(*by, cut, at)``: exactly ``k`` rows of the
-    stratum have ``key <= at`` as long as keys are distinct. Cuts with ``k = 0`` give an empty text, which is below every key. A rank
+    stratum have ``key <= at`` as long as keys are distinct. NULL is a stratum like any other. Cuts with ``k = 0`` give an empty text, which is below every key. A rank
     above the stratum size gives ``'~'``, which is above every key.
     """
     by = list(by)
@@ -47,13 +47,13 @@ def rank_cuts(
             counts = first.frame
         else:
             near = rows.withColumn("prefix", F.substring(key, 1, depth - DIGITS))
-            near = attach(near, state.derived(open_cuts.select(*by, "prefix").distinct()), [*by, "prefix"])
+            near = attach(near, state.derived(open_cuts.select(*by, "prefix").distinct()), [*by, "prefix"], null_safe=True)
             counts = _digit_counts(near, by, key, depth - DIGITS)
         w = Window.partitionBy(*by, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("upto", F.sum("n").over(w))
         asked = open_cuts.groupBy(*by, "prefix").agg(F.collect_list(F.struct("cut", "k")).alias("cuts"))
         hit = (
-            attach(counts, state.derived(asked), [*by, "prefix"])
+            attach(counts, state.derived(asked), [*by, "prefix"], null_safe=True)
             .withColumn("c", F.explode("cuts"))
             .where((F.col("c.k") > F.col("upto") - F.col("n")) & (F.col("c.k") <= F.col("upto")))
             .select(
@@ -65,7 +65,7 @@ def rank_cuts(
             )
         )
         state = pin(hit)
-        beyond = open_cuts.join(state.frame.select(*by, "cut"), [*by, "cut"], "left_anti")
+        beyond = join_null_safe(open_cuts, state.frame.select(*by, "cut"), [*by, "cut"], "left_anti")
         done.append(beyond.select(*by, "cut", F.lit("~").alias("at")))
         if state.small:
             largest = max(state.rows["n"].to_pylist(), default=0)
@@ -74,11 +74,11 @@ def rank_cuts(
         if largest <= sort_rows or depth >= KEY_DIGITS:
             break
     buckets = state.frame.select(*by, "prefix").distinct()
-    near = attach(rows.withColumn("prefix", F.substring(key, 1, depth)), state.derived(buckets), [*by, "prefix"])
+    near = attach(rows.withColumn("prefix", F.substring(key, 1, depth)), state.derived(buckets), [*by, "prefix"], null_safe=True)
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy(*by, "prefix").orderBy(key)).cast("bigint"))
     asked = state.frame.select(*by, "prefix", "k").distinct()
-    found = attach(ranked, state.derived(asked), [*by, "prefix", "k"]).select(*by, "prefix", "k", F.col(key).alias("at"))
-    last = state.frame.join(found, [*by, "prefix", "k"]).select(*by, "cut", "at")
+    found = attach(ranked, state.derived(asked), [*by, "prefix", "k"], null_safe=True).select(*by, "prefix", "k", F.col(key).alias("at"))
+    last = join_null_safe(state.frame, found, [*by, "prefix", "k"]).select(*by, "cut", "at")
     return reduce(DataFrame.unionByName, [last, *done])
 
 

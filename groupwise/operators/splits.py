@@ -44,7 +44,7 @@ def assign_by_cuts(df: DataFrame, by: Sequence[str], cuts: Callable[[DataFrame],
     by = list(by)
     at = rank_cuts(df, by, HASH, cuts)
     wide = at.groupBy(*by).agg(*[F.max(F.when(F.col("cut") == F.lit(i), F.col("at"))).alias(f"_at{i}") for i in range(len(names) - 1)])
-    labelled = attach(df, wide, by, how="left")
+    labelled = attach(df, wide, by, how="left", null_safe=True)
     expr: Column | None = None
     for i, name in enumerate(names[:-1]):
         cond = F.col(HASH) <= F.col(f"_at{i}")

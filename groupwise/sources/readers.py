@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +18,13 @@ CHARSETS = {"cp860": "IBM860", "latin1": "ISO-8859-1", "utf8": "UTF-8"}
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """``;`` if it occurs in the first two lines of the file, else ``,``."""
-    head = spark.read.text(path).limit(2).collect()
-    return ";" if any(";" in row[0] for row in head) else ","
+    return ";" if any(";" in line for line in first_lines(spark, path, 2)) else ","
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` lines of the file, of a folder those of its first file by name."""
+    files = spark.read.text(path).inputFiles()
+    return [row[0] for row in spark.read.text(unquote(min(files))).limit(n).collect()] if files else []
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> list[str]:
@@ -80,16 +87,26 @@ def _read_regex(spark: SparkSession, path: str, schema: T.StructType, pattern: s
 
 
 def _read_skipping(spark: SparkSession, path: str, spec: TableSpec, sep: str, skip: int) -> DataFrame:
-    """The header is the line after ``skip`` lines of the file; data lines are recognised by differing from those lines.
+    """The header is the line after ``skip`` lines of the file; these lines are dropped by their place, whatever they say.
 
-    A few leading lines are read for the header. Rows then stream through one filter, so files stay splittable; each file of a folder
-    is expected to start with the same lines.
+    Lines are counted only in the first block of a file, in the order the scan gives them, so files stay splittable. Every file of a
+    folder starts with ``skip`` lines and a header.
     """
-    lead = [row[0] for row in spark.read.text(path).limit(skip + 1).collect()]
-    junk, header = lead[:skip], lead[skip]
+    header = first_lines(spark, path, skip + 1)[skip]
     columns = [c.strip().strip('"') for c in header.split(sep)]
     schema = spec.schema(columns)
-    lines = spark.read.text(path).where(~F.col("value").isin([*junk, header]) & (F.trim("value") != ""))
+
+    def below_header(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
+        for part in parts:
+            first = part[part["start"] == 0]
+            nth = first.groupby("file").cumcount() + first["file"].map(seen).fillna(0)
+            for file, n in first.groupby("file").size().items():
+                seen[file] = seen.get(file, 0) + n
+            yield part.drop(index=nth.index[nth <= skip])[["value"]]
+
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", *place).mapInPandas(below_header, "value string").where(F.trim("value") != "")
     parsed = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r"))
     return parsed.select("r.*")
 

@@ -46,6 +46,23 @@ def test_junk_line_before_the_header(spark, tmp_path):
     assert rows(R.read_table(spark, str(tmp_path / "a.csv"), SPEC, skip_lines=1)) == [(1, "a", 2.5, 0), (2, "b", 1.5, 1)]
 
 
+def test_rows_equal_to_the_junk_or_header_line_stay(spark, tmp_path):
+    spec = TableSpec(cat=("c", "v"), label="y", key="id", extra={"y": T.StringType(), "id": T.StringType()})
+    (tmp_path / "d").mkdir()
+    lead = "j,j,j,j\nid,c,v,y\n"
+    (tmp_path / "d" / "a.csv").write_text(lead + "1,a,b,0\nj,j,j,j\nid,c,v,y\n\n2,a,b,1\n")
+    (tmp_path / "d" / "b.csv").write_text(lead + "j,j,j,j\n" + "3,x,y,z\n" * 50)
+    (tmp_path / "d" / "c.csv").write_text(lead)
+    expected = [("1", "a", "b", "0"), ("2", "a", "b", "1"), ("id", "c", "v", "y"), *[("j",) * 4] * 2, *[("3", "x", "y", "z")] * 50]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (kept, "30"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert rows(R.read_table(spark, str(tmp_path / "d"), spec, skip_lines=1)) == sorted(expected)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_whitespace(spark, tmp_path):
     (tmp_path / "a.txt").write_text("  1   a  2.5 0\n\n2 b 1.5   1  \n")
     got = R.read_table(spark, str(tmp_path / "a.txt"), SPEC, names=["id", "c", "v", "y"], sep_regex=r"\s+")
