@@ -13,8 +13,9 @@ Links are only needed as far as they connect, so candidates come in two steps. F
 similar size for each of its prefix shingles, which joins near copies of one text without pairing them all. Then documents that
 share prefix shingles across different components so far are paired, all of them: by a join where few are outside a shingle's largest
 component, by matrix products over blocks of documents elsewhere. Both steps count shared prefix shingles per pair, ask for as many as the lifts, the sizes and the ends
-of the two prefixes imply, and verify on whole sets. The second step runs three times, first twice with the best partner of
-each document only, so that the pairs of one large group are few when all are asked for. No link between different components is lost, so the components are exact.
+of the two prefixes imply, and verify on whole sets. The second step runs first with the best partner of each document only,
+again while that links many, so that the pairs of one large group are few when all are asked for once. Pairs verified before are not
+verified again. No link between different components is lost, so the components are exact, however many rounds were run.
 
 Null, empty and blank texts have an empty set and link with nothing. Component ids are smallest ids, null only if all ids of the
 component are null. Rows that repeat an id are documents of their own. An empty table gives an empty table.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import release, settle
 from .common import map_rows, text_of
-from .components import connected_components
+from .components import connected_components, joined_components
 
 N = 5
 PERCENT = 75
@@ -47,6 +48,7 @@ LIGHT = 32
 BLOCK = 1024
 COLUMNS = 4096
 CACHE_WORDS = 300_000
+AGAIN = 0.1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -229,9 +231,9 @@ def hub_pairs(postings: DataFrame, percent: int, hubs: int = HUBS) -> DataFrame:
     return met.select("v", F.col("y.v").alias("v_"))
 
 
-def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, percent: int, best: bool) -> DataFrame:
-    """``a, b, na, nb``: all pairs in different components so far that share enough prefix shingles; with ``best`` only the one that
-    shares most for each document. Written out.
+def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, seen: DataFrame, percent: int, best: bool) -> DataFrame:
+    """``a, b, na, nb``: all pairs in different components so far, and not in ``seen``, that share enough prefix shingles; with
+    ``best`` only the one that shares most for each document. Written out.
 
     For each shingle its largest component is met by the documents of all others; two documents of one component never meet. Where
     at most ``LIGHT`` documents are outside the largest component this is a join, with at most ``LIGHT`` rows per posting. Longer
@@ -251,6 +253,7 @@ def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, percent
     heavy = rows.where(~F.col("light"))
     extra = heavy.groupBy("v").agg(F.count(F.lit(1)).alias("h"))
     pairs = enough(met, facts, percent, extra).unionByName(block_pairs(heavy, known, facts, percent, best))
+    pairs = pairs.join(seen, ["a", "b"], "left_anti")
     if best:
         one = F.struct("c", "a", "b", "na", "nb")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), one.alias("p"))
@@ -322,7 +325,8 @@ def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: i
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """``a, b`` of the written ``pairs`` whose whole sets link, written out. Only documents of candidate pairs are read for it."""
+    """``a, b, ok`` of the written ``pairs``: whether their whole sets link; written out. Only documents of candidate pairs are read
+    for it."""
     nodes = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
     wanted = settle(classes.select("v", "d1", "d2", "first_id").join(nodes, "v"))
     ids = wanted.select(F.col("first_id").alias("id")).distinct()
@@ -342,7 +346,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, t
     both = pairs.join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb")), "b")
     both = both.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta")), "a")
     same = F.size(F.array_intersect("ta", "tb"))
-    out = settle(both.where(100 * same >= percent * (F.col("na") + F.col("nb") - same)).select("a", "b"))
+    out = settle(both.select("a", "b", (100 * same >= percent * (F.col("na") + F.col("nb") - same)).alias("ok")))
     release(pairs, wanted, sets)
     return out
 
@@ -359,17 +363,25 @@ def near_duplicates(
     postings = settle(postings.join(shared, "t"))
     facts = classes.select("v", "n", "lift", "cut")
     options = dict(docs=docs, classes=classes, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    edges = linked(settle(enough(hub_pairs(postings, percent), facts, percent)), **options)
-    comps = connected_components(edges)
-    for best in (True, True, False):  # documents that link with their best partner are together before all others are asked for
-        more = linked(cross_pairs(postings, facts, comps, percent, best), **options)
-        old, edges = edges, settle(edges.unionByName(more))
+    seen = linked(settle(enough(hub_pairs(postings, percent), facts, percent)), **options)
+    comps = settle(connected_components(seen.where("ok")))
+    best, links = True, seen.where("ok").count()
+    while True:
+        more = linked(cross_pairs(postings, facts, comps, seen.select("a", "b"), percent, best), **options)
+        old, seen = seen, settle(seen.unionByName(more))
+        gained = more.where("ok").count()
+        if gained:
+            before, comps = comps, settle(joined_components(comps, more.where("ok")))
+            release(before)
         release(old, more)
-        comps = connected_components(edges)
+        if not best:
+            break
+        links += gained
+        best = gained > AGAIN * links
 
     named = classes.select("v", "d1", "d2", "first_id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = settle(named)
-    release(classes, postings, edges)
+    release(classes, postings, seen, comps)
     place = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "d1", "d2")
     heads = named.groupBy("comp").agg(F.min(place).alias("head"))
     whole = named.join(heads, "comp").select("d1", "d2", "head")
