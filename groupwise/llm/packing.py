@@ -17,6 +17,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,9 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 400_000
 RANK_PIECE = 500
+# str.split() also cuts at these four, which the tokenizer gives ids
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+TOKENIZER_WORD = re.compile(r"[^\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,7 @@ class Limits:
 class WordEncoder:
     """Ids of a text by a word-level tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    White space always ends a word for this kind of tokenizer, so ids are kept per word. The cache is emptied when it is full.
+    The white space the tokenizer removes always ends a word, so ids are kept per word. The cache is emptied when it is full.
     A word of lower-case Latin letters only is one unit of the model and skips the general path.
     """
 
@@ -90,7 +94,8 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         get, add = self.seen.get, self._add
-        return b"".join([get(w) or add(w) for w in text.split()])
+        words = TOKENIZER_WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+        return b"".join([get(w) or add(w) for w in words])
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

@@ -134,6 +134,19 @@ def test_words_encode_as_the_tokenizer_does(spark):
         assert np.frombuffer(encode(t or ""), "<u4").tolist() == tk.encode(t or "", add_special_tokens=False).ids
 
 
+def test_only_the_white_space_of_the_tokenizer_ends_a_word(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(queries.tokenizer_path())
+    encode = packing.WordEncoder(Path(queries.tokenizer_path()).read_text(encoding="utf-8"))
+    every = [chr(c) for c in [*range(0x300), *range(0x1680, 0x1681), *range(0x2000, 0x2070), 0x3000, 0xFEFF]]
+    for c in every:
+        for t in (c, f"a{c}b c", f"{c}It{c}{c} 7.{c}", f"x\x1c y{c}z\x1f"):
+            assert np.frombuffer(encode(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, ascii(t)
+    piece = packing.token_pieces(spark.createDataFrame([(1, "a\x1cb c")], "doc_id bigint, text string"), queries.tokenizer_path()).first()
+    assert (piece["length"], piece["ids"]) == (5, [320, 472, 321, 322, packing.END_ID])
+
+
 def test_mixing_edges(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS) and all(r["taken"] <= 3 * r["size"] for r in rows)
