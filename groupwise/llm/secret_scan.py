@@ -1,14 +1,15 @@
 """Secret scans by grammar inference.
 
-Credentials found by the base patterns are the labelled examples. For each kind a probabilistic automaton is inferred from a bounded
-sample of them (at most ``per_kind`` distinct values, those with the smallest hash): a prefix tree over character classes whose
+Credentials found by the base patterns are the labelled examples. For each kind with any example a probabilistic automaton is inferred
+from a bounded sample of them (at most ``per_kind`` distinct values, those with the smallest hash): a prefix tree over character classes whose
 states are merged, in breadth-first order, when their outgoing frequencies agree within the Hoeffding bound, recursively. Every
-candidate of the corpus (a run of 16 or more credential characters with a digit) is then scored by its mean log likelihood per
+candidate of the corpus (a run of 6 or more credential characters, the least length an example can have) is then scored by its mean log likelihood per
 character; one whose likelihood lies in the typical range of an automaton's own examples (between their ``TAIL`` and ``1 - TAIL``
-quantiles: ordinary numbers are too likely, ordinary words not likely enough) and that overlaps no base span is added as a span.
+quantiles: ordinary numbers are too likely, ordinary words not likely enough) and that overlaps no base span is added as a span. Few examples make a wide bound when states are merged and a narrow range of likelihoods: a
+kind with one example accepts only what is exactly as likely.
 
-The text is scanned once: base spans, base values and candidates of a document are written out, the automata are inferred from
-the values, and only the small written table is read again.
+The text is read twice, first for the base values from which the automata are inferred, then for the spans; nothing is written out between. Likelihoods
+depend on character classes only, so a task keeps its verdicts per class string (at most ``CACHE_WORDS`` of up to ``CACHE_CHARS``).
 
 Null texts count as empty. A text without matches has no spans. Without labelled examples nothing is added. Base spans always stay.
 Repeated rows are scanned one by one. Offsets are code points, ends exclusive.
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
 from .common import map_rows, text_of
 
 # fixed values: the patterns of the base kinds, and their least lengths
@@ -38,10 +40,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex")
 LEARNED = "learned"
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min(LEAST_ASSIGN, LEAST_ACCESS))
 PER_KIND = 400
-LEAST_EXAMPLES = 20
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 TAIL = 0.03
 CONFIDENCE = 0.05
 END = "$"
@@ -64,15 +65,19 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def symbols(value: str) -> list[str]:
+CLASSES = str.maketrans({c: k for k, letters in (("d", "0123456789"), ("h", "abcdef"), ("l", "ghijklmnopqrstuvwxyz"),
+                                               ("u", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for c in letters})
+
+
+def symbols(value: str) -> str:
     """Character classes: digits, hexadecimal letters, other lower case, upper case; signs stand for themselves."""
-    return ["d" if c in "0123456789" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "u" if "A" <= c <= "Z" else c for c in value]
+    return value.translate(CLASSES)
 
 
 class Automaton:
     """Probabilistic automaton: per state, counts and targets of its symbols; ``END`` counts the words that stop there."""
 
-    def __init__(self, words: list[list[str]], confidence: float = CONFIDENCE):
+    def __init__(self, words: list[str], confidence: float = CONFIDENCE):
         self.count: list[dict[str, int]] = [{}]
         self.to: list[dict[str, int]] = [{}]
         for word in words:
@@ -83,7 +88,7 @@ class Automaton:
         self.alphabet = len({s for w in words for s in w}) + 1
         self.seen = len(words)
 
-    def _insert(self, word: list[str]) -> None:
+    def _insert(self, word: str) -> None:
         at = 0
         for s in [*word, END]:
             self.count[at][s] = self.count[at].get(s, 0) + 1
@@ -138,7 +143,7 @@ class Automaton:
                 self._fold(same, state)
                 edge.extend((same, x) for x in sorted(self.to[same]) if self.to[same][x] not in kept)
 
-    def likelihood(self, word: list[str]) -> float:
+    def likelihood(self, word: str) -> float:
         """Mean log probability per symbol, with a small share for what was never seen; nothing is known past an unseen step."""
         total, at = 0.0, self.start
         for s in [*word, END]:
@@ -152,43 +157,58 @@ class Automaton:
 class FormatModel:
     """One automaton per kind with the range of likelihood of its examples."""
 
-    def __init__(self, examples: dict[str, list[str]], least: int = LEAST_EXAMPLES, tail: float = TAIL):
+    def __init__(self, examples: dict[str, list[str]], tail: float = TAIL):
         self.kinds: dict[str, tuple[Automaton, float, float]] = {}
+        self.known: dict[str, bool] = {}
         for kind, values in sorted(examples.items()):
             words = [symbols(v) for v in sorted(set(values))]
-            if len(words) >= least:
-                auto = Automaton(words)
-                reached = sorted(map(auto.likelihood, words))
-                out = int(tail * len(reached))
-                self.kinds[kind] = (auto, reached[out], reached[-1 - out])
+            auto = Automaton(words)
+            reached = sorted(map(auto.likelihood, words))
+            out = int(tail * len(reached))
+            self.kinds[kind] = (auto, reached[out], reached[-1 - out])
 
-    def accepts(self, value: str) -> bool:
-        word = symbols(value)
+    def _judge(self, word: str) -> bool:
         return any(low <= auto.likelihood(word) <= high for auto, low, high in self.kinds.values())
 
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, base, candidates`` of every row: spans with their values, in text order."""
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    def accepts(self, value: str) -> bool:
+        word = symbols(value)
+        if len(word) > CACHE_CHARS:
+            return self._judge(word)
+        if word not in self.known:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[word] = self._judge(word)
+        return self.known[word]
+
+
+def all_spans(text: str, model: FormatModel) -> tuple[list[tuple], list[tuple]]:
+    """``base_spans`` of the text, and all spans ``(start, place of the kind, end)`` in order."""
+    base = base_spans(text)
+    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+    spans = [(a, KINDS.index(k), b) for k, a, b, _ in base]
+    for m in CANDIDATE.finditer(text) if model.kinds else ():
+        if model.accepts(m[0]):
+            before = bisect_left(starts, m.end())  # so many base spans start before its end
+            if not before or reach[before - 1] <= m.start():
+                spans.append((m.start(), len(KINDS), m.end()))
+    return base, sorted(spans)
+
+
+def base_values(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, value`` of every base span."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, text in rows:
-            base = [{"kind": k, "start": a, "end": b, "value": v} for k, a, b, v in base_spans(text)]
-            cands = [{"start": m.start(), "end": m.end(), "value": m[0]} for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])]
-            yield doc, base, cands
+        for (text,) in rows:
+            yield from ((k, v) for k, _, _, v in base_spans(text))
 
-    schema = (
-        f"`{id_col}` {kind}, base array<struct<kind: string, start: int, end: int, value: string>>, "
-        "candidates array<struct<start: int, end: int, value: string>>"
-    )
-    return map_rows(docs.select(F.col(id_col), text_of(text_col)), run, schema)
+    return map_rows(docs.select(text_of(text_col)), run, "kind string, value string")
 
 
-def learn(scanned: DataFrame, per_kind: int = PER_KIND) -> FormatModel:
+def learn(values: DataFrame, per_kind: int = PER_KIND) -> FormatModel:
     """Automata from at most ``per_kind`` distinct values of each kind; only these reach the driver."""
-    values = scanned.select(F.inline("base")).select("kind", "value", F.md5("value").alias("h")).distinct()
+    distinct = values.select("kind", "value", F.md5("value").alias("h")).distinct()
     w = Window.partitionBy("kind").orderBy("h", "value")
-    some = values.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_kind).select("kind", "value").collect()
+    some = distinct.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_kind).select("kind", "value").collect()
     examples: dict[str, list[str]] = {}
     for row in some:
         examples.setdefault(row["kind"], []).append(row["value"])
@@ -197,20 +217,15 @@ def learn(scanned: DataFrame, per_kind: int = PER_KIND) -> FormatModel:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_kind: int = PER_KIND) -> DataFrame:
     """``id_col, base, spans``: base spans, and all spans (``kind, start, end``) by start, then kind; added ones last of a start."""
-    scanned = settle(scan(docs, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(scanned, per_kind))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(base_values(docs, text_col), per_kind))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         model = shared.value
-        for doc, base, cands in rows:
-            spans = [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in base]
-            for c in cands:
-                inside = any(s["start"] < c["end"] and c["start"] < s["end"] for s in base)
-                if not inside and model.accepts(c["value"]):
-                    spans.append((c["start"], len(KINDS), c["end"]))
-            named = [{"kind": [*KINDS, LEARNED][k], "start": a, "end": b} for a, k, b in sorted(spans)]
-            yield doc, [{k: s[k] for k in ("kind", "start", "end")} for s in base], named
+        for doc, text in rows:
+            base, spans = all_spans(text, model)
+            named = [{"kind": [*KINDS, LEARNED][k], "start": a, "end": b} for a, k, b in spans]
+            yield doc, [{"kind": k, "start": a, "end": b} for k, a, b, _ in base], named
 
     span = "array<struct<kind: string, start: int, end: int>>"
-    return map_rows(scanned, run, f"`{id_col}` {kind}, base {span}, spans {span}")
+    return map_rows(docs.select(F.col(id_col), text_of(text_col)), run, f"`{id_col}` {kind}, base {span}, spans {span}")
