@@ -4,7 +4,7 @@ A document is a sequence of units: a line with words gives one unit per started
 unit's number), so that a run is long enough either by many short lines or by a long one. Lines without words have no unit; they
 stay unless they lie inside a deleted run. Of every ``window`` consecutive unit hashes the smallest (the last of equals) is a fingerprint; two runs of ``window`` equal
 units always select the same one, so none is missed. With 3 units of 25 words, every repeated run of whole lines with more than 50
-words is found.
+words is found. Text that shares a line with other text is not found: the units of a line carry the hash of the whole line.
 
 Positions of a fingerprint are joined through its first and last occurrence: a fingerprint that occurs once is dropped. From the positions
 left the match is extended both ways: every window that selected the position is compared by content (a 128-bit digest of its
