@@ -7,7 +7,7 @@ group-sized vectors live on the driver; errors of single rows are never kept.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 
@@ -23,7 +23,7 @@ from ..operators.dual import GAME_MODES, game_update, step_size
 from ..operators.groups import group_sizes
 from ..operators.history import highest_gamma, trajectory
 from ..operators.metrics import group_logloss
-from ..session import spread
+from ..session import release, settle, spread
 from ..spec import require_columns
 from .linear import LinearLearner, LogisticLearner
 from .mixture import MixtureModel, mixture
@@ -138,16 +138,16 @@ class MinimaxGame:
     def _play(self, rows, held, features, y, groups, main, pop, kinds, mode) -> GameResult:
         spark = rows.sparkSession
         types = [_group_type(rows, c, y) for c in groups]
-        combos = pin(rows.select(*groups, F.col(y).cast("double").alias(y)).distinct()) if len(groups) > 1 and main != "MSE" else None
+        label = F.when(F.col(y) == 1, F.lit(1.0)).otherwise(F.lit(0.0))
+        combos = settle(rows.select(*groups, label.alias(y)).distinct()) if len(groups) > 1 and main != "MSE" else None
         top = rows.agg(F.max(F.abs(y))).first()[0] if self.scale_by_label else None
         members, log, valid_log = [], [], []
         previous = None
         played = 0
         for t in range(1, self.rounds + 1):
-            now = _weights_of(types, combos, y)
-            if t > 3 and previous is not None and np.max(np.abs(now - previous)) < self.threshold:
+            if t > 3 and _largest_move(spark, previous, types, combos, y) < self.threshold:
                 break
-            previous = now
+            previous = [replace(gt) for gt in types]
             weighted = _weighted(spark, rows, types, y)
             member = self.learner.fit(weighted, features, y, "_w")
             members.append(member)
@@ -163,6 +163,8 @@ class MinimaxGame:
                 valid_log += _round_errors(member, held, groups, y, kinds).log(t, types, kinds)
         history = spark.createDataFrame(log, HISTORY)
         valid_history = spark.createDataFrame(valid_log, HISTORY) if held is not None else None
+        if combos is not None:
+            release(combos)
         return GameResult(mixture(members), history, valid_history, played, main, pop)
 
 
@@ -193,20 +195,12 @@ def _set_row_weights(types: list[_GroupType], i: int, main: str, mode: str, lift
             gt.w_pos, gt.w_neg = gt.w_pos - low, gt.w_neg - low
 
 
-def _weights_of(types: list[_GroupType], combos, y: str) -> np.ndarray:
-    """Distinct row weights: one per (group, label), or per combination of groups when there are several types.
-
-    Beyond the lookup bound the per-type weights stand in; no row moves more than they do, so the stop stays safe.
-    """
-    if combos is None or not combos.small:
-        return np.concatenate([w for gt in types for w in (gt.w_pos, gt.w_neg)])
-    table = combos.frame.toPandas()
-    out = np.zeros(len(table))
-    for gt in types:
-        at = pd.Series(np.arange(len(gt.names)), index=gt.names)
-        idx = table[gt.column].map(at).to_numpy(int)
-        out += np.where(table[y] == 1, gt.w_pos[idx], gt.w_neg[idx])
-    return out / len(types)
+def _largest_move(spark: SparkSession, before: list[_GroupType], now: list[_GroupType], combos: DataFrame | None, y: str) -> float:
+    """Largest change of a row weight: one weight per (group, label), or per combination of groups when there are several types."""
+    if combos is None:
+        return max(float(np.max(np.abs(b - a))) for o, n in zip(before, now) for a, b in ((o.w_pos, n.w_pos), (o.w_neg, n.w_neg)))
+    old = _weighted(spark, combos, before, y).select(*combos.columns, F.col("_w").alias("_old"))
+    return _weighted(spark, old, now, y).agg(F.max(F.abs(F.col("_w") - F.col("_old")))).first()[0]
 
 
 def _weighted(spark: SparkSession, rows: DataFrame, types: list[_GroupType], y: str) -> DataFrame:
@@ -276,8 +270,6 @@ def gamma_sweep(game: MinimaxGame, df: DataFrame, features: Sequence[str], y: st
     An unrelaxed run gives the range of useful gammas: from its worst mixture group error up to the worst group error at the best
     population error. One relaxed run follows per grid point; gammas above ``cap`` are skipped.
     """
-    from dataclasses import replace
-
     columns = [*dict.fromkeys([*features, y, *groups])]
     rows = cached_rows(df.select(*columns))
     try:

@@ -216,3 +216,23 @@ def test_balanced_scheme():
     assert mu == pytest.approx(np.array([1 / 0.751, 1 / 0.251]) / (1 / 0.751 + 1 / 0.251))
     with pytest.raises(ValueError):
         A.scheme_weights(np.array([1.0]), "other")
+
+
+def test_the_stop_compares_row_weights_at_every_size(spark, monkeypatch):
+    """Two group types: the threshold lies between the largest move of a row weight and that of a type's weights."""
+    from groupwise import lookup
+
+    rng = np.random.default_rng(4)
+    t = pd.DataFrame({"x0": rng.normal(size=300), "g": rng.choice(list("abc"), 300), "h": rng.choice(list("uvw"), 300)})
+    t["y"] = (t["x0"] + rng.normal(size=300) * t["g"].map({"a": 0.1, "b": 1.0, "c": 3.0}) > 0).astype(float)
+    frame, groups = spark.createDataFrame(t), ["g", "h"]
+    game = dict(rounds=5, a=0.5, error_type="Log-Loss")
+    log = G.MinimaxGame(LogisticLearner(), **game).fit(frame, ["x0"], groups=groups).history.where("error_type = 'Log-Loss'").toPandas()
+    log["row_weight"] = log["weight"] / log["n"]
+    w = log.set_index(["group_type", "g", "round"])["row_weight"]
+    moves = {c: {g: w[c, g, 3] - w[c, g, 2] for g in t[c].unique()} for c in groups}
+    row = max(abs(moves["g"][a] + moves["h"][b]) / 2 for a, b in set(zip(t["g"], t["h"])))
+    assert row < (most := max(abs(m) for c in groups for m in moves[c].values()))
+    for bound in (lookup.LOOKUP_ROWS, 8):
+        monkeypatch.setattr(lookup, "LOOKUP_ROWS", bound)
+        assert G.MinimaxGame(LogisticLearner(), threshold=(row + most) / 2, **game).fit(frame, ["x0"], groups=groups).rounds == 3
