@@ -87,6 +87,7 @@ def trial_sweep_curve(spark, sf):
 
 ALPHAS = tuple(i / 20 for i in range(21))
 REPS, DRAWS = 8, 20
+FULL_REPS, FULL_DRAWS = 1000, 100
 PICK = f"""
 ix AS (SELECT *, row_number() OVER (PARTITION BY dataset, model_name ORDER BY number) - 1 AS i, count(*) OVER (PARTITION BY dataset, model_name) AS n FROM val),
 ke AS (SELECT DISTINCT dataset, model_name, n FROM ix),
@@ -98,8 +99,10 @@ ch AS (SELECT be.dataset, be.model_name, alpha, rep, be.number, test.perf, test.
   FROM be JOIN test ON be.dataset = test.dataset AND be.model_name = test.model_name AND be.number = test.number WHERE k = 1)"""
 
 
-def _chosen(spark, sf, reps=REPS, n=DRAWS):
+def _chosen(spark, sf, reps=REPS, n=DRAWS, dataset=None):
     val, test, _ = results(spark, sf)
+    if dataset is not None:
+        val, test = val.where(F.col("dataset") == dataset), test.where(F.col("dataset") == dataset)
     test = test.withColumn("duration", duration_seconds("duration_text"))
     return X.select_models(val, test, "perf", "fair", reps=reps, n=n, seed=11)
 
@@ -110,6 +113,20 @@ def trial_select_models(spark, sf):
     return t.select("dataset", "model_name", r6("alpha"), big("rep"), "number", *[r6(c) for c in ("perf", "fair", "score", "duration")])
 
 
+@query("trial_select_models_full")
+def trial_select_models_full(spark, sf, dataset=None):
+    """The whole bootstrap: 1000 repetitions of 100 draws per alpha, for all datasets or one."""
+    t = _chosen(spark, sf, FULL_REPS, FULL_DRAWS, dataset)
+    return t.select("dataset", "model_name", r6("alpha"), big("rep"), "number", *[r6(c) for c in ("perf", "fair", "score", "duration")])
+
+
+@query("trial_mean_ci_full")
+def trial_mean_ci_full(spark, sf, dataset=None):
+    """Means and intervals over the 1000 values of the whole bootstrap."""
+    t = X.mean_ci(_chosen(spark, sf, FULL_REPS, FULL_DRAWS, dataset), ["dataset", "model_name", "alpha"], ["score"])
+    return t.select("dataset", "model_name", r6("alpha"), "n", r6("score_mean"), r6("score_std"), r6("score_ci"))
+
+
 # Fixed value: 97.5 % quantile of Student's t with 7 degrees of freedom.
 T7 = 2.364624251592784
 

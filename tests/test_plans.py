@@ -52,3 +52,27 @@ def test_rows_are_not_shuffled_to_be_split(spark):
     out = S.split_by_group(scored_orders(spark, SF).select("row_id", "g", "y"), "row_id")
     text = plan(out)
     assert "Window" not in text and "hashpartitioning" not in text and "SinglePartition" not in text
+
+
+def test_the_whole_bootstrap_by_brute_force(spark):
+    """1000 repetitions of 100 draws for one dataset; all draws of one alpha are made anew."""
+    from hashlib import md5
+
+    from groupwise.plans import trials
+    from groupwise.plans.bindings import results
+
+    brand, a = "Brand#1", 7
+    val, test, _ = (t.where(f"dataset = '{brand}'").toPandas() if i < 2 else None for i, t in enumerate(results(spark, SF)))
+    got = trials.trial_select_models_full(spark, SF, brand).toPandas()
+    mean = trials.trial_mean_ci_full(spark, SF, brand).toPandas().set_index(["model_name", "alpha"])
+    assert len(got) == 21 * 1000 * val["model_name"].nunique() and set(mean["n"]) == {1000}
+    for name, rows in val.sort_values("number").groupby("model_name"):
+        score = [(0.35 * f + 0.65 * p, -n) for f, p, n in zip(rows["fair"], rows["perf"], rows["number"])]
+        at = lambda rep, draw: int(md5(f"11|{brand}|{name}|{a}|{rep}|{draw}".encode()).hexdigest()[:8], 16) % len(score)
+        want = [-max(score[at(rep, draw)] for draw in range(100))[1] for rep in range(1000)]
+        mine = got[(got["model_name"] == name) & (got["alpha"] == 0.35)].sort_values("rep")
+        assert mine["number"].tolist() == want
+        held = test[test["model_name"] == name].set_index("number").loc[want]
+        scores = 0.65 * held["perf"] + 0.35 * held["fair"]
+        assert abs(mean.loc[(name, 0.35), "score_mean"] - scores.mean()) < 2e-6
+        assert abs(mean.loc[(name, 0.35), "score_ci"] - 1.9623414611 * scores.std(ddof=1) / 1000**0.5) < 2e-6
