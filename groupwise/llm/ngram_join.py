@@ -163,22 +163,23 @@ def read_documents(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple
 
 
 def classes_of(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str, n: int, percent: int, max_lift: int) -> DataFrame:
-    """``v, d1, d2, first_id, n, lift, cut, prefix``: one row per distinct non-empty set, written out."""
+    """``v, d1, d2, first_id, first_t, n, lift, cut, prefix``: one row per distinct non-empty set, written out."""
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Frequencies(sketch.astype("float32")))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         hashes, known = _WordHashes(), shared.value
-        for key, data in rows:
+        for key, t, data in rows:
             tokens = shingle_set(data, hashes, n)
             if len(tokens):
                 lift, prefix, (f, h) = prefix_of(tokens, known.others(tokens), percent, max_lift)
-                yield (key, *set_digest(tokens), len(tokens), lift, {"f": f, "h": h}, prefix.view("int64").tolist())
+                yield (key, t, *set_digest(tokens), len(tokens), lift, {"f": f, "h": h}, prefix.view("int64").tolist())
 
-    schema = f"id {kind}, d1 bigint, d2 bigint, n int, lift int, cut struct<f: double, h: bigint>, prefix array<bigint>"
-    rows = map_rows(docs.select(F.col(id_col), text_of(text_col).cast("binary")), run, schema)
+    schema = f"id {kind}, t bigint, d1 bigint, d2 bigint, n int, lift int, cut struct<f: double, h: bigint>, prefix array<bigint>"
+    rows = map_rows(docs.select(F.col(id_col), F.xxhash64(text_of(text_col)), text_of(text_col).cast("binary")), run, schema)
+    head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
     one = rows.groupBy("d1", "d2").agg(
-        F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "lift", "cut", "prefix")]
+        head["id"].alias("first_id"), head["t"].alias("first_t"), *[F.first(c).alias(c) for c in ("n", "lift", "cut", "prefix")]
     )
     return settle(one.withColumn("v", F.monotonically_increasing_id()))
 
@@ -355,7 +356,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, max_lift: int = MAX_LIFT
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id``, a hash ``t`` of the text, and ``first``, which is true for
-    the rows with the smallest id (of equal ids the smallest set digest) of their component."""
+    the rows with the smallest id (of equal ids the smallest set digest, then the smallest text hash) of their component."""
     rows, sketch = read_documents(docs, id_col, text_col, n)
     classes = classes_of(docs, sketch, id_col, text_col, n, percent, max_lift)
     postings = classes.select("v", "n", F.explode("prefix").alias("t"))
@@ -379,15 +380,16 @@ def near_duplicates(
         links += gained
         best = gained > AGAIN * links
 
-    named = classes.select("v", "d1", "d2", "first_id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    named = classes.select("v", "d1", "d2", "first_id", "first_t").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = settle(named)
     release(classes, postings, seen, comps)
-    place = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "d1", "d2")
+    place = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "d1", "d2", F.col("first_t").alias("t"))
     heads = named.groupBy("comp").agg(F.min(place).alias("head"))
     whole = named.join(heads, "comp").select("d1", "d2", "head")
     out = rows.join(whole, ["d1", "d2"], "left")
     alone = F.col("head").isNull()
     chosen = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("d1") == F.col("head.d1")) & (F.col("d2") == F.col("head.d2"))
+    chosen = chosen & (F.col("t") == F.col("head.t"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").cast("bigint").alias("n_shingles"),

@@ -71,6 +71,15 @@ def test_ngram_join_edges(docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_a_component_stays(spark):
+    """Texts that differ in case or spacing only have one set; null and repeated ids do not tell them apart."""
+    rows = [(None, BASE), (None, BASE.upper()), (None, BASE.replace(" ", "  ")), (None, BASE)]
+    other = BASE.replace("w", "v")
+    rows += [(7, other), (7, other.upper()), (8, other), (9, "one"), (9, "ONE")]
+    kept = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["7", "9", "None"]
+
+
 def test_ngram_join_dense_groups_by_brute_force(spark, monkeypatch):
     """Many variants of one text, some linked and some not, with tiny limits, so that hubs, joins and blocks all act."""
     monkeypatch.setattr(ngram_join, "LIGHT", 2)
