@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, secret_scan, toxicity
+from . import ann, chat, exact_dedup, langid, line_dedup, merkle, mixing, ngram_join, packing, pivots, ranked_search, secret_scan, toxicity
 from .common import crc_bucket, map_rows, text_of
 
 TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
@@ -111,6 +111,27 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return map_rows(found, digest, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
+def op11_pivot_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second document (by its checksum) comes back without its line ends; the others as they were."""
+    without = F.translate(F.col("text").cast("string"), "\n", "")
+    tampered = F.when(crc_bucket("doc_id", 2) == 0, without).otherwise(F.col("text").cast("string"))
+    again = merkle.leaf_hash([tampered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    proved = merkle.prove_all(table(spark, sf, "documents"), again=again)
+    folded = merkle.fold(F.col("again"), F.col("proof"))
+    digests = proved.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return digests.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_langid,
         op10_secret_scan,
+        op11_pivot_dedup,
+        op12_merkle,
+        op13_ranked_search,
         pipeline,
     )
 }
@@ -220,10 +244,98 @@ SELECT d.doc_id, coalesce(r.n_deleted, 0)::BIGINT AS n_deleted, coalesce(r.delet
   sha256(coalesce(s.clean, '')) AS clean_sha256, coalesce(s.n_left, 1)::BIGINT AS n_left
 FROM documents d LEFT JOIN runs r USING (doc_id) LEFT JOIN stay s USING (doc_id)"""
 
+_OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT a AS node, a AS reached FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+m AS (SELECT node, min(reached) AS least FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.least, e.vec_id) AS component_id, coalesce(m.least, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.node = e.vec_id"""
+
+
+def _merkle_sql(levels: int = 10) -> str:
+    """Trees of at most ``3 ** levels`` leaves; every level folds runs of three where more than one node remains."""
+
+    def tree(name: str, key: str) -> list[str]:
+        part, run = (f"PARTITION BY {key}", f"PARTITION BY {key}, pos // 3")
+        out = []
+        for k in range(levels):
+            out.append(
+                f"{name}s{k} AS (SELECT {key}, pos, h, count(*) OVER ({part}) > 1 AS more,"
+                f" coalesce(string_agg(h, '') OVER ({run} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+                f" coalesce(string_agg(h, '') OVER ({run} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})"
+            )
+            out.append(
+                f"{name}{k + 1} AS (SELECT {key}, pos // 3 AS pos, CASE WHEN bool_or(more) THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h"
+                f" FROM {name}s{k} GROUP BY {key}, pos // 3)"
+            )
+        return out
+
+    def climb(first: str, tree_name: str, key: str, pos: str) -> list[str]:
+        out, before = [], first
+        for k in range(levels):
+            step = "CASE WHEN s.more THEN sha256(s.l || c.{0} || s.r) ELSE c.{0} END AS {0}"
+            out.append(
+                f"{first}{tree_name}{k} AS (SELECT c.* REPLACE ({step.format('h')}, {step.format('t')}, c.proof || CASE WHEN s.more THEN s.l || s.r ELSE '' END AS proof)"
+                f" FROM {before} c JOIN {tree_name}s{k} s ON s.{key} = c.{key} AND s.pos = c.{pos} // {3**k})"
+            )
+            before = f"{first}{tree_name}{k}"
+        return out
+
+    frame = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+    last = levels - 1
+    parts = [
+        # the checksum's table by its rule; the last xor of the checksum turns its lowest bit, so that bit is 1 here where 2 divides it
+        "tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],"
+        " lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))",
+        "crc AS (SELECT d.*, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),"
+        " lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])) & 1 AS low FROM documents d CROSS JOIN tab)",
+        f"leaf AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, sha256({frame} || coalesce(strlen(text) || ':' || text, '-')) AS h,"
+        f" CASE WHEN low = 1 THEN replace(text, chr(10), '') ELSE text END AS again, {frame} AS frame FROM crc)",
+        "placed AS (SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, h AS leaf, h,"
+        " sha256(frame || coalesce(strlen(again) || ':' || again, '-')) AS t, '' AS proof, 0 AS one FROM leaf)",
+        "a0 AS (SELECT tree, pos, h FROM placed)",
+        *tree("a", "tree"),
+        f"b0 AS (SELECT 0 AS one, tree AS pos, h FROM a{levels})",
+        *tree("b", "one"),
+        *climb("placed", "a", "tree", "pos"),
+        f"up AS (SELECT *, h AS subroot FROM placeda{last})",
+        *climb("up", "b", "one", "tree"),
+    ]
+    return "WITH " + ",\n".join(parts) + (
+        "\nSELECT doc_id, leaf, subroot, (SELECT h FROM b%d) AS root, sha256(proof) AS proof_sha256, t AS folded_root, t = (SELECT h FROM b%d) AS verified FROM upb%d"
+        % (levels, levels, last)
+    )
+
+
+_OP13 = r"""
+WITH dt AS (
+  SELECT doc_id, unnest(t) AS t, len(t) AS n FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents WHERE text IS NOT NULL)),
+it AS (
+  SELECT item_id, t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark WHERE text IS NOT NULL) GROUP BY 1, 2),
+c AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS len FROM dt),
+tf AS (SELECT doc_id, t, n, count(*) AS tf FROM dt GROUP BY 1, 2, 3),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf CROSS JOIN c GROUP BY t, docs),
+s AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len))))::BIGINT AS score
+  FROM it JOIN tf USING (t) JOIN w USING (t) CROSS JOIN c GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
 SQL: dict[str, str] = {
     "op2_chat_format": _OP2,
     "op3_ngram_join": _OP3,
     "op5_exact_dedup": _OP5,
     "op7_mixing": _OP7,
     "op8_line_dedup": _OP8,
+    "op11_pivot_dedup": _OP11,
+    "op12_merkle": _merkle_sql(),
+    "op13_ranked_search": _OP13,
 }
