@@ -161,7 +161,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return h.select(
         F.col("round").alias("vid"),
         "g",
-        (F.col("n") / F.sum("n").over(day)).alias("mu"),
+        (F.col("n") / F.sum("n").over(day) * UNEVEN).alias("mu"),
         err.alias("loss"),
         (F.col("n") / F.sum("n").over(day)).alias("w"),
         ((F.col("g") + 1) / 100.0).alias("lam"),
@@ -175,7 +175,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VECTORS = HISTORY + f""",
-vec AS (SELECT round AS vid, g, n / sum(n) OVER d AS mu, round(err, 6) * {UNEVEN}::DOUBLE AS loss, n / sum(n) OVER d AS w, (g + 1) / 100.0::DOUBLE AS lam,
+vec AS (SELECT round AS vid, g, n / sum(n) OVER d * {UNEVEN}::DOUBLE AS mu, round(err, 6) * {UNEVEN}::DOUBLE AS loss, n / sum(n) OVER d AS w, (g + 1) / 100.0::DOUBLE AS lam,
   n / sum(n) OVER d AS share, sum(round(err, 6) * {UNEVEN}::DOUBLE * n) OVER d / sum(n) OVER d AS mean_err, round(err, 6) * {UNEVEN}::DOUBLE AS risk,
   CASE round % 3 WHEN 0 THEN NULL WHEN 1 THEN 0.6::DOUBLE ELSE 2.0::DOUBLE END AS best, CAST(round % 30 + 1 AS BIGINT) AS k,
   CAST(20 AS BIGINT) AS k_min
