@@ -1,8 +1,8 @@
 """Histogram gradient boosting with min-max group weights.
 
-Rows stay on the executors: they are binned once, cached, and every tree level is one aggregation to ``(node, feature, bin)`` sums. The
-shuffle carries sums made by each task, so its size depends on nodes, features and bins and not on the row count. The driver receives
-one best split per open node and one loss per group.
+Rows stay on the executors: they are binned once, cached, and every tree level is one pass in which each task adds its batches to a
+dense histogram. The shuffle carries the cells of these, so its size depends on nodes, features and bins and not on the row count. The
+group losses of a round come from the pass over the root, so a tree takes one job per level.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,11 +36,13 @@ from ..functions.losses import (
 from ..functions.numeric import flag, ratio
 from ..operators.dual import DUAL_MODES, EarlyStop, dual_update
 from ..operators.ranks import dense_codes
-from ..session import settle, spread
+from ..session import release, settle, spread
+from .batches import chunks
 from .game import bounded_rows
 
 MAX_BINS = 255
 HISTOGRAM_CELLS = 1 << 20
+LITERAL_GROUPS = 1_000
 MIN_GAIN = 1e-12
 
 
@@ -260,24 +263,59 @@ def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str | None
 # ---- histograms ------------------------------------------------------------------------------------------------------
 
 
-def histograms(rows: DataFrame, bins: Sequence[str]) -> DataFrame:
-    """Gradient, Hessian and row sums per (node, feature, bin) of rows ``(_node, _grad, _hess, bins...)``.
+CELLS = "node int, feature int, bin int, g double, h double, n bigint"
+LOSS = -1
 
-    Every task sums its rows before the shuffle, so what moves depends on nodes, features and bins and not on the row count.
-    ``feature`` is the position in ``bins``.
+
+def histograms(rows: DataFrame, bins: Sequence[str], nodes: Sequence[int], width: int, groups: int = 0) -> DataFrame:
+    """Gradient, Hessian and row sums per (node, feature, bin) of rows ``(_node, _grad, _hess, bins...)``; ``feature`` is the position in ``bins``.
+
+    Every task keeps one dense histogram of the given ``nodes`` (``width`` bins each) and adds whole batches to it; only its cells that
+    are not empty are merged by key, so what moves depends on nodes, features and bins and not on the row count. With ``groups`` the rows
+    also carry ``_g`` and ``_loss``, and node ``LOSS`` holds the sum and count of the known losses per group, in place of a pass of their own.
     """
-    cells = rows.select("_node", "_grad", "_hess", F.posexplode(F.array(*bins)).alias("feature", "bin"))
-    return cells.groupBy(F.col("_node").alias("node"), "feature", "bin").agg(
-        F.sum("_grad").alias("g"), F.sum("_hess").alias("h"), F.count(F.lit(1)).alias("n")
-    )
+    at = np.full(max(nodes) + 1, -1)
+    at[list(nodes)] = np.arange(len(nodes))
+    ids, k, size = np.array(nodes), len(bins), len(nodes) * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, lost = np.zeros((3, k, size)), np.zeros((2, groups))
+        for table in chunks(batches):
+            node = at[table.column("_node").to_numpy()]
+            if groups:
+                loss, g = table.column("_loss").to_numpy(), table.column("_g").to_numpy()
+                known = ~np.isnan(loss)
+                lost += [np.bincount(g[known], loss[known], groups), np.bincount(g[known], minlength=groups)]
+            grad, hess = (table.column(c).to_numpy() for c in ("_grad", "_hess"))
+            for j, name in enumerate(bins):
+                cell = node * width + table.column(name).to_numpy()
+                total[:, j] += [np.bincount(cell, grad, size), np.bincount(cell, hess, size), np.bincount(cell, minlength=size)]
+        f, cell = np.nonzero(total[2])
+        seen = np.flatnonzero(lost[1])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[ids[cell // width], np.full(len(seen), LOSS)].astype("int32")),
+                pa.array(np.r_[f, np.zeros(len(seen))].astype("int32")),
+                pa.array(np.r_[cell % width, seen].astype("int32")),
+                pa.array(np.r_[total[0, f, cell], lost[0, seen]]),
+                pa.array(np.r_[total[1, f, cell], np.zeros(len(seen))]),
+                pa.array(np.r_[total[2, f, cell], lost[1, seen]].astype("int64")),
+            ],
+            names=["node", "feature", "bin", "g", "h", "n"],
+        )
+
+    extra = ["_g", F.coalesce(F.col("_loss").cast("double"), F.lit(float("nan"))).alias("_loss")] if groups else []
+    cells = rows.select("_node", F.col("_grad").cast("double").alias("_grad"), F.col("_hess").cast("double").alias("_hess"), *extra, *bins)
+    return cells.mapInArrow(run, CELLS).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
-def dense_histograms(hist: DataFrame, nodes: Sequence[int], features: int, bins: int) -> dict[int, np.ndarray]:
+def dense_histograms(cells: pa.Table, nodes: Sequence[int], features: int, bins: int) -> dict[int, np.ndarray]:
     """The histograms as one ``(sum, feature, bin)`` array per node. Callers check ``nodes * features * bins`` first."""
-    cells = hist.toPandas()
     out = {i: np.zeros((3, features, bins)) for i in nodes}
-    for i, part in cells.groupby("node"):
-        out[i][:, part["feature"], part["bin"]] = part[["g", "h", "n"]].to_numpy(float).T
+    node, f, b, g, h, n = (cells.column(c).to_numpy() for c in ("node", "feature", "bin", "g", "h", "n"))
+    for i in nodes:
+        mine = node == i
+        out[i][:, f[mine], b[mine]] = np.stack([g[mine], h[mine], n[mine]])
     return out
 
 
@@ -391,6 +429,7 @@ class _Booster:
     kind: str
     fair: bool
     info: pd.DataFrame | None = field(default=None)
+    _settled: list = field(default_factory=list, init=False, repr=False)
 
     def fit(
         self, df: DataFrame, features: Sequence[str], y: str = "y", g: str | None = "g", valid: DataFrame | None = None, binned: Binned | None = None
@@ -466,18 +505,17 @@ class _Booster:
         rng = random.Random(p.random_state)
         trees, log, stale = [], [], []
         for t in range(1, p.n_estimators + 1):
-            scaled = frame
-            scale: Column = F.lit(0.0)
+            scaled, scale = frame, F.lit(0.0)
+            if self.fair:
+                scaled, scale = _scaled(frame, scale_by_n * mu)
+            growth = self._start_tree(scaled, scale, binned, rng)
             if self.fair:
-                loss = self._group_loss(frame, groups)
-                table = [(i, float(scale_by_n[i] * mu[i])) for i in range(groups)]
-                scaled = frame.join(F.broadcast(spark.createDataFrame(table, "_g int, _scale double")), "_g")
-                scale = F.col("_scale")
+                loss = growth.loss if growth else self._group_loss(frame, groups)
                 new_mu = dual_update(mu, loss, p.fair_weight, p.multiplier_learning_rate, p.dual_learning, self.kind == "classifier")
                 top = float(np.nanmax(loss)) if not np.isnan(loss).all() else float("nan")
                 log += [(t, str(binned.groups[i]), float(loss[i]), float(new_mu[i]), top) for i in range(groups)]
                 mu = new_mu
-            tree = self._grow(scaled, scale, binned, rng)
+            tree = self._grow(growth, binned) if growth else None
             # growing the tree has filled the cache of this frame, so the one before it can go
             for old in stale:
                 old.unpersist()
@@ -496,6 +534,9 @@ class _Booster:
             old.unpersist()
         if watch is not None:
             watch.unpersist()
+        release(*[table for _, table in self._settled])
+        self._settled = []
+        if watch is not None:
             if stop.best_round >= 0:  # the best round counts whether patience or the rounds ran out
                 trees = trees[: stop.best_round + 1]
         self.info = pd.DataFrame(log, columns=["round", "g", "loss", "mu", "epsilon"])
@@ -521,12 +562,18 @@ class _Booster:
         """Add the tree to the margins: a narrow projection, cached; lineage is cut every few rounds."""
         out = frame.withColumn("_m", F.col("_m") + _value_expr(tree, binned.edges))
         if t % self.p.checkpoint_every == 0:
-            return settle(out).persist(StorageLevel.MEMORY_AND_DISK)
+            kept = settle(out)
+            table = kept.persist(StorageLevel.MEMORY_AND_DISK)
+            self._settled.append((t, kept))
+            # a table is read until its successor is written; a retry of a lost partition goes back to the latest one only
+            for made, old in [x for x in self._settled if x[0] < t - self.p.checkpoint_every]:
+                self._settled.remove((made, old))
+                release(old)
+            return table
         return out.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def _grow(self, frame: DataFrame, scale: Column, binned: Binned, rng: random.Random) -> Tree | None:
-        """Leaf-wise growth. A node's gain does not depend on the order of other splits, so each pass measures every node the
-        best-first order could reach next; growth ends when ``num_leaves`` leaves follow from known gains alone."""
+    def _start_tree(self, frame: DataFrame, scale: Column, binned: Binned, rng: random.Random) -> "_Growth | None":
+        """The root of a tree; a fair booster takes the group losses of the margins so far from the same pass. None without a feature to split."""
         p = self.p
         usable = [i for i, e in enumerate(binned.edges) if e]
         count = max(1, round(p.colsample_bytree * len(usable)))
@@ -534,33 +581,43 @@ class _Booster:
         if not features:
             return None
         grad, hess = self._gradients(scale)
-        rows = frame.select(grad.alias("_grad"), hess.alias("_hess"), *[f"_b{f}" for f in features])
-        nodes: dict[int, Node] = {0: Node(0.0, 0.0, 0, 0)}
-        bins = max(len(binned.edges[f]) for f in features) + 2
-        store: dict[int, np.ndarray] = {}
-        open_nodes = [0]
-        while open_nodes:
-            self._measure(rows, nodes, open_nodes, features, bins, store)
-            open_nodes = _next_open(nodes, p)
-        chosen = _best_first(nodes, p.num_leaves)
-        return _flatten(nodes, chosen, binned.edges, p) if chosen else None
-
-    def _measure(self, rows: DataFrame, nodes: dict[int, Node], wanted: list[int], features: list[int], bins: int, store: dict) -> None:
-        """Histograms and best splits of the ``wanted`` nodes.
+        rows = frame.select(grad.alias("_grad"), hess.alias("_hess"), *[f"_b{f}" for f in features], "_g", self._row_loss(F.col("_m")).alias("_loss"))
+        growth = _Growth(rows, features, max(len(binned.edges[f]) for f in features) + 2, len(binned.groups) if self.fair else 0)
+        self._measure(growth, [0])
+        return growth
+
+    def _grow(self, growth: "_Growth", binned: Binned) -> Tree | None:
+        """Leaf-wise growth. A node's gain does not depend on the order of other splits, so each pass measures every node the
+        best-first order could reach next; growth ends when ``num_leaves`` leaves follow from known gains alone."""
+        p = self.p
+        while open_nodes := _next_open(growth.nodes, p):
+            self._measure(growth, open_nodes)
+        chosen = _best_first(growth.nodes, p.num_leaves)
+        return _flatten(growth.nodes, chosen, binned.edges, p) if chosen else None
+
+    def _measure(self, growth: "_Growth", wanted: list[int]) -> None:
+        """Histograms and best splits of the ``wanted`` nodes, in one pass over the rows.
 
         While all histograms of a tree fit ``HISTOGRAM_CELLS``, only the smaller child of each split is summed: its sibling is the
         difference to the parent. Larger ones stay on the executors and every wanted node is summed.
         """
+        nodes, features, bins, store = growth.nodes, growth.features, growth.bins, growth.store
         names = [f"_b{f}" for f in features]
-        at = rows.withColumn("_node", _route_expr(nodes, 0))
+        at = growth.rows.withColumn("_node", _route_expr(nodes, 0).cast("int"))
+        groups = growth.groups if wanted == [0] else 0
         if self.p.num_leaves * len(features) * bins > HISTOGRAM_CELLS:
-            found = best_splits(histograms(at.where(F.col("_node").isin(wanted)), names), self.p)
+            if groups:
+                growth.loss = _loss_vector(histograms(at, [], [0], 0, groups).toArrow(), groups)
+            found = best_splits(histograms(at.where(F.col("_node").isin(wanted)), names, wanted, bins), self.p)
         else:
             pairs = [(i, nodes[i].left, nodes[i].right) for i in sorted({nodes[w].parent for w in wanted}) if i >= 0]
             pairs = [(i, *sorted(lr, key=lambda c: nodes[c].rows)) for i, *lr in pairs]
             summed = [low for _, low, _ in pairs] or [0]
             part = at.where(F.col("_node").isin(summed)) if pairs else at
-            store.update(dense_histograms(histograms(part, names), summed, len(features), bins))
+            cells = histograms(part, names, summed, bins, groups).toArrow()
+            if groups:
+                growth.loss = _loss_vector(cells, groups)
+            store.update(dense_histograms(cells, summed, len(features), bins))
             for i, low, high in pairs:
                 rest = store.pop(i) - store[low]
                 store[high] = np.where(rest[2] > 0.5, rest, 0.0)
@@ -581,6 +638,36 @@ class _Booster:
             nodes[node.right] = Node(node.grad - gl, node.hess - hl, node.rows - nl, node.depth + 1, i)
 
 
+@dataclass
+class _Growth:
+    """A growing tree: its rows, the nodes so far, and the histograms of nodes without children (``store``)."""
+
+    rows: DataFrame
+    features: list[int]
+    bins: int
+    groups: int
+    loss: np.ndarray | None = None
+    nodes: dict[int, Node] = field(default_factory=lambda: {0: Node(0.0, 0.0, 0, 0)})
+    store: dict[int, np.ndarray] = field(default_factory=dict)
+
+
+def _loss_vector(cells: pa.Table, groups: int) -> np.ndarray:
+    """Mean loss per group from the cells of node ``LOSS``; NaN for a group without a row under the constraint."""
+    node, b, g, n = (cells.column(c).to_numpy() for c in ("node", "bin", "g", "n"))
+    mine = node == LOSS
+    out = np.full(groups, np.nan)
+    out[b[mine]] = g[mine] / n[mine]
+    return out
+
+
+def _scaled(frame: DataFrame, scale: np.ndarray) -> tuple[DataFrame, Column]:
+    """``frame`` with a Column of the value of each row's group: looked up in a literal array, or joined where that would bloat the plan."""
+    if len(scale) <= LITERAL_GROUPS:
+        return frame, F.get(F.array(*[F.lit(float(v)) for v in scale]), F.col("_g"))
+    table = frame.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(scale)], "_g int, _scale double")
+    return frame.join(F.broadcast(table), "_g"), F.col("_scale")
+
+
 def _best_first(nodes: dict[int, Node], num_leaves: int) -> list[int]:
     """Nodes split by the best-first order among the known gains."""
     heap = [(-nodes[0].gain, 0)] if nodes[0].gain is not None else []

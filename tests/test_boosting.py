@@ -130,6 +130,35 @@ def test_executor_side_splits_agree(frame, monkeypatch):
     assert np.allclose(predictions(near, frame), predictions(far, frame))
 
 
+def test_a_tree_takes_one_job_per_level(spark, frame):
+    """The group losses come with the root, so no level needs a second pass."""
+    prepared = B.prepare(frame, FEATURES)
+    levels = []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # each stage is a job of its own otherwise
+    try:
+        for rounds in (1, 3):
+            spark.sparkContext.setJobGroup(f"trees{rounds}", "")
+            est = B.MinMaxBoostClassifier(n_estimators=rounds, min_child_weight=0.0, **SMALL)
+            measure, passes = est._measure, []
+            est._measure = lambda growth, wanted: passes.append(wanted) or measure(growth, wanted)  # noqa: B023
+            est.fit(frame, FEATURES, binned=prepared)
+            levels.append((len(passes), len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees{rounds}"))))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        prepared.unpersist()
+    assert all(jobs == passes for passes, jobs in levels) and levels[0][0] < levels[1][0]
+
+
+def test_long_fit_cuts_lineage_and_stops(frame):
+    """More rounds than two lineage cuts, ended by patience."""
+    train, valid = frame.where("split = 'train'"), frame.where("split = 'val'")
+    est = B.BoostClassifier(n_estimators=60, early_stopping_rounds=4, checkpoint_every=3, **SMALL)
+    model = est.fit(train, FEATURES, valid=valid)
+    whole = B.BoostClassifier(n_estimators=60, early_stopping_rounds=4, checkpoint_every=1000, **SMALL).fit(train, FEATURES, valid=valid)
+    assert 1 <= len(model.trees) < 56 and np.allclose(predictions(model, frame), predictions(whole, frame)) and not est._settled
+
+
 def test_lineage_cuts_do_not_change_the_model(frame):
     a = B.BoostClassifier(n_estimators=3, **SMALL).fit(frame, FEATURES)
     b = B.BoostClassifier(n_estimators=3, checkpoint_every=1, **SMALL).fit(frame.repartition(11), FEATURES)
