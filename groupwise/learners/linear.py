@@ -18,6 +18,9 @@ from ..functions.losses import sigmoid
 from ..functions.numeric import flag
 
 
+PENALTIES = ("l2", "l1", "none")
+
+
 def dot(features: Sequence[str], coef: Sequence[float], intercept: float) -> Column:
     out = F.lit(float(intercept))
     for name, w in zip(features, coef):
@@ -69,13 +72,21 @@ def _assembled(df: DataFrame, features: Sequence[str], label: Column, weight: Co
 
 @dataclass(frozen=True)
 class LogisticLearner:
-    """Logistic regression with inverse regularisation ``C``; ``balanced`` multiplies weights by ``n / (2 n_class)``."""
+    """Logistic regression with inverse regularisation ``C``; ``balanced`` multiplies weights by ``n / (2 n_class)``.
+
+    ``penalty``: ``l2`` (half the squared coefficients over ``C``), ``l1`` (their absolute values over ``C``) or ``none``, in the scale of the summed loss.
+    """
 
     C: float = 1.0
     max_iter: int = 100
     tol: float = 1e-6
     fit_intercept: bool = True
     balanced: bool = True
+    penalty: str = "l2"
+
+    def __post_init__(self) -> None:
+        if self.penalty not in PENALTIES:
+            raise ValueError(f"unknown penalty {self.penalty!r}; expected one of {PENALTIES}")
 
     def fit(self, df: DataFrame, features: Sequence[str], y: str, weight: str | None = None) -> LinearModel:
         w = F.col(weight) if weight else F.lit(1.0)
@@ -97,7 +108,8 @@ class LogisticLearner:
             featuresCol="_x",
             labelCol="_y",
             weightCol="_w",
-            regParam=1.0 / (self.C * total),
+            regParam=0.0 if self.penalty == "none" else 1.0 / (self.C * total),
+            elasticNetParam=1.0 if self.penalty == "l1" else 0.0,
             standardization=False,
             maxIter=self.max_iter,
             tol=self.tol,

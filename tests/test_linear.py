@@ -150,12 +150,122 @@ def test_equal_error_weights_stay_positive(frame):
 
 def test_sweep_trades_errors(frame):
     sweep = G.gamma_sweep(G.MinimaxGame(LinearLearner(), rounds=6, a=0.3), frame, X, "z", n=3).toPandas().sort_values("gamma")
-    assert len(sweep) == 3 and sweep["gamma"].is_monotonic_increasing
+    assert len(sweep) == 4 and sweep["gamma"].is_monotonic_increasing  # three increments with both ends
+    assert np.allclose(np.diff(sweep["gamma"]), np.diff(sweep["gamma"])[0])
     assert (sweep["pop_err"] <= sweep["max_group_err"] + 1e-9).all()
     capped = G.gamma_sweep(G.MinimaxGame(LinearLearner(), rounds=6, a=0.3), frame, X, "z", n=3, cap=sweep["gamma"].iloc[1] + 1e-9)
     assert capped.count() == 2
 
 
+def test_sweep_ranges_by_error_kind(frame):
+    """FN kinds start at 0 and end at the worst error of one round; an equal-error game gives one value; a validation part adds its curve."""
+    game = G.MinimaxGame(LogisticLearner(), rounds=3, error_type="FN")
+    low, high = G.gamma_range(game, frame, X, "y", ["g"])
+    one = G.MinimaxGame(LogisticLearner(), rounds=1, error_type="FN").fit(frame, X).history.where("error_type = 'FN'").toPandas()
+    assert low == 0 and high == pytest.approx(one["err"].max())
+    sweep = G.gamma_sweep(game, frame.where("row_id < 200"), X, n=2, valid=frame.where("row_id >= 200")).toPandas()
+    assert len(sweep) == 3 and sweep["valid_max_group_err"].between(0, 1).all() and sweep["gamma"].min() == 0
+    equal = G.gamma_sweep(G.MinimaxGame(PairedLearner(), mode="equal", rounds=2, error_type="FP"), frame, X, n=5)
+    assert equal.count() == 1
+
+
+def test_a_sweep_reads_its_rows_no_oftener_than_one_game(frame, monkeypatch):
+    from groupwise.learners import cells
+
+    passes = []
+    look, gram = cells.look, cells.gram
+    monkeypatch.setattr(cells, "look", lambda c, asked, *a: passes.append(len(asked)) or look(c, asked, *a))
+    monkeypatch.setattr(cells, "gram", lambda *a: passes.append(0) or gram(*a))
+    G.gamma_sweep(G.MinimaxGame(LinearLearner(), rounds=6, a=0.3), frame, X, "z", n=5)
+    assert passes == [0, 0]  # one for the range, one for all six games
+    passes.clear()
+    game = G.MinimaxGame(LogisticLearner(), mode="relaxed", rounds=3, error_type="Log-Loss")
+    table = cells.cells_of(frame, X, "y", ["g"], True)
+    alone = []
+    for gamma in (0.3, 0.5):
+        passes.clear()
+        single = G.fit_games([G.replace(game, gamma=gamma)], frame, X, cells=table)[0]
+        alone.append((len(passes), single.model))
+    passes.clear()
+    both = G.fit_games([G.replace(game, gamma=gamma) for gamma in (0.3, 0.5)], frame, X, cells=table)
+    assert len(passes) == max(n for n, _ in alone) and passes[0] == 2
+    for (_, want), got in zip(alone, both):
+        assert all(np.allclose(a.coef, b.coef) for a, b in zip(want.members, got.model.members))
+    table.unpersist()
+
+
+class Slow:
+    """A learner outside the package: every round is a weighted fit."""
+
+    def __init__(self, inner):
+        self.inner, self.regression, self.has_probability = inner, isinstance(inner, LinearLearner), isinstance(inner, LogisticLearner)
+
+    def fit(self, *args):
+        return self.inner.fit(*args)
+
+
+@pytest.mark.parametrize("inner,kind,y,mode", [
+    (LinearLearner(alpha=2.0), "MSE", "z", "relaxed"), (PairedLearner(), "0/1 Loss", "y", "minimax"), (PairedLearner(fit_intercept=False), "FP", "y", "relaxed"),
+    (LogisticLearner(tol=1e-12, C=5.0), "Log-Loss", "y", "minimax"), (LogisticLearner(tol=1e-12, penalty="none", balanced=False), "FN-Log-Loss", "y", "relaxed"),
+    (LinearLearner(fit_intercept=False), "MSE", "z", "minimax"),
+])
+def test_cells_agree_with_weighted_fits(frame, inner, kind, y, mode):
+    """Sums per cell give the histories of a game that fits weighted rows, with several group types and a validation part."""
+    settings = dict(mode=mode, rounds=3, error_type=kind, gamma=0.2, a=0.4)
+    groups, valid = ["g", "h"], frame.where("row_id < 120")
+    fast = G.MinimaxGame(inner, **settings).fit(frame, X, y, groups, valid)
+    slow = G.MinimaxGame(Slow(inner), **settings).fit(frame, X, y, groups, valid)
+    key = ["round", "group_type", "g", "error_type"]
+    for a, b in ((fast.history, slow.history), (fast.valid_history, slow.valid_history)):
+        p, q = (t.toPandas().sort_values(key).reset_index(drop=True) for t in (a, b))
+        assert p[key].equals(q[key]) and (p["n"] == q["n"]).all()
+        for c in ("err", "pop_err", "weight", "lam"):
+            assert np.allclose(p[c].astype(float), q[c].astype(float), atol=2e-4), c
+
+
+def test_guards(frame):
+    for game in (
+        G.MinimaxGame(PairedLearner(), error_type="Log-Loss"), G.MinimaxGame(PairedLearner(), extra_error_types=("FN-Log-Loss",)), G.MinimaxGame(LinearLearner(), mode="equal"),
+        G.MinimaxGame(error_type="other"), G.MinimaxGame(PairedLearner(), penalize_errors=True),
+    ):
+        with pytest.raises(ValueError):
+            game.fit(frame, X, "z" if game.regression else "y")
+    with pytest.raises(ValueError):
+        LogisticLearner(penalty="elastic")
+    with pytest.raises(ValueError):
+        G.fit_games([G.MinimaxGame(LogisticLearner()), G.MinimaxGame(LinearLearner())], frame, X)
+
+
+def test_sparse_and_unpenalised_logistic(frame):
+    """Optimality conditions of the l1 fit, by both solvers; zero gradient without a penalty."""
+    p = data()
+    x, y = np.column_stack([p[X].to_numpy(), np.ones(N)]), p["y"].to_numpy()
+
+    def gradient(m):
+        return x.T @ (1 / (1 + np.exp(-x @ np.append(m.coef, m.intercept))) - y)
+
+    for c in (0.02, 0.5):
+        plain = LogisticLearner(C=c, penalty="l1", balanced=False, tol=1e-12).fit(frame, X, "y")
+        # the game's weights sum to one, so its penalty counts N times as much
+        game = G.MinimaxGame(LogisticLearner(C=c * N, penalty="l1", balanced=False), rounds=1, error_type="Log-Loss").fit(frame, X).model.members[0]
+        for m, atol in ((plain, 1e-2), (game, 1e-5)):
+            g = gradient(m)
+            assert abs(g[-1]) < atol * 10
+            for j, w in enumerate(m.coef):
+                assert abs(g[j] + np.sign(w) / c) < atol / c if abs(w) > 1e-9 else abs(g[j]) <= (1 + atol) / c
+    assert all(w == 0 for w in G.MinimaxGame(LogisticLearner(C=1e-3, penalty="l1"), rounds=1).fit(frame, X).model.members[0].coef)
+    free = LogisticLearner(penalty="none", balanced=False, tol=1e-12).fit(frame, X, "y")
+    assert np.abs(gradient(free)).max() < 1e-2
+
+
+def test_penalty_in_the_log_loss(frame):
+    plain = G.MinimaxGame(LogisticLearner(C=2.0), rounds=1, error_type="Log-Loss").fit(frame, X)
+    more = G.MinimaxGame(LogisticLearner(C=2.0), rounds=1, error_type="Log-Loss", penalize_errors=True).fit(frame, X)
+    added = 0.5 * np.square(more.model.members[0].coef).sum() / 2.0
+    a, b = (r.history.orderBy("g").toPandas() for r in (plain, more))
+    assert np.allclose(b["err"] - a["err"], added) and np.allclose(b["pop_err"] - a["pop_err"], added)
+
+
 def test_mixture_prediction(spark, frame, tmp_path):
     result = G.MixtureClassifier(n_estimators=3, gamma=0.5).fit(frame, X)
     model = result.model
