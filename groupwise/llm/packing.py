@@ -58,8 +58,8 @@ class Limits:
 class WordEncoder:
     """Ids of a text by a word-level tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    The white space the tokenizer removes always ends a word, so ids are kept per word. The cache is emptied when it is full.
-    A word of lower-case Latin letters only is one unit of the model and skips the general path.
+    The white space the tokenizer removes always ends a word, so ids are kept per word. Words of Latin letters are also kept in lower
+    case and without a full stop or comma after them, so that their other spellings need no tokenizing. Caches are emptied when full.
     """
 
     def __init__(self, content: str, cache_words: int = CACHE_WORDS):
@@ -69,28 +69,40 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.most = cache_words
         self.seen: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         # bytes shown as letters by byte-level vocabularies: printable ones stand for themselves, the others follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _ids(self, word: str) -> list[int]:
-        if word.isalpha() and max(word) < "Ā":
-            low = word.lower()
+    def _unit(self, word: str) -> bytes:
+        """Ids of a word of letters below U+0100, which is one unit of the model."""
+        low = word.lower()
+        got = self.units.get(low)
+        if got is None:
             unit = low if low.isascii() else "".join(map(self.letters.__getitem__, unicodedata.normalize("NFC", low).encode()))
-            return [t.id for t in self.model.tokenize(unit)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+            got = b"".join([self.packed[t.id] for t in self.model.tokenize(unit)])
+            if len(self.units) >= self.most:
+                self.units.clear()
+            self.units[low] = got
+        return got
+
+    def _ids(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < "Ā":
+            return self._unit(word)
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def _add(self, word: str) -> bytes:
         core = word[:-1]
-        if word[-1] in ".," and core[-1:].isalpha() and core.isalpha():
-            ids = self._ids(core) + self._ids(word[-1])
+        if word[-1] in ".," and core.isalpha():
+            got = self._ids(core) + (self.seen.get(word[-1]) or self._add(word[-1]))
         else:
-            ids = self._ids(word)
+            got = self._ids(word)
         if len(self.seen) >= self.most:
             self.seen.clear()
-        packed = self.seen[word] = np.array(ids, "<u4").tobytes()
-        return packed
+        self.seen[word] = got
+        return got
 
     def __call__(self, text: str) -> bytes:
         get, add = self.seen.get, self._add
