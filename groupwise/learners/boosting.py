@@ -11,6 +11,8 @@ import heapq
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from ..functions.losses import (
 )
 from ..functions.numeric import flag, ratio
 from ..operators.dual import DUAL_MODES, EarlyStop, dual_update
-from ..operators.ranks import dense_codes
+from ..operators.ranks import cuts_of, pooled_points
 from ..session import release, settle, spread
 from .batches import chunks
 from .game import bounded_rows
@@ -244,69 +246,103 @@ def prepare(df: DataFrame, features: Sequence[str], y: str = "y", g: str | None
     features = tuple(features)
     if not 2 <= max_bins <= 1024:
         raise ValueError("max_bins must lie in 2..1024")
-    probs = [i / max_bins for i in range(1, max_bins)]
-    found = df.agg(
-        *[F.percentile_approx(F.col(f).cast("double"), probs, 10_000).alias(f) for f in features],
-        *[F.min(F.col(f).cast("double")).alias(f"{f}\0low") for f in features],
-        F.count(F.lit(1)).alias("\0n"),
-    ).first()
-    edges = [sorted({v for v in (found[f] or []) if v > found[f"{f}\0low"]}) for f in features]
-    names = ["all"]
-    if g is not None:
-        codes = dense_codes(df.select(g).where(F.col(g).isNotNull()).distinct(), [g], "_g")
-        names = bounded_rows(codes, "groups").sort_values("_g")[g].tolist()
-    rows = spread(_bin(df, features, edges, y, _codes(df, g, names)), found["\0n"]).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = bounded_rows(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n")), "groups").sort_values("_g")["n"].to_numpy(float)
-    return Binned(rows, features, edges, names, sizes)
+    numbers = [F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features)]
+    base = df.select(F.col(y), *([F.col(g)] if g is not None else []), *numbers).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found, n = pooled_points(base, [f"_v{i}" for i in range(len(features))])
+        edges = [cuts_of(found[f"_v{i}"], max_bins) for i in range(len(features))]
+        names, sizes = ["all"], [n]
+        if g is not None:
+            counts = bounded_rows(base.where(F.col(g).isNotNull()).groupBy(g).agg(F.count(F.lit(1)).alias("n")), "groups").sort_values(g)
+            names, sizes = counts[g].tolist(), counts["n"].tolist()
+        named = base.select(y, *([g] if g is not None else []), *[F.col(f"_v{i}").alias(f) for i, f in enumerate(features)])
+        rows = spread(_bin(named, features, edges, y, _codes(named, g, names)), n).persist(StorageLevel.MEMORY_AND_DISK)
+        rows.count()  # fills the cache while the table behind it is still held
+    finally:
+        base.unpersist()
+    return Binned(rows, features, edges, names, np.array(sizes, float))
 
 
 # ---- histograms ------------------------------------------------------------------------------------------------------
 
 
-CELLS = "node int, feature int, bin int, g double, h double, n bigint"
+CELLS = "model int, node int, feature int, bin int, g double, h double, n bigint"
 LOSS = -1
 
 
-def histograms(rows: DataFrame, bins: Sequence[str], nodes: Sequence[int], width: int, groups: int = 0) -> DataFrame:
-    """Gradient, Hessian and row sums per (node, feature, bin) of rows ``(_node, _grad, _hess, bins...)``; ``feature`` is the position in ``bins``.
+@dataclass
+class Request:
+    """What a pass has to sum for one growing tree: ``nodes`` of ``node`` over the columns ``bins`` of at most ``width`` bins each; with ``groups`` also the known ``loss`` per ``_g``."""
+
+    node: Column
+    grad: Column
+    hess: Column
+    bins: Sequence[str]
+    nodes: Sequence[int]
+    width: int
+    groups: int = 0
+    loss: Column | None = None
+
 
-    Every task keeps one dense histogram of the given ``nodes`` (``width`` bins each) and adds whole batches to it; only its cells that
-    are not empty are merged by key, so what moves depends on nodes, features and bins and not on the row count. With ``groups`` the rows
-    also carry ``_g`` and ``_loss``, and node ``LOSS`` holds the sum and count of the known losses per group, in place of a pass of their own.
+def histograms(rows: DataFrame, requests: Sequence[Request]) -> DataFrame:
+    """Gradient, Hessian and row sums per (model, node, feature, bin) for all requests (``model`` is the position of the request, ``feature`` the one in its ``bins``).
+
+    Every task keeps one dense histogram per request and adds whole batches to it; only its cells that are not empty are merged by key, so what
+    moves depends on models, nodes, features and bins and not on the row count. Node ``LOSS`` holds the sum and count of the known losses per group, in
+    place of a pass of their own.
     """
-    at = np.full(max(nodes) + 1, -1)
-    at[list(nodes)] = np.arange(len(nodes))
-    ids, k, size = np.array(nodes), len(bins), len(nodes) * width
+    plans = [(list(r.bins), np.array(r.nodes), r.width, r.groups) for r in requests]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lost = np.zeros((3, k, size)), np.zeros((2, groups))
+        totals = [np.zeros((3, len(bins), len(nodes) * width)) for bins, nodes, width, _ in plans]
+        losses = [np.zeros((2, groups)) for *_, groups in plans]
         for table in chunks(batches):
-            node = at[table.column("_node").to_numpy()]
-            if groups:
-                loss, g = table.column("_loss").to_numpy(), table.column("_g").to_numpy()
-                known = ~np.isnan(loss)
-                lost += [np.bincount(g[known], loss[known], groups), np.bincount(g[known], minlength=groups)]
-            grad, hess = (table.column(c).to_numpy() for c in ("_grad", "_hess"))
-            for j, name in enumerate(bins):
-                cell = node * width + table.column(name).to_numpy()
-                total[:, j] += [np.bincount(cell, grad, size), np.bincount(cell, hess, size), np.bincount(cell, minlength=size)]
-        f, cell = np.nonzero(total[2])
-        seen = np.flatnonzero(lost[1])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[ids[cell // width], np.full(len(seen), LOSS)].astype("int32")),
-                pa.array(np.r_[f, np.zeros(len(seen))].astype("int32")),
-                pa.array(np.r_[cell % width, seen].astype("int32")),
-                pa.array(np.r_[total[0, f, cell], lost[0, seen]]),
-                pa.array(np.r_[total[1, f, cell], np.zeros(len(seen))]),
-                pa.array(np.r_[total[2, f, cell], lost[1, seen]].astype("int64")),
-            ],
-            names=["node", "feature", "bin", "g", "h", "n"],
-        )
-
-    extra = ["_g", F.coalesce(F.col("_loss").cast("double"), F.lit(float("nan"))).alias("_loss")] if groups else []
-    cells = rows.select("_node", F.col("_grad").cast("double").alias("_grad"), F.col("_hess").cast("double").alias("_hess"), *extra, *bins)
-    return cells.mapInArrow(run, CELLS).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+            for i, (bins, nodes, width, groups) in enumerate(plans):
+                if groups:
+                    loss, g = table.column(f"_loss{i}").to_numpy(), table.column("_g").to_numpy()
+                    known = ~np.isnan(loss)
+                    losses[i] += [np.bincount(g[known], loss[known], groups), np.bincount(g[known], minlength=groups)]
+                at = np.full(int(max(nodes.max(), table.column(f"_node{i}").to_numpy().max())) + 1, -1)
+                at[nodes] = np.arange(len(nodes))
+                place = at[table.column(f"_node{i}").to_numpy()]
+                mine = np.flatnonzero(place >= 0)
+                if not len(mine):
+                    continue
+                grad, hess = (table.column(f"_{c}{i}").to_numpy()[mine] for c in ("grad", "hess"))
+                base, size = place[mine] * width, len(nodes) * width
+                for j, name in enumerate(bins):
+                    cell = base + table.column(name).to_numpy()[mine]
+                    totals[i][:, j] += [np.bincount(cell, grad, size), np.bincount(cell, hess, size), np.bincount(cell, minlength=size)]
+        for i, (total, lost, (_, nodes, width, _)) in enumerate(zip(totals, losses, plans)):
+            f, cell = np.nonzero(total[2])
+            seen = np.flatnonzero(lost[1])
+            count = len(f) + len(seen)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(count, i), pa.int32()),
+                    pa.array(np.r_[nodes[cell // max(width, 1)], np.full(len(seen), LOSS)].astype("int32")),
+                    pa.array(np.r_[f, np.zeros(len(seen))].astype("int32")),
+                    pa.array(np.r_[cell % max(width, 1), seen].astype("int32")),
+                    pa.array(np.r_[total[0, f, cell], lost[0, seen]]),
+                    pa.array(np.r_[total[1, f, cell], np.zeros(len(seen))]),
+                    pa.array(np.r_[total[2, f, cell], lost[1, seen]].astype("int64")),
+                ],
+                names=["model", "node", "feature", "bin", "g", "h", "n"],
+            )
+
+    columns, bins = [], {}
+    for i, r in enumerate(requests):
+        columns += [r.node.cast("int").alias(f"_node{i}"), r.grad.cast("double").alias(f"_grad{i}"), r.hess.cast("double").alias(f"_hess{i}")]
+        if r.groups:
+            columns.append(F.coalesce(r.loss.cast("double"), F.lit(float("nan"))).alias(f"_loss{i}"))
+            bins["_g"] = None
+        bins |= dict.fromkeys(r.bins)
+    cells = rows.select(*bins, *columns)
+    # rows outside all asked nodes stay where they are; a pass over roots or losses needs every row
+    if all(not r.groups and list(r.nodes) != [0] for r in requests):
+        cells = cells.where(reduce(or_, [F.col(f"_node{i}").isin(list(map(int, r.nodes))) for i, r in enumerate(requests)]))
+    merged = cells.mapInArrow(run, CELLS).groupBy("model", "node", "feature", "bin")
+    return merged.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
 def dense_histograms(cells: pa.Table, nodes: Sequence[int], features: int, bins: int) -> dict[int, np.ndarray]:
@@ -423,13 +459,12 @@ class BoostParams:
 
 @dataclass
 class _Booster:
-    """Common engine of the four estimators."""
+    """Common settings and losses of the four estimators; :func:`boost_together` fits them."""
 
     p: BoostParams
     kind: str
     fair: bool
     info: pd.DataFrame | None = field(default=None)
-    _settled: list = field(default_factory=list, init=False, repr=False)
 
     def fit(
         self, df: DataFrame, features: Sequence[str], y: str = "y", g: str | None = "g", valid: DataFrame | None = None, binned: Binned | None = None
@@ -444,7 +479,7 @@ class _Booster:
         binned = binned or prepare(df, features, y, g, p.max_bins)
         held = binned.bin(valid, y, g) if valid is not None else None
         try:
-            return self._boost(binned, held)
+            return boost_together([self], binned, held)[0]
         finally:
             if own:
                 binned.unpersist()
@@ -476,8 +511,8 @@ class _Booster:
             return sq_loss("_y", m)
         return constraint_loss("_y", sigmoid(m), self.p.fairness_constraint)
 
-    def _gradients(self, scale: Column) -> tuple[Column, Column]:
-        p, m = self.p, F.col("_m")
+    def _gradients(self, scale: Column, m: Column) -> tuple[Column, Column]:
+        p = self.p
         if p.objective is not None:
             return p.objective(F.col("_y"), m, scale)
         lam = p.fair_weight if self.fair else 0.0
@@ -493,62 +528,6 @@ class _Booster:
             (1 - lam) * hess + scale * constraint_hess("_y", q, kind),
         )
 
-    def _boost(self, binned: Binned, held: DataFrame | None) -> BoostModel:
-        p, groups = self.p, len(binned.groups)
-        spark = binned.rows.sparkSession
-        scale_by_n = binned.sizes.sum() / binned.sizes
-        mu = np.full(groups, p.fair_weight / groups)
-        init = self._start(binned.rows)
-        frame = binned.rows.withColumn("_m", F.lit(init))
-        watch = held.withColumn("_m", F.lit(init)).persist(StorageLevel.MEMORY_AND_DISK) if held is not None else None
-        stop = EarlyStop(p.early_stopping_rounds, 1.0, p.min_delta, inclusive=True)
-        rng = random.Random(p.random_state)
-        trees, log, stale = [], [], []
-        for t in range(1, p.n_estimators + 1):
-            scaled, scale = frame, F.lit(0.0)
-            if self.fair:
-                scaled, scale = _scaled(frame, scale_by_n * mu)
-            growth = self._start_tree(scaled, scale, binned, rng)
-            if self.fair:
-                loss = growth.loss if growth else self._group_loss(frame, groups)
-                new_mu = dual_update(mu, loss, p.fair_weight, p.multiplier_learning_rate, p.dual_learning, self.kind == "classifier")
-                top = float(np.nanmax(loss)) if not np.isnan(loss).all() else float("nan")
-                log += [(t, str(binned.groups[i]), float(loss[i]), float(new_mu[i]), top) for i in range(groups)]
-                mu = new_mu
-            tree = self._grow(growth, binned) if growth else None
-            # growing the tree has filled the cache of this frame, so the one before it can go
-            for old in stale:
-                old.unpersist()
-            if tree is None:
-                break
-            trees.append(tree)
-            stale = [frame] if t > 1 else []
-            frame = self._advance(frame, tree, binned, t)
-            if watch is not None:
-                watch, old = self._advance(watch, tree, binned, t), watch
-                _, halt = stop.update(self._watch_loss(watch, groups))
-                old.unpersist()
-                if halt:
-                    break
-        for old in [*stale, frame]:
-            old.unpersist()
-        if watch is not None:
-            watch.unpersist()
-        release(*[table for _, table in self._settled])
-        self._settled = []
-        if watch is not None:
-            if stop.best_round >= 0:  # the best round counts whether patience or the rounds ran out
-                trees = trees[: stop.best_round + 1]
-        self.info = pd.DataFrame(log, columns=["round", "g", "loss", "mu", "epsilon"])
-        return BoostModel(self.kind, binned.features, init, trees, self.info)
-
-    def _group_loss(self, frame: DataFrame, groups: int) -> np.ndarray:
-        got = frame.groupBy("_g").agg(F.avg(self._row_loss(F.col("_m"))).alias("loss"))
-        out = np.full(groups, np.nan)
-        for row in bounded_rows(got, "groups").itertuples():
-            out[row[1]] = np.nan if row[2] is None else row[2]
-        return out
-
     def _watch_loss(self, watch: DataFrame, groups: int) -> float:
         if self.p.metric is not None:
             return float(self.p.metric(watch))
@@ -558,94 +537,206 @@ class _Booster:
         lam = self.p.fair_weight if self.fair else 0.0
         return (1 - lam) * t[0] + lam * (t[1] or 0.0)
 
-    def _advance(self, frame: DataFrame, tree: Tree, binned: Binned, t: int) -> DataFrame:
-        """Add the tree to the margins: a narrow projection, cached; lineage is cut every few rounds."""
-        out = frame.withColumn("_m", F.col("_m") + _value_expr(tree, binned.edges))
-        if t % self.p.checkpoint_every == 0:
-            kept = settle(out)
-            table = kept.persist(StorageLevel.MEMORY_AND_DISK)
-            self._settled.append((t, kept))
-            # a table is read until its successor is written; a retry of a lost partition goes back to the latest one only
-            for made, old in [x for x in self._settled if x[0] < t - self.p.checkpoint_every]:
-                self._settled.remove((made, old))
-                release(old)
-            return table
-        return out.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def _start_tree(self, frame: DataFrame, scale: Column, binned: Binned, rng: random.Random) -> "_Growth | None":
-        """The root of a tree; a fair booster takes the group losses of the margins so far from the same pass. None without a feature to split."""
-        p = self.p
-        usable = [i for i, e in enumerate(binned.edges) if e]
+@dataclass
+class _Fit:
+    """One booster on its way: its group weights, trees and the tree that grows; its margin is column ``_m<number>``."""
+
+    booster: _Booster
+    number: int
+    binned: Binned
+    init: float
+    rng: random.Random
+    mu: np.ndarray
+    trees: list[Tree] = field(default_factory=list)
+    log: list = field(default_factory=list)
+    growth: "_Growth | None" = None
+    done: bool = False
+
+    @property
+    def margin(self) -> Column:
+        return F.col(f"_m{self.number}")
+
+    def start_tree(self, frame: DataFrame) -> DataFrame:
+        """Choose features and set up the root; returns the frame with the value of each row's group where that takes a join."""
+        b, p = self.booster, self.booster.p
+        usable = [i for i, e in enumerate(self.binned.edges) if e]
         count = max(1, round(p.colsample_bytree * len(usable)))
-        features = sorted(rng.sample(usable, count)) if count < len(usable) else usable
-        if not features:
-            return None
-        grad, hess = self._gradients(scale)
-        rows = frame.select(grad.alias("_grad"), hess.alias("_hess"), *[f"_b{f}" for f in features], "_g", self._row_loss(F.col("_m")).alias("_loss"))
-        growth = _Growth(rows, features, max(len(binned.edges[f]) for f in features) + 2, len(binned.groups) if self.fair else 0)
-        self._measure(growth, [0])
-        return growth
-
-    def _grow(self, growth: "_Growth", binned: Binned) -> Tree | None:
-        """Leaf-wise growth. A node's gain does not depend on the order of other splits, so each pass measures every node the
-        best-first order could reach next; growth ends when ``num_leaves`` leaves follow from known gains alone."""
-        p = self.p
-        while open_nodes := _next_open(growth.nodes, p):
-            self._measure(growth, open_nodes)
-        chosen = _best_first(growth.nodes, p.num_leaves)
-        return _flatten(growth.nodes, chosen, binned.edges, p) if chosen else None
+        features = sorted(self.rng.sample(usable, count)) if count < len(usable) else usable
+        scale: Column = F.lit(0.0)
+        if b.fair:
+            frame, scale = _scaled(frame, self.binned.sizes.sum() / self.binned.sizes * self.mu, f"_scale{self.number}")
+        grad, hess = b._gradients(scale, self.margin)
+        bins = max((len(self.binned.edges[f]) for f in features), default=0) + 2
+        self.growth = _Growth(grad, hess, features, bins, len(self.binned.groups) if b.fair else 0, b._row_loss(self.margin))
+        return frame
+
+    def reweigh(self, t: int) -> None:
+        """The next group weights from the losses that came with the root."""
+        b, p, loss = self.booster, self.booster.p, self.growth.loss
+        mu = dual_update(self.mu, loss, p.fair_weight, p.multiplier_learning_rate, p.dual_learning, b.kind == "classifier")
+        top = float(np.nanmax(loss)) if not np.isnan(loss).all() else float("nan")
+        self.log += [(t, str(name), float(loss[i]), float(mu[i]), top) for i, name in enumerate(self.binned.groups)]
+        self.mu = mu
+
+    def finish_tree(self) -> Tree | None:
+        g = self.growth
+        chosen = _best_first(g.nodes, self.booster.p.num_leaves) if g.features else []
+        tree = _flatten(g.nodes, chosen, self.binned.edges, self.booster.p) if chosen else None
+        if tree is None:
+            self.done = True
+        else:
+            self.trees.append(tree)
+        return tree
 
-    def _measure(self, growth: "_Growth", wanted: list[int]) -> None:
-        """Histograms and best splits of the ``wanted`` nodes, in one pass over the rows.
 
-        While all histograms of a tree fit ``HISTOGRAM_CELLS``, only the smaller child of each split is summed: its sibling is the
-        difference to the parent. Larger ones stay on the executors and every wanted node is summed.
-        """
-        nodes, features, bins, store = growth.nodes, growth.features, growth.bins, growth.store
-        names = [f"_b{f}" for f in features]
-        at = growth.rows.withColumn("_node", _route_expr(nodes, 0).cast("int"))
-        groups = growth.groups if wanted == [0] else 0
-        if self.p.num_leaves * len(features) * bins > HISTOGRAM_CELLS:
-            if groups:
-                growth.loss = _loss_vector(histograms(at, [], [0], 0, groups).toArrow(), groups)
-            found = best_splits(histograms(at.where(F.col("_node").isin(wanted)), names, wanted, bins), self.p)
-        else:
-            pairs = [(i, nodes[i].left, nodes[i].right) for i in sorted({nodes[w].parent for w in wanted}) if i >= 0]
-            pairs = [(i, *sorted(lr, key=lambda c: nodes[c].rows)) for i, *lr in pairs]
-            summed = [low for _, low, _ in pairs] or [0]
-            part = at.where(F.col("_node").isin(summed)) if pairs else at
-            cells = histograms(part, names, summed, bins, groups).toArrow()
+def boost_together(boosters: Sequence[_Booster], binned: Binned, held: DataFrame | None = None) -> list[BoostModel]:
+    """Fit boosters on one binned table, round by round and level by level: a pass serves the trees of all of them.
+
+    ``held`` (binned validation rows) is for a single booster, which it stops.
+    """
+    if held is not None and len(boosters) > 1:
+        raise ValueError("validation rows are for a single booster")
+    for b in boosters:
+        b._check()
+    spark_rows = binned.rows
+    fits = []
+    for j, b in enumerate(boosters):
+        mu = np.full(len(binned.groups), b.p.fair_weight / len(binned.groups))
+        fits.append(_Fit(b, j, binned, b._start(spark_rows), random.Random(b.p.random_state), mu))
+    first = boosters[0]
+    frame = spark_rows.withColumns({f"_m{f.number}": F.lit(f.init) for f in fits})
+    watch = held.withColumn("_m0", F.lit(fits[0].init)).persist(StorageLevel.MEMORY_AND_DISK) if held is not None else None
+    stop = EarlyStop(first.p.early_stopping_rounds, 1.0, first.p.min_delta, inclusive=True)
+    cut = min(b.p.checkpoint_every for b in boosters)
+    stale: list[DataFrame] = []
+    tables: list[tuple[int, DataFrame]] = []
+    for t in range(1, max((b.p.n_estimators for b in boosters), default=0) + 1):
+        live = [f for f in fits if not f.done and t <= f.booster.p.n_estimators]
+        if not live:
+            break
+        ready = frame
+        for f in live:
+            ready = f.start_tree(ready)
+        wanted = {f.number: [0] for f in live}
+        while wanted:
+            _measure(ready, [f for f in live if f.number in wanted], wanted)
+            if any(nodes == [0] for nodes in wanted.values()):
+                for f in live:
+                    if f.booster.fair:
+                        f.reweigh(t)
+            wanted = {f.number: nodes for f in live if f.growth.features and (nodes := _next_open(f.growth.nodes, f.booster.p))}
+        # growing the trees has filled the cache of this frame, so the one before it can go
+        for old in stale:
+            old.unpersist()
+        grown = {f.number: tree for f in live if (tree := f.finish_tree()) is not None}
+        stale = [frame] if t > 1 else []
+        if not grown:
+            break
+        frame = _advance(frame, grown, binned, t, cut, tables)
+        if watch is not None:
+            watch, old = _advance(watch, grown, binned, t, cut, tables), watch
+            _, halt = stop.update(first._watch_loss(watch.withColumnRenamed("_m0", "_m"), len(binned.groups)))
+            old.unpersist()
+            if halt:
+                break
+    for old in [*stale, frame, *([watch] if watch is not None else [])]:
+        old.unpersist()
+    release(*[table for _, table in tables])
+    out = []
+    for f in fits:
+        trees = f.trees
+        if watch is not None and stop.best_round >= 0:  # the best round counts whether patience or the rounds ran out
+            trees = trees[: stop.best_round + 1]
+        f.booster.info = pd.DataFrame(f.log, columns=["round", "g", "loss", "mu", "epsilon"])
+        out.append(BoostModel(f.booster.kind, binned.features, f.init, trees, f.booster.info))
+    return out
+
+
+def _advance(frame: DataFrame, trees: Mapping[int, Tree], binned: Binned, t: int, cut: int, tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Add the trees to the margins: a narrow projection, cached; lineage is cut every ``cut`` rounds."""
+    out = frame.withColumns({f"_m{j}": F.col(f"_m{j}") + _value_expr(tree, binned.edges) for j, tree in trees.items()})
+    if t % cut:
+        return out.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = settle(out)
+    # a lost partition goes back to the table of the latest cut, so those before the last two are not read again
+    for made, old in [x for x in tables if x[0] < t - cut]:
+        tables.remove((made, old))
+        release(old)
+    tables.append((t, kept))
+    return kept.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _measure(frame: DataFrame, fits: Sequence[_Fit], wanted: Mapping[int, list[int]]) -> None:
+    """Histograms and best splits of the ``wanted`` nodes of every booster, in one pass over the rows.
+
+    While all histograms of a tree fit ``HISTOGRAM_CELLS``, only the smaller child of each split is summed: its sibling is the
+    difference to the parent. Larger trees are searched on the executors, in a pass of their own, and every wanted node is summed.
+    """
+    requests, plans = [], []
+    for f in fits:
+        g, p = f.growth, f.booster.p
+        nodes, names = g.nodes, [f"_b{i}" for i in g.features]
+        node = _route_expr(nodes, 0)
+        groups = g.groups if wanted[f.number] == [0] else 0
+        if p.num_leaves * len(names) * g.bins > HISTOGRAM_CELLS:
+            found = best_splits(histograms(frame, [Request(node, g.grad, g.hess, names, wanted[f.number], g.bins)]), p)
+            _absorb(f, wanted[f.number], found)
             if groups:
-                growth.loss = _loss_vector(cells, groups)
-            store.update(dense_histograms(cells, summed, len(features), bins))
-            for i, low, high in pairs:
-                rest = store.pop(i) - store[low]
-                store[high] = np.where(rest[2] > 0.5, rest, 0.0)
-            found = {i: best_split(store[i], self.p) for i in wanted}
-        for i in wanted:
-            node, split = nodes[i], found.get(i)
-            node.known = True
-            if split is None:
-                continue
-            if i == 0:
-                node.grad, node.hess, node.rows = split.total
-            if split.gain is None or 0 < self.p.max_depth <= node.depth:
-                continue
-            (gl, hl, nl) = split.left
-            node.gain, node.feature, node.bin = split.gain, features[split.feature], split.bin
-            node.left, node.right = len(nodes), len(nodes) + 1
-            nodes[node.left] = Node(gl, hl, nl, node.depth + 1, i)
-            nodes[node.right] = Node(node.grad - gl, node.hess - hl, node.rows - nl, node.depth + 1, i)
+                requests.append(Request(F.lit(1), g.grad, g.hess, [], [0], 0, groups, g.row_loss))
+                plans.append((f, [], []))
+            continue
+        pairs = [(i, nodes[i].left, nodes[i].right) for i in sorted({nodes[w].parent for w in wanted[f.number]}) if i >= 0]
+        pairs = [(i, *sorted(lr, key=lambda c: nodes[c].rows)) for i, *lr in pairs]  # noqa: B023
+        summed = [low for _, low, _ in pairs] or [0]
+        requests.append(Request(node, g.grad, g.hess, names, summed, g.bins, groups, g.row_loss))
+        plans.append((f, summed, pairs))
+    if not requests:
+        return
+    cells = histograms(frame, requests).toArrow()
+    model = cells.column("model").to_numpy()
+    for i, (f, summed, pairs) in enumerate(plans):
+        g, mine = f.growth, cells.filter(pa.array(model == i))
+        if requests[i].groups:
+            g.loss = _loss_vector(mine, g.groups)
+        if not g.features or not summed:
+            continue
+        g.store.update(dense_histograms(mine, summed, len(g.features), g.bins))
+        for parent, low, high in pairs:
+            rest = g.store.pop(parent) - g.store[low]
+            g.store[high] = np.where(rest[2] > 0.5, rest, 0.0)
+        _absorb(f, wanted[f.number], {w: best_split(g.store[w], f.booster.p) for w in wanted[f.number]})
+
+
+def _absorb(f: _Fit, wanted: Sequence[int], found: Mapping[int, Split]) -> None:
+    """Enter the splits found into the tree."""
+    nodes, features, p = f.growth.nodes, f.growth.features, f.booster.p
+    for i in wanted:
+        node, split = nodes[i], found.get(i)
+        node.known = True
+        if split is None:
+            continue
+        if i == 0:
+            node.grad, node.hess, node.rows = split.total
+        if split.gain is None or 0 < p.max_depth <= node.depth:
+            continue
+        (gl, hl, nl) = split.left
+        node.gain, node.feature, node.bin = split.gain, features[split.feature], split.bin
+        node.left, node.right = len(nodes), len(nodes) + 1
+        nodes[node.left] = Node(gl, hl, nl, node.depth + 1, i)
+        nodes[node.right] = Node(node.grad - gl, node.hess - hl, node.rows - nl, node.depth + 1, i)
 
 
 @dataclass
 class _Growth:
-    """A growing tree: its rows, the nodes so far, and the histograms of nodes without children (``store``)."""
+    """A growing tree: what its rows are summed over, the nodes so far, and the histograms of nodes without children (``store``)."""
 
-    rows: DataFrame
+    grad: Column
+    hess: Column
     features: list[int]
     bins: int
     groups: int
+    row_loss: Column
     loss: np.ndarray | None = None
     nodes: dict[int, Node] = field(default_factory=lambda: {0: Node(0.0, 0.0, 0, 0)})
     store: dict[int, np.ndarray] = field(default_factory=dict)
@@ -660,12 +751,12 @@ def _loss_vector(cells: pa.Table, groups: int) -> np.ndarray:
     return out
 
 
-def _scaled(frame: DataFrame, scale: np.ndarray) -> tuple[DataFrame, Column]:
+def _scaled(frame: DataFrame, scale: np.ndarray, name: str) -> tuple[DataFrame, Column]:
     """``frame`` with a Column of the value of each row's group: looked up in a literal array, or joined where that would bloat the plan."""
     if len(scale) <= LITERAL_GROUPS:
         return frame, F.get(F.array(*[F.lit(float(v)) for v in scale]), F.col("_g"))
-    table = frame.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(scale)], "_g int, _scale double")
-    return frame.join(F.broadcast(table), "_g"), F.col("_scale")
+    table = frame.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(scale)], f"_g int, {name} double")
+    return frame.join(F.broadcast(table), "_g"), F.col(name)
 
 
 def _best_first(nodes: dict[int, Node], num_leaves: int) -> list[int]:
@@ -794,7 +885,9 @@ __all__ = [
     "MinMaxBoostRegressor",
     "Tree",
     "best_split",
+    "Request",
     "best_splits",
+    "boost_together",
     "dense_histograms",
     "histograms",
     "prepare",

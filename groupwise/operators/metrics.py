@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.losses import CONSTRAINTS, EVAL_EPS, constraint_loss, logloss
 from ..functions.numeric import flag, ratio
 from ..lookup import attach, pin
-from .ranks import prefix_sums, quantile_edges
+from .ranks import prefix_sums, quantile_edges, with_bucket
 
 COUNTS = ("n", "pos", "tp", "fp", "tn", "fn")
 SUMS = ("sum_ll", "sum_ll_pos")
@@ -207,19 +207,48 @@ def roc_auc(sf: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "s
     return t.select(*by, ratio("_w", F.col("_p").cast("double") * F.col("_q")).alias("roc_auc"))
 
 
-def ks_threshold(sf: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score", buckets: int | None = None) -> DataFrame:
+KS_BUCKETS = 1_024
+
+
+def ks_threshold(sf: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score", buckets: int = KS_BUCKETS) -> DataFrame:
     """Score that maximises ``tpr - fpr`` of the rule ``>= score``; the highest score on ties.
 
     When no score beats the empty rule the threshold is infinite. Apply it with a strict ``score > threshold``. The comparison uses
     integers (``tp * N - fp * P``), so ties are exact.
+
+    Branch and bound: one aggregation counts both classes per score bucket, which gives the difference at every bucket's end and, as no rule inside a
+    bucket can do better than to take its positives first, a bound inside it. Only rows of buckets whose bound reaches the best end are grouped by score.
     """
-    c = _curve(sf, by, y, score, True, buckets)
-    wide = lambda name: F.col(name).cast("decimal(19,0)")
-    c = c.withColumn("_d", wide("cum_p") * wide("all_q") - wide("cum_q") * wide("all_p"))
-    best = c.groupBy(*by).agg(F.max(F.struct("_d", score)).alias("_b"), F.max("all_p").alias("_P"), F.max("all_q").alias("_N"))
+    by = list(by)
+    rows = sf.select(*by, F.col(score).alias("_s"), F.col(y).cast("bigint").alias("_y"))
+    edges = quantile_edges(rows, "_s", buckets)
+    bucketed = with_bucket(rows, "_s", edges, "_b")
+    counted = bucketed.groupBy(*by, "_b").agg(
+        F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("q"), F.min("_s").alias("_low")
+    )  # at most `buckets` rows per key
+    table = pin(counted).frame
+    down = Window.partitionBy(*by, F.lit(0)).orderBy(F.col("_b").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by, F.lit(0))
+    wide = lambda c: c.cast("decimal(19,0)")
+    ends = table.select(
+        *by, "_b", "p", "q", "_low", F.sum("p").over(down).alias("cum_p"), F.sum("q").over(down).alias("cum_q"),
+        F.sum("p").over(whole).alias("_P"), F.sum("q").over(whole).alias("_N"),
+    )
+    ends = ends.withColumn("_d", wide(F.col("cum_p")) * wide(F.col("_N")) - wide(F.col("cum_q")) * wide(F.col("_P")))
+    top = F.max(F.when(F.col("_b").isNotNull(), F.col("_d"))).over(whole)
+    # at the start of the bucket plus all its positives; a bucket of one class has its best rule at an end
+    bound = F.col("_d") + wide(F.col("q")) * wide(F.col("_P"))
+    state = pin(ends.withColumn("_open", F.col("_b").isNotNull() & (F.col("p") > 0) & (bound >= F.greatest(top, F.lit(0))))).frame
+    start = state.where("_open").select(*by, "_b", (F.col("cum_p") - F.col("p")).alias("_p0"), (F.col("cum_q") - F.col("q")).alias("_q0"), "_P", "_N")
+    inside = attach(bucketed, start, [*by, "_b"], null_safe=True)
+    scores = inside.groupBy(*by, "_b", "_s").agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("q"), *[F.first(c).alias(c) for c in ("_p0", "_q0", "_P", "_N")])
+    run = Window.partitionBy(*by, "_b").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    at = wide(F.col("_p0") + F.sum("p").over(run)) * wide(F.col("_N")) - wide(F.col("_q0") + F.sum("q").over(run)) * wide(F.col("_P"))
+    options = scores.select(*by, at.alias("_d"), "_s", "_P", "_N").unionByName(state.select(*by, F.when(F.col("_b").isNotNull(), F.col("_d")).alias("_d"), F.col("_low").alias("_s"), "_P", "_N"))
+    best = options.groupBy(*by).agg(F.max(F.when(F.col("_d").isNotNull(), F.struct("_d", "_s"))).alias("_b"), F.max("_P").alias("_P"), F.max("_N").alias("_N"))
     return best.select(
         *by,
-        F.when(F.col("_b._d") > 0, F.col(f"_b.{score}")).otherwise(F.lit(float("inf"))).alias("threshold"),
+        F.when(F.col("_b._d") > 0, F.col("_b._s")).otherwise(F.lit(float("inf"))).alias("threshold"),
         F.when(F.col("_b._d") > 0, ratio("_b._d", F.col("_P").cast("double") * F.col("_N"))).otherwise(F.lit(0.0)).alias("ks"),
     )
 
@@ -281,6 +310,29 @@ def group_mse(sf: DataFrame, by: Sequence[str] = (), y: str = "y", yhat: str = "
     return t.join(total, key).select(*by, "g", ratio("sum_se", "n").alias("mse"), ratio("total", "n").alias("ratio"))
 
 
+def evaluate_regressions(
+    long_sf: DataFrame, by: Sequence[str] = ("model", "split"), y: str = "y", yhat: str = "score", groups: Sequence | None = None, durations: DataFrame | None = None
+) -> DataFrame:
+    """Errors of all regressions on all splits in one aggregation: ``mse``, ``max_mse`` and per group ``ratio_g=<group>`` (``N / n_g``) and ``mse_g=<group>``.
+
+    ``long_sf`` has one row per (model, split, row) with its group ``g``. ``groups`` become columns; without them all groups that occur do, within the lookup bound.
+    """
+    by = list(by)
+    stats = pin(regression_stats(long_sf, [*by, "g"], y, yhat))
+    if groups is None:
+        names = pin(stats.frame.select("g").distinct())
+        if not names.small:
+            raise ValueError("more groups than a table has columns for; name those of interest")
+        groups = sorted((r for r in names.rows["g"].to_pylist() if r is not None), key=str)
+    total = F.sum("n").alias("n")
+    cells = [F.max(F.when(F.col("g") == F.lit(k), F.col("n"))).alias(f"_n{i}") for i, k in enumerate(groups)]
+    errors = [F.max(F.when(F.col("g") == F.lit(k), ratio("sum_se", "n"))).alias(f"mse_g={k}") for k in groups]
+    t = stats.frame.groupBy(*by).agg(total, ratio(F.sum("sum_se"), F.sum("n")).alias("mse"), F.max(ratio("sum_se", "n")).alias("max_mse"), *cells, *errors)
+    shares = [ratio("n", f"_n{i}").alias(f"ratio_g={k}") for i, k in enumerate(groups)]
+    out = t.select(*by, "mse", "max_mse", *shares, *[F.col(f"`mse_g={k}`") for k in groups])
+    return attach(out, durations, ["model"], how="left") if durations is not None else out
+
+
 def evaluate_models(
     long_sf: DataFrame,
     thresholds: float | str = 0.5,
@@ -308,9 +360,19 @@ def evaluate_models(
 
 
 def running_mean(df: DataFrame, order: str, value: str, count: str, by: Sequence[str] = (), out: str = "running_mean") -> DataFrame:
-    """Count-weighted mean over all batches so far; ``df`` holds one row per (key, batch)."""
-    w = Window.partitionBy(*by, F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, ratio(F.sum(F.col(value) * F.col(count)).over(w), F.sum(count).over(w)))
+    """Count-weighted mean over all batches so far; ``df`` holds one row per (key, batch).
+
+    Batches in numeric, date or time order are cut into ranges whose totals go ahead of them, so no task holds all batches of a key. Other orders (text) are
+    sorted within their key.
+    """
+    kind = df.schema[order].dataType.simpleString()
+    weighted = df.withColumns({"_vc": F.col(value).cast("double") * F.col(count), "_c": F.col(count).cast("double")})
+    if kind == "string":
+        w = Window.partitionBy(*by, F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return weighted.withColumn(out, ratio(F.sum("_vc").over(w), F.sum("_c").over(w))).drop("_vc", "_c")
+    place = F.unix_date(order) if kind == "date" else F.col(order).cast("timestamp") if kind == "timestamp_ntz" else F.col(order)
+    run = prefix_sums(weighted.withColumn("_o", place.cast("double")), by, "_o", ["_vc", "_c"])
+    return run.withColumn(out, ratio("cum__vc", "cum__c")).select(*df.columns, out)
 
 
 def weighted_group_loss(pred: DataFrame, mu: DataFrame, loss: str = "loss", correct: str = "correct", g: str = "g") -> DataFrame:

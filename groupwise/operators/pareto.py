@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .ranks import quantile_edges, with_bucket
 
 CHUNK = 20_000
+HELD = 20_000
 
 
 def _skyline(v: np.ndarray) -> np.ndarray:
@@ -32,6 +34,9 @@ def _local_skyline(objectives: Sequence[str]):
         best = np.empty((0, len(names)))
         for pdf in batches:
             best = _skyline(np.unique(np.vstack([best, pdf[names].to_numpy(float)]), axis=0))
+            if len(best) >= HELD:  # this step only thins the rows, so a task may start anew
+                yield pd.DataFrame(best, columns=names)
+                best = np.empty((0, len(names)))
         yield pd.DataFrame(best, columns=names)
 
     return run
@@ -74,15 +79,37 @@ def _filter_by(rows: DataFrame, objectives: Sequence[str], front: DataFrame, eps
 def skyline(df: DataFrame, objectives: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """Distinct objective vectors that no other vector weakly dominates (all objectives minimised).
 
-    Every task first reduces its rows to a local skyline. What is left is compared with itself in chunks of at most about ``chunk``
+    One or two objectives: a sweep over ranges of the first one. More: every task first reduces its rows to a local skyline. What is left is compared with itself in chunks of at most about ``chunk``
     vectors, so neither a task nor a broadcast grows with the table.
     """
     objectives = list(objectives)
     vectors = df.select(*[F.col(c).cast("double").alias(c) for c in objectives])
+    if len(objectives) <= 2:
+        return swept_skyline(vectors, objectives)
     local = settle(vectors.mapInPandas(_local_skyline(objectives), vectors.schema).distinct())
     return _filter_by(local, objectives, local, 0.0, chunk)
 
 
+def swept_skyline(vectors: DataFrame, objectives: Sequence[str]) -> DataFrame:
+    """The skyline of one or two objectives: in the order of the first, then the second, a vector stays if its second is below all before it.
+
+    The vectors are cut into ranges of the first objective; a range starts from the least second value of the ranges before it, one number per range. A task holds
+    running minima of its own range only, however long the front is.
+    """
+    x, y = objectives[0], objectives[-1]
+    rows = vectors.select(*objectives).distinct()
+    if len(objectives) == 1:
+        return rows.join(rows.agg(F.min(x).alias(x)), x)
+    cut = with_bucket(rows, x, quantile_edges(vectors, x), "_b")
+    lows = cut.groupBy("_b").agg(F.min(y).alias("_low"))  # one row per range
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lows.select("_b", F.min("_low").over(before).alias("_carried"))
+    left = cut.join(F.broadcast(carried), "_b").where(F.col("_carried").isNull() | (F.col(y) < F.col("_carried")))
+    inside = Window.partitionBy("_b").orderBy(x, y).rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min(y).over(inside)
+    return left.withColumn("_least", least).where(F.col("_least").isNull() | (F.col(y) < F.col("_least"))).select(*objectives)
+
+
 def pareto_flags(df: DataFrame, key: str, objectives: Sequence[str], eps: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """``(key, objectives, kept)``: an item is kept if against every other item it is better by more than ``-eps`` somewhere.
 

@@ -12,7 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from operator import or_
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,11 @@ from ..lookup import attach, join_null_safe, pin
 from ..session import settle
 
 SORT_ROWS = 200_000
+BUCKET_ROWS = 500_000
+POINTS = 1_000
+EVEN = 8_193
+MERGERS = 16
+ACCURACY = 10_000
 DIGITS = 2
 KEY_DIGITS = 32
 
@@ -88,19 +96,60 @@ def _digit_counts(rows: DataFrame, by: Sequence[str], key: str, depth: int) -> D
     return rows.groupBy(*by, "prefix", digit).agg(F.count(F.lit(1)).alias("n"))
 
 
+def pooled_points(df: DataFrame, columns: Sequence[str], points: int = POINTS, mergers: int = MERGERS) -> tuple[dict[str, np.ndarray], int]:
+    """Sorted values of each column, about ``mergers * points`` of them, that stand for equal shares of its rows; and the number of rows. One pass.
+
+    Two levels: ``mergers`` sketches, each of the rows of every ``mergers``-th task, so no task merges those of all tasks; what they say, ``points`` values each, meets on the
+    driver, weighted by rows. NULL is left out. A column with few values shows all that make up more than ``1 / points`` of a sketch's rows.
+    """
+    probs = [i / points for i in range(points + 1)]
+    key = F.pmod(F.spark_partition_id(), F.lit(mergers))
+    values = [F.col(c).cast("double") for c in columns]
+    aggs = [F.percentile_approx(v, probs, ACCURACY).alias(f"v{i}") for i, v in enumerate(values)] + [F.count(v).alias(f"n{i}") for i, v in enumerate(values)]
+    found = df.select(*columns, key.alias("_m")).groupBy("_m").agg(F.count(F.lit(1)).alias("_n"), *aggs).collect()
+    out = {}
+    for i, c in enumerate(columns):
+        parts = [(np.array(r[f"v{i}"]), r[f"n{i}"]) for r in found if r[f"n{i}"]]
+        if not parts:
+            out[c] = np.zeros(0)
+            continue
+        v = np.concatenate([p for p, _ in parts])
+        w = np.concatenate([np.full(len(p), n / len(p)) for p, n in parts])
+        order = np.argsort(v, kind="stable")
+        out[c] = _even(v[order], np.cumsum(w[order]))
+    return out, sum(r["_n"] for r in found)
+
+
+def _even(values: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Values at evenly spaced weights; all of them where there are no more."""
+    distinct = np.unique(values)
+    if len(distinct) <= POINTS:
+        return distinct
+    at = np.searchsorted(upto, np.linspace(0, upto[-1], EVEN), "left")
+    return values[np.minimum(at, len(values) - 1)]
+
+
+def cuts_of(points: np.ndarray, parts: int) -> list[float]:
+    """At most ``parts - 1`` distinct inner edges that cut what :func:`pooled_points` found into parts of similar size."""
+    distinct = np.unique(points)
+    if len(distinct) <= parts:
+        return distinct[1:].tolist()
+    return sorted({float(points[len(points) * i // parts]) for i in range(1, parts)} - {float(distinct[0])})
+
+
 def quantile_edges(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
-    """At most ``buckets - 1`` distinct inner edges that cut the rows into parts of similar size (sketch, one pass)."""
-    buckets = buckets or _buckets(df)
-    if buckets < 2:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(column, probs, 10_000)).first()[0]
-    return sorted(set(found or []))
+    """Distinct inner edges that cut the rows into ``buckets`` parts of similar size, by default of about ``BUCKET_ROWS`` rows each (sketches, one pass)."""
+    points, rows = pooled_points(df.select(column), [column])
+    return cuts_of(points[column], buckets or max(8, -(-rows // BUCKET_ROWS)))
 
 
-def _buckets(df: DataFrame) -> int:
-    """One bucket per shuffle task."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def with_bucket(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
+    """``df`` plus the number of edges below or equal to ``column``, by binary search; NULL for NULL, one more for NaN."""
+    if not edges:
+        return df.withColumn(out, F.when(F.col(column).isNotNull(), F.lit(0)))
+    split = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="_value", outputCol="_place", handleInvalid="keep")
+    placed = split.transform(df.withColumn("_value", F.col(column).cast("double")))
+    return placed.withColumn(out, F.when(F.col(column).isNotNull(), F.col("_place").cast("int"))).drop("_value", "_place")
 
 
 def edge_bucket(column: Column | str, edges: Sequence[float]) -> Column:
@@ -135,7 +184,7 @@ def prefix_sums(
     by = list(by)
     if edges is None:
         edges = quantile_edges(table, order, buckets)
-    cut = table.withColumn("_b", edge_bucket(order, edges))
+    cut = with_bucket(table, order, edges, "_b")
     totals = cut.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     bucket_order = F.col("_b").desc() if descending else F.col("_b").asc()
     before = Window.partitionBy(*by, F.lit(0)).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -154,26 +203,52 @@ def prefix_sums(
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
-    """Quantiles with linear interpolation between order statistics, from counts per value and their running sum.
+    """Quantiles with linear interpolation between order statistics; NULL is left out.
 
-    Only the order statistics asked for reach the driver, two per quantile.
+    Brackets: sketches cut the values into cells, one pass counts the rows of each cell, which tells the cell that holds a wanted rank. Cells of more than
+    ``SORT_ROWS`` rows of several values are cut again in the same way, in a pass over their rows only. What is left is counted by value: at
+    most ``SORT_ROWS`` rows per wanted rank, whatever the table.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    run = prefix_sums(counts, [], "v", ["c"], edges=quantile_edges(values, "v"))
-    last = F.col("all_c") - 1
-    asked = []
-    for i, p in enumerate(probs):
-        low = F.floor(F.lit(float(p)) * last).cast("bigint") + 1
-        asked += [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.least(low + j, F.col("all_c")).alias("rank")) for j in (0, 1)]
-    here = F.filter(F.array(*asked), lambda a: (a["rank"] <= F.col("cum_c")) & (a["rank"] > F.col("cum_c") - F.col("c")))
-    found = {(r["i"], r["j"]): r for r in run.select("v", "all_c", F.inline(here)).collect()}
-    out = []
-    for i, p in enumerate(probs):
-        if (i, 0) in found:
-            low, high = found[i, 0], found[i, 1]
-            at = p * (low["all_c"] - 1)
-            out.append(low["v"] + (high["v"] - low["v"]) * (at - int(at)))
+    rows = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    points, n = pooled_points(rows, ["v"])
+    if not n:
+        return []
+    asked = {}
+    for p in probs:
+        at = float(p) * (n - 1)
+        asked[p] = (int(at), min(int(at) + 1, n - 1), at - int(at))
+    values = order_statistics(rows, sorted({r for a, b, _ in asked.values() for r in (a, b)}), cuts_of(points["v"], len(points["v"])))
+    return [values[a] + (values[b] - values[a]) * part for a, b, part in asked.values()]
+
+
+def order_statistics(rows: DataFrame, ranks: Sequence[int], edges: Sequence[float]) -> dict[int, float]:
+    """The values at 0-based ``ranks`` of the column ``v`` (no NULL)."""
+    cells = with_bucket(rows, "v", edges, "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("c").collect()
+    ends = np.cumsum([r["n"] for r in cells])
+    wanted: dict[int, list[int]] = {}
+    for rank in ranks:
+        wanted.setdefault(int(np.searchsorted(ends, rank, "right")), []).append(rank)
+    out: dict[int, float] = {}
+    small: dict[int, list[int]] = {}
+    for i, mine in wanted.items():
+        cell, before = cells[i], int(ends[i]) - cells[i]["n"]
+        if cell["low"] == cell["high"]:
+            out |= {r: cell["low"] for r in mine}
+        elif cell["n"] <= SORT_ROWS:
+            small[i] = mine
+        else:
+            part = rows.where((F.col("v") >= F.lit(cell["low"])) & (F.col("v") <= F.lit(cell["high"])))
+            points, _ = pooled_points(part, ["v"])
+            finer = cuts_of(points["v"], len(points["v"])) or [cell["high"]]
+            out |= {r + before: v for r, v in order_statistics(part, [r - before for r in mine], finer).items()}
+    if small:
+        inside = [(F.col("v") >= F.lit(cells[i]["low"])) & (F.col("v") <= F.lit(cells[i]["high"])) for i in small]
+        counts = rows.where(reduce(or_, inside)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+        v, n = np.array([r["v"] for r in counts]), np.array([r["n"] for r in counts])
+        for i, mine in small.items():
+            here = (v >= cells[i]["low"]) & (v <= cells[i]["high"])
+            upto = np.cumsum(n[here]) + int(ends[i]) - cells[i]["n"]
+            out |= {r: float(v[here][np.searchsorted(upto, r, "right")]) for r in mine}
     return out
 
 

@@ -212,13 +212,9 @@ def boost_round_group_loss(spark, sf):
 def boost_histogram(spark, sf):
     """One histogram pass: gradient and Hessian sums per (node, bin) of all rows."""
     t = scored_orders(spark, sf)
-    rows = t.select(
-        F.when(F.col("o_totalprice") < 250000, 0).otherwise(1).alias("_node"),
-        (F.col("score") - F.col("y")).alias("_grad"),
-        (F.col("score") * (1 - F.col("score"))).alias("_hess"),
-        (F.floor(F.col("c_acctbal") / 1000) + 1).cast("smallint").alias("_b0"),
-    )
-    hist = B.histograms(rows, ["_b0"], [0, 1], 16)
+    node = F.when(F.col("o_totalprice") < 250000, 0).otherwise(1)
+    rows = t.withColumn("_b0", (F.floor(F.col("c_acctbal") / 1000) + 1).cast("smallint"))
+    hist = B.histograms(rows, [B.Request(node, F.col("score") - F.col("y"), F.col("score") * (1 - F.col("score")), ["_b0"], [0, 1], 16)])
     return hist.select(big("node"), big("bin"), r6("g", "grad"), r6("h", "hess"), "n")
 
 
@@ -230,6 +226,42 @@ def boost_trials(spark, sf):
     return results.drop("duration")
 
 
+@query("trial_families")
+def trial_families(spark, sf):
+    """Boosters, games, mixtures and weighted fits evaluated side by side."""
+    made = {
+        "booster": lambda p: B.MinMaxBoostClassifier(n_estimators=3, num_leaves=5, fair_weight=p["fair"]),
+        "plain": lambda p: B.BoostClassifier(n_estimators=3, num_leaves=5),
+        "game": lambda p: G.MinimaxGame(LogisticLearner(), rounds=4, error_type="Log-Loss"),
+        "mixture": lambda p: G.MixtureClassifier(n_estimators=3, gamma=p["fair"]),
+        "adaptive": lambda p: A.AdaptiveClassifier(n_iterations=2),
+        "logistic": lambda p: LogisticLearner(),
+    }
+    params = [{"family": f, "fair": w} for f in made for w in ((0.3, 0.9) if f in ("booster", "mixture") else (0.5,))]
+    frame = _frame(spark, sf).withColumns({"o_totalprice": F.col("price"), "c_acctbal": F.col("balance")})
+    results, _, _ = E.run_trials(lambda p: made[p["family"]](p), params, frame, FEATURES)
+    return results.drop("duration")
+
+
+@query("trial_regressions")
+def trial_regressions(spark, sf):
+    """Boosted, ridge and mixture regressors: errors overall and per group."""
+    made = [lambda p: B.BoostRegressor(n_estimators=3, num_leaves=5), lambda p: B.MinMaxBoostRegressor(n_estimators=3, num_leaves=5), lambda p: LinearLearner(alpha=1.0), lambda p: G.MixtureRegressor(n_estimators=3, gamma=0.5)]
+    frame = _regression(spark, sf).withColumn("split", F.when(F.col("row_id") % 4 == 0, "test").otherwise("train"))
+    results, _, _ = E.run_trials(lambda p: made[p["i"]](p), [{"i": i} for i in range(len(made))], frame, LINEAR)
+    return results.drop("duration")
+
+
+@query("boost_long_run")
+def boost_long_run(spark, sf):
+    """A fit long enough for lineage cuts and for patience to end it; the tree count and the validation loss of its rounds."""
+    t = _frame(spark, sf)
+    est = B.MinMaxBoostClassifier(n_estimators=40, num_leaves=7, learning_rate=0.5, early_stopping_rounds=3, fair_weight=0.3)
+    model = est.fit(t.where("split = 'train'"), FEATURES, valid=t.where("split = 'val'"))
+    played = spark.createDataFrame([(len(model.trees), int(est.info["round"].max()))], "trees int, rounds int")
+    return played
+
+
 @query("boost_fair_weight_sweep")
 def boost_fair_weight_sweep(spark, sf):
     base = spark.createDataFrame([(2, 4)], "n_estimators int, num_leaves int")

@@ -8,7 +8,7 @@ from ..functions.hashing import unit
 from ..lookup import pin
 from ..operators import metrics as M
 from ..operators.groups import Keep, subgroup
-from .bindings import DOCS, HISTORY, REGRESSION, SCORED, history, regression_orders, scored_docs, scored_events, scored_orders, unit_sql
+from .bindings import DOCS, HISTORY, REGRESSION, SCORED, SHIFT, history, regression_orders, scored_docs, scored_events, scored_orders, unit_sql
 from .losses import LL
 from .registry import big, query, r, r6, table
 
@@ -301,6 +301,25 @@ FROM o JOIN f ON o.model = f.model AND o.split = f.split"""
 EVAL = ("thresh", *PERF, *BUNDLE)
 
 
+_SEGMENTS = sorted(SHIFT)
+
+
+@query(
+    "metric_evaluate_regressions",
+    f"""WITH {REGRESSION}, k AS (SELECT unnest(range(4))::INT AS model), long AS (SELECT model, CASE WHEN row_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, g, y, yhat + 3 * model AS s FROM reg CROSS JOIN k),
+    m AS (SELECT model, split, g, count(*) AS n, sum((y - s) ** 2) AS se FROM long GROUP BY ALL)
+    SELECT model, split, {r('sum(se) / sum(n)', 'mse')}, {r('max(se / n)', 'max_mse')},
+    {', '.join(r(f"sum(n) / max(n) FILTER (WHERE g = '{k}')", f'"ratio_g={k}"') + ', ' + r(f"max(se / n) FILTER (WHERE g = '{k}')", f'"mse_g={k}"') for k in _SEGMENTS)}
+    FROM m GROUP BY model, split""",
+)
+def metric_evaluate_regressions(spark, sf):
+    """Errors of several regressions on two splits, overall, at worst and per group."""
+    t = regression_orders(spark, sf).withColumn("split", F.when(F.col("row_id") % 4 == 0, "test").otherwise("train"))
+    long = t.withColumn("model", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("score", F.col("yhat") + 3 * F.col("model"))
+    out = M.evaluate_regressions(long)
+    return out.select("model", "split", *[r6(F.col(f"`{c}`"), c) for c in out.columns[2:]])
+
+
 @query(
     "metric_evaluate_models",
     f"WITH {SCORED}{LONG}, pr AS (SELECT *, 0.5::DOUBLE AS thresh, CAST(score > 0.5 AS INT) AS pred FROM long), {_eval_sql('pr')}",

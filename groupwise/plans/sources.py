@@ -51,11 +51,21 @@ def source_csv_sniffed_delimiter(spark, sf):
     return R.read_table(spark, path, SPEC, sep=None)
 
 
-@query("source_csv_encoded", "SELECT doc_id, lang, source, n_chars FROM documents")
+# letters that the code page has besides ASCII; quotes and backslashes are left out as they are the file's own marks
+CP860 = "ÇüéâãàçêÊèÍÔìÃÂÉÀÈôõòÚùÌÕÜáíóúñÑªº¿ß"
+ENCODABLE = f"[^ !#-\\[\\]-~{CP860}]"
+
+
+@query(
+    "source_csv_encoded",
+    f"SELECT doc_id, lang, source, n_chars, regexp_replace(coalesce(trim(regexp_replace(text, '{ENCODABLE}', '?', 'g')), '-'), '^$', '-') AS text FROM documents",
+)
 def source_csv_encoded(spark, sf):
+    """Accented texts through a file of another code page; characters outside it become question marks before they are written."""
     path = fresh(spark, "encoded")
-    t = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    spec = TableSpec(cat=("lang", "source"), key="doc_id", extra={"n_chars": T.LongType()})
+    text = F.regexp_replace(F.coalesce(F.trim(F.regexp_replace("text", ENCODABLE, "?")), F.lit("-")), "^$", "-")
+    t = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", text.alias("text"))
+    spec = TableSpec(cat=("lang", "source", "text"), key="doc_id", extra={"n_chars": T.LongType()})
     R.allow_charset(spark, "cp860")
     t.write.option("header", True).option("sep", ";").option("encoding", "IBM860").csv(path)
     return R.read_table(spark, path, spec, sep=";", encoding="cp860")
@@ -140,6 +150,14 @@ def sink_result_tables(spark, sf):
     return spark.read.schema(schema).parquet(root)
 
 
+@query("sink_trial_tables", f"WITH {RESULTS} SELECT dataset, model_name, number, duration_text, perf FROM test")
+def sink_trial_tables(spark, sf):
+    root = fresh(spark, "trials")
+    _, test, _ = results(spark, sf)
+    W.write_trials(test.select("dataset", "model_name", "number", "duration_text", "perf"), root)
+    return spark.read.schema("number bigint, duration_text string, perf double, dataset string, model_name string").parquet(root)
+
+
 @query("sink_run_bundle", f"WITH {SCORED}, s AS (SELECT g, count(*) AS n FROM scored GROUP BY g), p AS (SELECT row_id, g, pred FROM scored) SELECT row_id, g, pred, n FROM p JOIN s USING (g)")
 def sink_run_bundle(spark, sf):
     root = fresh(spark, "run")

@@ -130,17 +130,18 @@ def test_executor_side_splits_agree(frame, monkeypatch):
     assert np.allclose(predictions(near, frame), predictions(far, frame))
 
 
-def test_a_tree_takes_one_job_per_level(spark, frame):
+def test_a_tree_takes_one_job_per_level(spark, frame, monkeypatch):
     """The group losses come with the root, so no level needs a second pass."""
     prepared = B.prepare(frame, FEATURES)
-    levels = []
+    levels, passes = [], []
+    histograms = B.histograms
+    monkeypatch.setattr(B, "histograms", lambda *a: passes.append(a) or histograms(*a))
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # each stage is a job of its own otherwise
     try:
         for rounds in (1, 3):
             spark.sparkContext.setJobGroup(f"trees{rounds}", "")
             est = B.MinMaxBoostClassifier(n_estimators=rounds, min_child_weight=0.0, **SMALL)
-            measure, passes = est._measure, []
-            est._measure = lambda growth, wanted: passes.append(wanted) or measure(growth, wanted)  # noqa: B023
+            passes.clear()
             est.fit(frame, FEATURES, binned=prepared)
             levels.append((len(passes), len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees{rounds}"))))
     finally:
@@ -150,13 +151,38 @@ def test_a_tree_takes_one_job_per_level(spark, frame):
     assert all(jobs == passes for passes, jobs in levels) and levels[0][0] < levels[1][0]
 
 
+def test_boosters_grown_together_are_those_grown_alone(frame, monkeypatch):
+    """Different sizes, objectives and feature draws; together they take the passes of the longest one."""
+    prepared = B.prepare(frame, FEATURES)
+    passes, histograms = [], B.histograms
+    monkeypatch.setattr(B, "histograms", lambda *a: passes.append(a) or histograms(*a))
+    make = lambda: [
+        B.MinMaxBoostClassifier(n_estimators=2, fair_weight=0.7, **SMALL), B.MinMaxBoostClassifier(n_estimators=4, dual_learning="gradient_norm", **SMALL),
+        B.BoostClassifier(n_estimators=3, colsample_bytree=0.5, num_leaves=3, min_child_samples=5), B.BoostClassifier(n_estimators=2, min_child_samples=150),
+    ]
+    alone, counts = [], []
+    for est in make():
+        passes.clear()
+        alone.append(est.fit(frame, FEATURES, binned=prepared))
+        counts.append(len(passes))
+    passes.clear()
+    together = B.boost_together(make(), prepared)
+    assert [m.trees for m in together] == [m.trees for m in alone] or all(
+        np.allclose(predictions(a, frame), predictions(b, frame)) for a, b in zip(alone, together)
+    )
+    assert len(passes) < sum(counts) and not together[3].trees
+    for a, b in zip(alone[:2], together[:2]):
+        assert np.allclose(a.info[["loss", "mu"]], b.info[["loss", "mu"]])
+    prepared.unpersist()
+
+
 def test_long_fit_cuts_lineage_and_stops(frame):
     """More rounds than two lineage cuts, ended by patience."""
     train, valid = frame.where("split = 'train'"), frame.where("split = 'val'")
     est = B.BoostClassifier(n_estimators=60, early_stopping_rounds=4, checkpoint_every=3, **SMALL)
     model = est.fit(train, FEATURES, valid=valid)
     whole = B.BoostClassifier(n_estimators=60, early_stopping_rounds=4, checkpoint_every=1000, **SMALL).fit(train, FEATURES, valid=valid)
-    assert 1 <= len(model.trees) < 56 and np.allclose(predictions(model, frame), predictions(whole, frame)) and not est._settled
+    assert 1 <= len(model.trees) < 56 and np.allclose(predictions(model, frame), predictions(whole, frame))
 
 
 def test_lineage_cuts_do_not_change_the_model(frame):

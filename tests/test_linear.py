@@ -283,6 +283,54 @@ def test_mixture_prediction(spark, frame, tmp_path):
     assert load_model(spark, str(tmp_path / "one")) == single
 
 
+def test_many_members_are_one_matrix(spark):
+    """2,000 members of 100 features: the plan is made at once and holds no coefficient."""
+    import time
+
+    from groupwise.learners.linear import LinearModel
+    from groupwise.learners.mixture import MixtureModel, score_linear
+
+    rng = np.random.default_rng(2)
+    names = tuple(f"f{i}" for i in range(100))
+    members = tuple(LinearModel("logistic", names, tuple(w[1:].tolist()), float(w[0])) for w in rng.normal(size=(2000, 101)))
+    x = rng.normal(size=(50, 100))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list(names)).assign(row_id=range(50)))
+    model = MixtureModel(members)
+    MixtureModel(members[:2]).transform(df)._jdf.queryExecution().toString()  # start-up is not planning
+    began = time.perf_counter()
+    scored = model.transform(df)
+    text = scored._jdf.queryExecution().toString()
+    assert time.perf_counter() - began < 1.5 and len(text) < 100_000
+    w = np.array([[m.intercept, *m.coef] for m in members])
+    each = 1 / (1 + np.exp(-(x @ w[:, 1:].T + w[:, 0])))
+    assert np.allclose(scored.orderBy("row_id").toPandas()["p"], each.mean(1))
+    long = score_linear(df.select("row_id", *names), {3: model, 7: members[5]}).toPandas().sort_values(["model", "row_id"])
+    assert np.allclose(long["score"], np.concatenate([each.mean(1), each[:, 5]]))
+    gone = model.transform(df.withColumn("f3", F.lit(None).cast("double"))).first()
+    assert gone["p"] is None and gone["pred"] is None
+
+
+def test_trials_of_all_families(frame):
+    from groupwise.learners.experiments import run_trials
+
+    t = frame.withColumn("split", F.when(F.col("row_id") % 4 == 0, "test").otherwise("train"))
+    makers = [lambda: LogisticLearner(), lambda: G.MinimaxGame(LogisticLearner(), rounds=2, error_type="Log-Loss"), lambda: G.MixtureClassifier(n_estimators=2), lambda: A.AdaptiveClassifier(n_iterations=1)]
+    results, trials, models = run_trials(lambda p: makers[p["i"]](), [{"i": i} for i in range(4)], t, X)
+    got = results.toPandas().set_index(["model", "split"])
+    assert set(got.index) == {(m, s) for m in range(4) for s in ("train", "test")} and trials.count() == 4
+    plain = LogisticLearner().fit(t.where("split = 'train'"), X, "y").transform(t.where("split = 'test'")).toPandas()
+    assert got.loc[(0, "test"), "acc"] == pytest.approx((plain["y"] == plain["pred"]).mean())
+    worst = plain.assign(hit=plain["y"] == plain["pred"]).groupby("g")["hit"].mean()
+    assert got.loc[(0, "test"), "min_acc"] == pytest.approx(worst.min())
+    makers = [lambda: LinearLearner(), lambda: G.MixtureRegressor(n_estimators=2)]
+    results, _, models = run_trials(lambda p: makers[p["i"]](), [{"i": i} for i in range(2)], t.drop("y").withColumnRenamed("z", "y"), X)
+    got = results.toPandas().set_index(["model", "split"])
+    test = models[1].transform(t.where("split = 'test'")).toPandas()
+    by = ((test["z"] - test["p"]) ** 2).groupby(test["g"]).mean()
+    assert got.loc[(1, "test"), "max_mse"] == pytest.approx(by.max()) and got.loc[(1, "test"), "mse_g=2"] == pytest.approx(by[2])
+    assert got.loc[(1, "test"), "ratio_g=2"] == pytest.approx(len(test) / (test["g"] == 2).sum())
+
+
 def test_mixture_regressor(frame):
     result = G.MixtureRegressor(n_estimators=2, gamma=0.0, C=1.0).fit(frame, X, "z")
     assert result.main_error == "MSE" and len(result.model.members) == 2

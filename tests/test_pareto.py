@@ -29,6 +29,26 @@ def test_flags(spark, chunk, eps, dims):
     assert [got[i] for i in range(40)] == brute(v, eps)
 
 
+def test_a_long_front_is_swept_in_ranges(spark):
+    """Every one of 100,000 opposed vectors is on the front; the dominated ones beside it go."""
+    from groupwise.operators.pareto import skyline
+
+    front = spark.range(100_000).selectExpr("cast(id as double) as a", "cast(-id as double) as b")
+    inside = front.selectExpr("a + 1.5 as a", "b + 0.5 as b")
+    got = skyline(front.unionByName(inside).repartition(7), ["a", "b"])
+    assert got.count() == 100_000 and got.join(front, ["a", "b"]).count() == 100_000
+
+
+def test_a_task_holds_a_bounded_front(spark, monkeypatch):
+    from groupwise.operators import pareto
+
+    v = np.random.default_rng(1).random((300, 3))
+    df = spark.createDataFrame([tuple(r) for r in v.tolist()], "a double, b double, c double").repartition(2)
+    want = {tuple(r) for r in pareto._skyline(v)}
+    monkeypatch.setattr(pareto, "HELD", 5)
+    assert {tuple(r) for r in pareto.skyline(df, ["a", "b", "c"]).collect()} == want
+
+
 def test_all_equal_keeps_the_first(spark):
     df = spark.createDataFrame([(i, 1.0, 2.0) for i in range(4)], "id long, a double, b double")
     assert {r["id"]: r["kept"] for r in pareto_flags(df, "id", ["a", "b"]).collect()} == {0: 1, 1: 0, 2: 0, 3: 0}

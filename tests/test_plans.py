@@ -37,9 +37,18 @@ def test_bundle_reads_the_rows_once(spark):
     assert text.count("Scan parquet") == 4  # two tables, each once in the tree and once in the details
 
 
-@pytest.mark.parametrize("fn", [M.roc_auc, M.ks_threshold])
-def test_curves_share_one_shuffle_of_the_scores(spark, fn):
-    assert "ReusedExchange" in plan(fn(scored_orders(spark, SF), ["g"]), run=True)
+def test_a_curve_shares_one_shuffle_of_the_scores(spark):
+    assert "ReusedExchange" in plan(M.roc_auc(scored_orders(spark, SF), ["g"]), run=True)
+
+
+def test_ks_groups_only_scores_of_open_buckets(spark, monkeypatch):
+    """Of 20,000 distinct scores a small part can hold the maximum; nothing else is grouped by score."""
+    rows = spark.range(20_000).selectExpr("id / 20000 as score", "cast(rand(3) < 0.2 + 0.6 * id / 20000 as int) as y").cache()
+    joined, attach = [], M.attach
+    monkeypatch.setattr(M, "attach", lambda *a, **k: joined.append(attach(*a, **k)) or joined[-1])
+    M.ks_threshold(rows, buckets=256).collect()
+    assert joined[-1].count() < 0.2 * 20_000
+    rows.unpersist()
 
 
 def test_columns_and_filters_reach_the_scan(spark):

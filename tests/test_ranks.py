@@ -54,6 +54,79 @@ def test_exact_quantiles(spark):
     assert np.allclose(R.exact_quantiles(df, "v", probs), np.quantile(df.toPandas()["v"], probs))
 
 
+def test_quantiles_cut_again_where_cells_are_long(spark, monkeypatch):
+    """Cells above the bound are cut again over their own rows; a value that fills its cell needs no cut."""
+    df = spark.range(20_000).selectExpr("case when id % 3 = 0 then 5.0 when id % 7 = 0 then null else sqrt(id * 7919 % 20011) end as v").repartition(5)
+    probs = [0.0, 0.01, 0.2, 0.5, 0.9, 0.999, 1.0]
+    want = np.quantile(df.toPandas()["v"].dropna(), probs)
+    monkeypatch.setattr(R, "POINTS", 20)
+    monkeypatch.setattr(R, "EVEN", 21)
+    for rows in (200_000, 500):
+        monkeypatch.setattr(R, "SORT_ROWS", rows)
+        assert np.allclose(R.exact_quantiles(df, "v", probs), want)
+    assert R.exact_quantiles(df.where("v is null"), "v", [0.5]) == []
+
+
+def test_pooled_points_stand_for_even_shares(spark):
+    df = spark.range(200_000).selectExpr("pow(id / 200000, 3) as v", "id % 4 as few", "cast(null as double) as none").repartition(9)
+    points, n = R.pooled_points(df, ["v", "few", "none"])
+    assert n == 200_000 and points["few"].tolist() == [0, 1, 2, 3] and len(points["none"]) == 0
+    edges = np.array(R.cuts_of(points["v"], 10))
+    assert np.allclose(np.cbrt(edges), np.arange(1, 10) / 10, atol=0.01)
+    assert R.cuts_of(points["few"], 255) == [1, 2, 3] and R.cuts_of(np.zeros(0), 8) == []
+
+
+def test_buckets_by_search(spark):
+    edges = [0.5, 2.0, 3.0, 50.0]
+    got = R.with_bucket(skewed(spark).select("v").union(spark.sql("select cast(null as double)")), "v", edges, "b").toPandas()
+    known = got["v"].notna()
+    assert (got["b"][known] == np.searchsorted(edges, got["v"][known], side="right")).all() and got["b"][~known].isna().all()
+
+
+def brute_ks(y, s):
+    best = (0, None)
+    for t in sorted(set(s)):
+        hit = s >= t
+        d = (y[hit] == 1).sum() * (y == 0).sum() - (y[hit] == 0).sum() * (y == 1).sum()
+        if d > 0 and (best[1] is None or d >= best[0]):
+            best = (d, t)
+    return best
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 64, 1024])
+@pytest.mark.parametrize("values", [3, 40, 5000])
+def test_ks_by_bounds_is_exact(spark, buckets, values):
+    """Ties of scores and of differences, keys without a class, useless scores."""
+    from groupwise.operators.metrics import ks_threshold
+
+    rng = np.random.default_rng(values + buckets)
+    s = rng.integers(0, values, 600) / values
+    g = rng.integers(0, 4, 600)
+    y = np.where(g == 0, 1, np.where(g == 1, (rng.random(600) < s).astype(int), rng.integers(0, 2, 600)))
+    df = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(g, y, s)], "g int, y int, score double").repartition(3)
+    got = {r["g"]: r for r in ks_threshold(df, ["g"], buckets=buckets).collect()}
+    for k in range(4):
+        d, t = brute_ks(y[g == k], s[g == k])
+        pos, neg = (y[g == k] == 1).sum(), (y[g == k] == 0).sum()
+        assert got[k]["threshold"] == (float("inf") if t is None else t)
+        assert got[k]["ks"] == pytest.approx(d / (pos * neg) if t is not None else 0.0)
+    whole = ks_threshold(df, buckets=buckets).first()
+    assert whole["threshold"] == brute_ks(y, s)[1]
+
+
+def test_running_mean_over_ranges(spark, monkeypatch):
+    from groupwise.operators.metrics import running_mean
+
+    monkeypatch.setattr(R, "BUCKET_ROWS", 10)
+    rows = [(g, i, float(i * 37 % 11), i % 5 + 1) for g in range(2) for i in range(120)]
+    df = spark.createDataFrame(rows, "g int, i int, v double, c int").repartition(4)
+    got = running_mean(df, "i", "v", "c", ["g"]).toPandas().sort_values(["g", "i"])
+    for _, part in got.groupby("g"):
+        assert np.allclose(part["running_mean"], (part["v"] * part["c"]).cumsum() / part["c"].cumsum())
+    text = running_mean(df.withColumn("i", F.lpad(F.col("i").cast("string"), 4, "0")), "i", "v", "c", ["g"]).toPandas().sort_values(["g", "i"])
+    assert np.allclose(text["running_mean"], got["running_mean"])
+
+
 def test_edge_bucket(spark):
     edges = [0.5, 2.0, 3.0, 50.0]
     df = skewed(spark).select("v", R.edge_bucket("v", edges).alias("b")).toPandas()
