@@ -43,7 +43,7 @@ def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         [(-7, f'{{"conversations": [{{"from": "human", "value": {_json(said)}}}, {{"from": "gpt", "value": {_json(said)}}}]}}')],
         "conv_id bigint, record string",
     )
-    records = chat.records_of(table(spark, sf, "conversations")).unionByName(extra)
+    records = chat.records_of(table(spark, sf, "conversations"), mixed=True).unionByName(extra)
     return chat.digests(chat.format_records(records))
 
 
