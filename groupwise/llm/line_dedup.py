@@ -100,6 +100,8 @@ def deleted_runs(docs: DataFrame, id_col: str, text_col: str, **options) -> Data
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` with all its columns; ``text_col`` without the deleted lines, and a new column ``deleted_runs``."""
+    if "deleted_runs" in docs.columns:
+        raise ValueError("the documents have a column deleted_runs already; rename it")
     runs = deleted_runs(docs, id_col, text_col, unit_words=unit_words, window=window)
     text = text_of(text_col)
     rows = docs.select(F.struct("*").alias("_row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("t")).alias("_place"))
@@ -107,6 +109,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = _lines(F.coalesce(F.col(f"_row.{text_col}").cast("string"), F.lit("")))
     stay = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (r["lo"] <= i) & (i <= r["hi"])))
     clean = F.when(F.col("runs").isNull(), F.col(f"_row.{text_col}")).otherwise(F.array_join(stay, "\n"))
-    others = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (text_col, "deleted_runs")]
+    others = [F.col(f"_row.`{c}`") for c in docs.columns if c != text_col]
     none = F.expr("cast(array() as array<struct<lo: int, hi: int>>)")
     return joined.select(*others, clean.alias(text_col), F.coalesce("runs", none).alias("deleted_runs"))

@@ -162,7 +162,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("string").alias("_i"),
         F.col(source_col).alias("_s"),
     ).select("_row", key.alias("_q"))
-    joined = keyed.join(taken, "_q").withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy(F.lit(0))))
+    joined = keyed.join(taken, "_q").withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("_q")))
+    # rows that share all of these may differ in other columns: the whole row decides, so reruns agree however rows are dealt
+    order = F.when(F.col("_same") > 1, F.md5(F.to_json("_row")))
+    joined = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy(order)))
     times = sum(((F.col("_n") <= F.col(f"_g{r}")).cast("int") for r in range(2, most + 1)), (F.col("_n") <= F.col("_g1")).cast("int"))
     copies = joined.withColumn("_t", times).where(F.col("_t") > 0).select("_row", F.explode(F.sequence(F.lit(1), F.col("_t"))).alias("_copy"))
     return copies.select("_row.*")
