@@ -2,11 +2,13 @@
 
 Credentials found by the base patterns are the labelled examples. For each kind with any example a probabilistic automaton is inferred
 from a bounded sample of them (at most ``per_kind`` distinct values, those with the smallest hash): a prefix tree over character classes whose
-states are merged, in breadth-first order, when their outgoing frequencies agree within the Hoeffding bound, recursively. Every
-candidate of the corpus (a run of 6 or more credential characters, the least length an example can have) is then scored by its mean log likelihood per
-character; one whose likelihood lies in the typical range of an automaton's own examples (between their ``TAIL`` and ``1 - TAIL``
-quantiles: ordinary numbers are too likely, ordinary words not likely enough) and that overlaps no base span is added as a span. Few examples make a wide bound when states are merged and a narrow range of likelihoods: a
-kind with one example accepts only what is exactly as likely.
+states are merged, in breadth-first order, when their outgoing frequencies agree within the Hoeffding bound, recursively. A further automaton is inferred in the same way from
+ordinary runs of credential characters (``ORDINARY`` distinct ones outside base spans, by hash, without those that look like hidden credentials: as likely as the
+examples of a kind and of a shape that at most ``RARE`` of the runs have). Merging forgets lengths, so each automaton also keeps the
+lengths of its examples. Every candidate of the corpus (a run of 6 or more credential characters, the least length an example can have) is scored by the log of how
+much likelier a kind's automaton makes it than the ordinary one; it is added as a span if that is at least ``MARGIN`` and at least what all but ``TAIL`` of the kind's own
+examples reach, and it overlaps no base span. Numbers, dates and words are what ordinary text is made of, or have lengths no example has. Few
+examples make a wide bound when states are merged.
 
 The text is read twice, first for the base values from which the automata are inferred, then for the spans; nothing is written out between. Likelihoods
 depend on character classes only, so a task keeps its verdicts per class string (at most ``CACHE_WORDS`` of up to ``CACHE_CHARS``).
@@ -20,9 +22,10 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +42,14 @@ KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex")
 LEARNED = "learned"
+PLAIN = "ordinary"
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min(LEAST_ASSIGN, LEAST_ACCESS))
 PER_KIND = 400
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
+ORDINARY = 1_500
+MARGIN = math.log(1e4)
+RARE = 0.01
 TAIL = 0.03
 CONFIDENCE = 0.05
 END = "$"
@@ -86,6 +93,7 @@ class Automaton:
         self.start = 0
         self._merge()
         self.alphabet = len({s for w in words for s in w}) + 1
+        self.lengths = Counter(map(len, words))
         self.seen = len(words)
 
     def _insert(self, word: str) -> None:
@@ -144,31 +152,53 @@ class Automaton:
                 edge.extend((same, x) for x in sorted(self.to[same]) if self.to[same][x] not in kept)
 
     def likelihood(self, word: str) -> float:
-        """Mean log probability per symbol, with a small share for what was never seen; nothing is known past an unseen step."""
-        total, at = 0.0, self.start
-        for s in [*word, END]:
-            n = sum(self.count[at].values()) if at is not None else 0
+        """Log probability of the symbols, given their number, and of that number; with a small share for what was never seen. Nothing is known past an unseen step."""
+        near = sum(self.lengths[len(word) + i] for i in (-1, 0, 1))
+        total, at = math.log((near + 0.01) / (3 * self.seen + 1)), self.start
+        for s in word:
+            n = sum(self.count[at].values()) - self.count[at].get(END, 0) if at is not None else 0
             c = self.count[at].get(s, 0) if at is not None else 0
             total += math.log((c + 0.01) / (n + 0.01 * self.alphabet)) if n else math.log(1e-3)
             at = self.to[at].get(s) if at is not None else None
-        return total / (len(word) + 1)
+        return total
 
 
 class FormatModel:
-    """One automaton per kind with the range of likelihood of its examples."""
+    """One automaton per kind with the least ratio to the ordinary one that its examples reach."""
 
-    def __init__(self, examples: dict[str, list[str]], tail: float = TAIL):
-        self.kinds: dict[str, tuple[Automaton, float, float]] = {}
+    def __init__(self, examples: dict[str, list[str]], ordinary: list[str] = (), tail: float = TAIL):
+        self.kinds: dict[str, tuple[Automaton, float]] = {}
         self.known: dict[str, bool] = {}
+        learned = {}
         for kind, values in sorted(examples.items()):
             words = [symbols(v) for v in sorted(set(values))]
-            auto = Automaton(words)
-            reached = sorted(map(auto.likelihood, words))
-            out = int(tail * len(reached))
-            self.kinds[kind] = (auto, reached[out], reached[-1 - out])
+            learned[kind] = (Automaton(words), words)
+        plain = self._without_hidden(sorted(ordinary), [a for a, _ in learned.values()], [w for _, w in learned.values()], tail)
+        self.plain = Automaton([symbols(v) for v in plain]) if plain else None
+        for kind, (auto, words) in learned.items():
+            reached = sorted(auto.likelihood(w) - self.ordinary(w) for w in words)
+            self.kinds[kind] = (auto, max(MARGIN, reached[int(tail * len(reached))]))
+
+    @staticmethod
+    def _without_hidden(ordinary: list[str], autos: list[Automaton], words: list[list[str]], tail: float) -> list[str]:
+        """The ordinary runs without those that are credentials themselves: as likely as a kind's examples, and of a shape few runs have."""
+        shapes = Counter(symbols(v).replace("h", "l") for v in ordinary)
+        few = max(2, RARE * len(ordinary))
+        least = [sorted(map(a.likelihood, w))[int(tail * len(w))] for a, w in zip(autos, words)]
+
+        def hidden(v: str) -> bool:
+            word = symbols(v)
+            return shapes[word.replace("h", "l")] <= few and any(a.likelihood(word) >= low for a, low in zip(autos, least))
+
+        return [v for v in ordinary if not hidden(v)]
+
+    def ordinary(self, word: str) -> float:
+        """Log likelihood in ordinary text; without any, every symbol and a length is as likely as one of a hundred."""
+        return self.plain.likelihood(word) if self.plain else -math.log(100) * (len(word) + 1)
 
     def _judge(self, word: str) -> bool:
-        return any(low <= auto.likelihood(word) <= high for auto, low, high in self.kinds.values())
+        plain = self.ordinary(word)
+        return any(auto.likelihood(word) - plain >= least for auto, least in self.kinds.values())
 
     def accepts(self, value: str) -> bool:
         word = symbols(value)
@@ -194,30 +224,47 @@ def all_spans(text: str, model: FormatModel) -> tuple[list[tuple], list[tuple]]:
     return base, sorted(spans)
 
 
-def base_values(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``kind, value`` of every base span."""
+def examples_of(docs: DataFrame, text_col: str = "text", ordinary: int = ORDINARY) -> DataFrame:
+    """``kind, value`` of every base span, and from each task its ``ordinary`` runs with the smallest checksum outside base spans (kind ``ordinary``)."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        few: dict[str, int] = {}
+        most = 1 << 32
         for (text,) in rows:
-            yield from ((k, v) for k, _, _, v in base_spans(text))
+            base = base_spans(text)
+            yield from ((k, v) for k, _, _, v in base)
+            for m in CANDIDATE.finditer(text):
+                h = crc32(m[0].encode())
+                if h < most and m[0] not in few and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
+                    few[m[0]] = h
+                    if len(few) >= 2 * ordinary:
+                        few = dict(sorted(few.items(), key=lambda x: (x[1], x[0]))[:ordinary])
+                        most = max(few.values())
+        yield from ((PLAIN, v) for v in sorted(few, key=lambda v: (few[v], v))[:ordinary])
 
     return map_rows(docs.select(text_of(text_col)), run, "kind string, value string")
 
 
-def learn(values: DataFrame, per_kind: int = PER_KIND) -> FormatModel:
-    """Automata from at most ``per_kind`` distinct values of each kind; only these reach the driver."""
-    distinct = values.select("kind", "value", F.md5("value").alias("h")).distinct()
-    w = Window.partitionBy("kind").orderBy("h", "value")
-    some = distinct.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_kind).select("kind", "value").collect()
+def learn(values: DataFrame, per_kind: int = PER_KIND, ordinary: int = ORDINARY) -> FormatModel:
+    """Automata from at most ``per_kind`` distinct values of each kind and ``ordinary`` others; only these reach the driver."""
+    order = F.when(F.col("kind") == PLAIN, F.lpad(F.crc32("value").cast("string"), 10, "0")).otherwise(F.md5("value"))
+    distinct = values.select("kind", "value", order.alias("h")).distinct()
+    # the rows of a kind are ranked in parts first, so no task holds the values of a kind
+    part = Window.partitionBy("kind", F.pmod(F.xxhash64("value"), F.lit(64))).orderBy("h", "value")
+    whole = Window.partitionBy("kind").orderBy("h", "value")
+    most = F.when(F.col("kind") == PLAIN, ordinary).otherwise(per_kind)
+    some = distinct.withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)
+    some = some.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= most).select("kind", "value").collect()
     examples: dict[str, list[str]] = {}
     for row in some:
         examples.setdefault(row["kind"], []).append(row["value"])
-    return FormatModel(examples)
+    plain = examples.pop(PLAIN, [])
+    return FormatModel(examples, plain)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_kind: int = PER_KIND) -> DataFrame:
     """``id_col, base, spans``: base spans, and all spans (``kind, start, end``) by start, then kind; added ones last of a start."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(base_values(docs, text_col), per_kind))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(examples_of(docs, text_col), per_kind))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
