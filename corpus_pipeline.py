@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, exact dedup, near duplicates, mixing, packing, each stage on what the one before kept."""
+"""The corpus pipeline: toxicity, exact dedup, near duplicates, mixing, packing, each stage on what the one before kept.
+
+Every stage but the last returns the columns of its input, whatever they are called. Null and empty texts pass the first stage (score 0), are one group of exact copies, have no near
+copies, take no words in the mix and are packed as their end id. Null ids and sources are values of their own. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +15,22 @@ ORACLE_SQL = None  # the first stage is a trained model, which SQL cannot expres
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold; ties with it go. Without labels of both kinds nothing is rejected."""
     return toxicity.keep_clean(docs, queries.toxicity_model(spark, sf_dir, docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id (null is the smallest); of rows that repeat id and text one stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near duplicates."""
+    """The document with the smallest id of every group of near duplicates (null is the largest), and every document without words."""
     return ngram_join.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; rows alike in id, text and source are told apart by their other columns."""
     return mixing.mixed_documents(docs)
 
 
