@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..lookup import attach
+
 OUT_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,12 +33,22 @@ def word_count(column: Column) -> Column:
 def bounded_ids(rows: DataFrame, id_col: str, by: str, most: int) -> DataFrame:
     """``(id_col, by)`` of at most ``most`` rows per value of ``by``: those with the smallest md5 of the id.
 
-    Only ids move; each task passes on at most ``most`` rows per value.
+    Only ids move. The size of each value tells below which hash its smallest lie, so only somewhat more than ``most`` rows per value
+    are ranked, however many there are.
     """
     order = F.md5(F.concat_ws("|", F.lit("sample"), F.col(id_col).cast("string")))
+    keyed = rows.select(id_col, by, order.alias("_order"))
+    near = (F.conv(F.substring("_order", 1, 12), 16, 10).cast("double") + 1) / F.lit(16.0**12)
+    sizes = keyed.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    margin = 1.3 * most + 300
+    while True:
+        cut = attach(keyed, sizes, [by], null_safe=True).where(near <= F.lit(margin) / F.col("_n"))
+        found = attach(sizes, cut.groupBy(by).agg(F.count(F.lit(1)).alias("_c")), [by], how="left", null_safe=True)
+        if found.where(F.coalesce("_c", F.lit(0)) < F.least("_n", F.lit(most))).isEmpty():
+            break
+        margin *= 2
     w = Window.partitionBy(by).orderBy("_order", id_col)
-    ranked = rows.select(id_col, by, order.alias("_order")).withColumn("_rank", F.row_number().over(w))
-    return ranked.where(F.col("_rank") <= most).select(id_col, by)
+    return cut.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).select(id_col, by)
 
 
 def sampled_texts(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, by: str, most: int) -> DataFrame:

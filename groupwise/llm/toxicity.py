@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,31 +114,52 @@ def fit(texts: list[str], labels: list[int], features: int = FEATURES, steps: in
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
         return ToxicityModel({}, -60.0)
-    bags = [[WORDS.findall(t[a:b].lower()) for a, b in sentences_of(t)] for t in texts]
-    seen = [Counter(), Counter()]
-    for label, bag in zip(labels, bags):
-        seen[label].update({f for w in set().union(*bag) for f in features_of(w)})
+    # words as numbers: the texts of the sample would take ten times their size as lists of words
+    number: dict[str, int] = {}
+    words, ends, doc = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for a, b in sentences_of(t):
+            words.extend([number.setdefault(w, len(number)) for w in WORDS.findall(t[a:b].lower())])
+            ends.append(len(words))
+            doc.append(d)
+    words, doc = np.frombuffer(words, "int32"), np.array(doc, int)
+    sentence = np.repeat(np.arange(len(doc)), np.diff(np.array(ends), prepend=0))
+    known: dict[str, int] = {}
+    parts = [[known.setdefault(f, len(known)) for f in features_of(w)] for w in number]
+    starts = np.cumsum([0] + [len(p) for p in parts])
+    flat = np.array([f for p in parts for f in p], int)
+
+    def spread(word_ids: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of each word, with the value beside it."""
+        sizes = starts[word_ids + 1] - starts[word_ids]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return flat[np.repeat(starts[word_ids], sizes) + inside], np.repeat(beside, sizes)
+
+    seen = np.zeros((2, len(known)), int)
+    bounds = np.searchsorted(doc[sentence] if len(words) else np.zeros(0, int), np.arange(len(texts) + 1))
+    for d, label in enumerate(labels):
+        own = np.unique(words[bounds[d] : bounds[d + 1]])
+        seen[int(label == 1), np.unique(spread(own, own)[0])] += 1
     total = np.array([(y == 0).sum(), (y == 1).sum()], float)
 
-    def chi(f: str) -> float:
-        a, b = seen[1][f], seen[0][f]
+    def chi(f: int) -> float:
+        a, b = int(seen[1, f]), int(seen[0, f])
         c, d = total[1] - a, total[0] - b
         n, top = a + b + c + d, a * d - b * c
         return n * top * top / max(1.0, (a + b) * (c + d) * (a + c) * (b + d)) if top > 0 else 0.0
 
-    often = [f for f in seen[1] if seen[1][f] + seen[0][f] >= MIN_DOCS]
+    spelled = list(known)
+    often = np.flatnonzero((seen[1] > 0) & (seen.sum(0) >= MIN_DOCS)).tolist()
     telling = {f: c for f in often if (c := chi(f)) >= LEAST_CHI}
-    names = sorted(telling, key=lambda f: (-telling[f], f))[:features]
-    at = {f: i for i, f in enumerate(names)}
-    ids_of = {w: tuple(at[f] for f in features_of(w) if f in at) for w in {w for bag in bags for s in bag for w in s}}
-    sent, feat, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = [i for w in s for i in ids_of[w]]
-            sent += [len(doc)] * len(ids)
-            feat += ids
-            doc.append(d)
-    sent, feat, doc = np.array(sent, int), np.array(feat, int), np.array(doc, int)
+    chosen = sorted(telling, key=lambda f: (-telling[f], spelled[f]))[:features]
+    names = [spelled[f] for f in chosen]
+    at = np.full(len(known), -1)
+    at[chosen] = np.arange(len(chosen))
+    told = np.zeros(len(parts), bool)  # words with a chosen feature
+    for w, p in enumerate(parts):
+        told[w] = any(at[f] >= 0 for f in p)
+    feat, sent = spread(words[told[words]], sentence[told[words]])
+    feat, sent = at[feat[at[feat] >= 0]], sent[at[feat] >= 0]
     theta = np.append(np.zeros(len(names)), START_BIAS)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
