@@ -13,7 +13,7 @@ Links are only needed as far as they connect, so candidates come in two steps. F
 similar size for each of its prefix shingles, which joins near copies of one text without pairing them all. Then documents that
 share prefix shingles across different components so far are paired, all of them: by a join where few are outside a shingle's largest
 component, by matrix products over blocks of documents elsewhere. Both steps count shared prefix shingles per pair, ask for as many as the lifts, the sizes and the ends
-of the two prefixes imply, and verify on whole sets. The second step runs first with the best partner of each document only,
+of the two prefixes imply, and verify on whole sets. The second step runs first with the best ``PARTNERS`` of each document only,
 again while that links many, so that the pairs of one large group are few when all are asked for once. Pairs verified before are not
 verified again. No link between different components is lost, so the components are exact, however many rounds were run.
 
@@ -45,10 +45,12 @@ BLOCK_BITS = 13
 BROADCAST_IDS = 1_000_000
 HUBS = 3
 LIGHT = 32
-BLOCK = 1024
-COLUMNS = 4096
+BLOCK = 16_384
+STRIP = 256
+COLUMNS = 2048
 CACHE_WORDS = 300_000
-AGAIN = 0.1
+AGAIN = 0.5
+PARTNERS = 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -234,7 +236,7 @@ def hub_pairs(postings: DataFrame, percent: int, hubs: int = HUBS) -> DataFrame:
 
 def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, seen: DataFrame, percent: int, best: bool) -> DataFrame:
     """``a, b, na, nb``: all pairs in different components so far, and not in ``seen``, that share enough prefix shingles; with
-    ``best`` only the one that shares most for each document. Written out.
+    ``best`` only the ``PARTNERS`` that share most with each document. Written out.
 
     For each shingle its largest component is met by the documents of all others; two documents of one component never meet. Where
     at most ``LIGHT`` documents are outside the largest component this is a join, with at most ``LIGHT`` rows per posting. Longer
@@ -256,9 +258,9 @@ def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, seen: D
     pairs = enough(met, facts, percent, extra).unionByName(block_pairs(heavy, known, facts, percent, best))
     pairs = pairs.join(seen, ["a", "b"], "left_anti")
     if best:
-        one = F.struct("c", "a", "b", "na", "nb")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), one.alias("p"))
-        pairs = ends.groupBy("v").agg(F.max("p").alias("p")).select("p.*")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), "*")
+        nearest = Window.partitionBy("v").orderBy(F.col("c").desc(), "a", "b")
+        pairs = ends.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= PARTNERS).drop("v", "_n")
     out = settle(pairs.dropDuplicates(["a", "b"]))
     release(known, rows)
     return out
@@ -267,7 +269,8 @@ def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, seen: D
 def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
     """``a, b, na, nb, c`` of the pairs within the lists of ``heavy`` that share enough of all their repeated prefix shingles.
 
-    A list is cut into blocks of about ``BLOCK`` documents; a task holds two blocks.
+    A list is cut into blocks of about ``BLOCK`` documents, so that it is moved once unless it is longer; a task holds two blocks and compares them in
+    strips of ``STRIP`` documents.
     """
     long = heavy.groupBy("v").agg(F.collect_list("t").alias("q"))
     sets = known.select("v", "t").join(long.select("v"), "v").groupBy("v").agg(F.collect_list("t").alias("p"))  # parts of one prefix
@@ -277,19 +280,26 @@ def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: i
     spread = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "v", "comp", "out").join(sets, "v")
 
-    def common(rows: pa.Table, name: str, left: np.ndarray, right: np.ndarray, below: int | None = None) -> np.ndarray:
-        """How many values of the list column ``name`` (less than ``below``) each two rows share."""
+    def lists(rows: pa.Table, name: str, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the list column ``name`` (less than ``below``), numbered, with the row of each."""
         column = rows.column(name).combine_chunks()
         values, doc = column.flatten().to_numpy(), np.repeat(np.arange(rows.num_rows), np.diff(column.offsets.to_numpy()))
         if below is not None:
             values, doc = values[values < below], doc[values < below]
-        flat = np.unique(values, return_inverse=True)[1]
-        same = np.zeros((len(left), len(right)), "float32")
-        for start in range(0, int(flat.max(initial=-1)) + 1, COLUMNS):
-            here = (flat >= start) & (flat < start + COLUMNS)
-            whole = np.zeros((rows.num_rows, COLUMNS), "float32")
-            whole[doc[here], flat[here] - start] = 1
-            same += whole[left] @ whole[right].T
+        return np.unique(values, return_inverse=True)[1], doc
+
+    def common(values: np.ndarray, doc: np.ndarray, rows: int, strip: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How many values the rows of a strip share with each row on the right: only the strip's values take up columns."""
+        own = np.unique(values[np.isin(doc, strip)])
+        place = np.full(int(values.max(initial=-1)) + 1, -1)
+        place[own] = np.arange(len(own))
+        column = place[values] if len(values) else values
+        same = np.zeros((len(strip), len(right)), "float32")
+        for start in range(0, len(own), COLUMNS):
+            here = (column >= start) & (column < start + COLUMNS)
+            whole = np.zeros((rows, COLUMNS), "float32")
+            whole[doc[here], column[here] - start] = 1
+            same += whole[strip] @ whole[right].T
         return same
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -301,22 +311,29 @@ def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: i
         place = np.unique(cuts, return_inverse=True)[1]
         left = np.flatnonzero((own == i) & (out if i == j else True))
         right = np.flatnonzero(own == j)
-        same = common(rows, "p", left, right)
-        first = common(rows, "q", left, right, t) == 0  # a pair belongs to the first of the long lists that hold both
-        nx, ny = n[left][:, None], n[right][None, :]
-        least = asked(
-            nx, ny, lift[left][:, None], lift[right][None, :], place[left][:, None] < place[right][None, :],
-            place[right][None, :] < place[left][:, None], percent, np.minimum, np.maximum, np.ceil, np.where,
-        )
-        fit = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
-        once = ~out[right][None, :] | (v[left][:, None] < v[right][None, :]) if i == j else True
-        r, c = np.nonzero((same >= least) & fit & first & once & (comp[left][:, None] != comp[right][None, :]))
-        if best and len(r):
-            order = np.lexsort((-same[r, c], r))
-            top = np.append(True, r[order][1:] != r[order][:-1])
-            r, c = r[order][top], c[order][top]
-        shared = same[r, c].astype("int64")
-        a, b = left[r], right[c]
+        prefixes, earlier = lists(rows, "p"), lists(rows, "q", t)
+        ends_a, ends_b, counts = [], [], []
+        for at in range(0, len(left), STRIP):
+            strip = left[at : at + STRIP]
+            same = common(*prefixes, rows.num_rows, strip, right)
+            first = common(*earlier, rows.num_rows, strip, right) == 0  # a pair belongs to the first of the long lists that hold both
+            nx, ny = n[strip][:, None], n[right][None, :]
+            least = asked(
+                nx, ny, lift[strip][:, None], lift[right][None, :], place[strip][:, None] < place[right][None, :],
+                place[right][None, :] < place[strip][:, None], percent, np.minimum, np.maximum, np.ceil, np.where,
+            )
+            fit = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+            once = ~out[right][None, :] | (v[strip][:, None] < v[right][None, :]) if i == j else True
+            r, c = np.nonzero((same >= least) & fit & first & once & (comp[strip][:, None] != comp[right][None, :]))
+            if best and len(r):
+                order = np.lexsort((-same[r, c], r))
+                starts = np.flatnonzero(np.append(True, r[order][1:] != r[order][:-1]))
+                near = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r)))) < PARTNERS
+                r, c = r[order][near], c[order][near]
+            ends_a.append(strip[r])
+            ends_b.append(right[c])
+            counts.append(same[r, c].astype("int64"))
+        a, b, shared = (np.concatenate(z) if z else np.zeros(0, "int64") for z in (ends_a, ends_b, counts))
         flip = v[a] > v[b]
         a, b = np.where(flip, b, a), np.where(flip, a, b)
         found = {"a": pa.array(v[a], pa.int64()), "b": pa.array(v[b], pa.int64()), "na": pa.array(n[a], pa.int32()), "nb": pa.array(n[b], pa.int32()), "c": pa.array(shared, pa.int64())}
