@@ -103,10 +103,10 @@ def pooled_points(df: DataFrame, columns: Sequence[str], points: int = POINTS, m
     driver, weighted by rows. NULL is left out. A column with few values shows all that make up more than ``1 / points`` of a sketch's rows.
     """
     probs = [i / points for i in range(points + 1)]
-    key = F.pmod(F.spark_partition_id(), F.lit(mergers))
-    values = [F.col(c).cast("double") for c in columns]
-    aggs = [F.percentile_approx(v, probs, ACCURACY).alias(f"v{i}") for i, v in enumerate(values)] + [F.count(v).alias(f"n{i}") for i, v in enumerate(values)]
-    found = df.select(*columns, key.alias("_m")).groupBy("_m").agg(F.count(F.lit(1)).alias("_n"), *aggs).collect()
+    key = F.pmod(F.spark_partition_id(), F.lit(mergers)).alias("key")
+    values = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]  # whatever the columns are called
+    aggs = [F.percentile_approx(f"c{i}", probs, ACCURACY).alias(f"v{i}") for i in range(len(values))] + [F.count(f"c{i}").alias(f"n{i}") for i in range(len(values))]
+    found = df.select(*values, key).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *aggs).collect()
     out = {}
     for i, c in enumerate(columns):
         parts = [(np.array(r[f"v{i}"]), r[f"n{i}"]) for r in found if r[f"n{i}"]]
@@ -117,7 +117,7 @@ def pooled_points(df: DataFrame, columns: Sequence[str], points: int = POINTS, m
         w = np.concatenate([np.full(len(p), n / len(p)) for p, n in parts])
         order = np.argsort(v, kind="stable")
         out[c] = _even(v[order], np.cumsum(w[order]))
-    return out, sum(r["_n"] for r in found)
+    return out, sum(r["rows"] for r in found)
 
 
 def _even(values: np.ndarray, upto: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from groupwise import lookup
 from groupwise.functions.hashing import hash_key
 from groupwise.operators import ranks as R
+from groupwise.operators.dual import dual_step, dual_update
 from groupwise.operators.splits import assign_folds, split_by_group
 
 
@@ -176,3 +177,26 @@ def test_folds_cover_all_rows_once(spark):
     got = assign_folds(skewed(spark, 1003), "k", 4).toPandas()
     assert sorted(got["fold"].unique()) == [0, 1, 2, 3]
     assert got.groupby(["y", "fold"]).size().groupby("y").agg(lambda s: s.max() - s.min()).max() <= 1
+
+
+@pytest.mark.parametrize("name", ["_m", "key", "c0", "v0", "_c", "cum__s"])
+def test_cuts_of_a_column_of_any_name(spark, name):
+    df = skewed(spark).withColumn("v", F.when(F.col("k") % 7 != 0, F.col("v")))
+    points, n = R.pooled_points(df.withColumnRenamed("v", name), [name, "y"])
+    want, _ = R.pooled_points(df, ["v", "y"])
+    assert n == 3000
+    assert points[name].tolist() == want["v"].tolist()
+    assert points["y"].tolist() == [0.0, 1.0]
+
+
+def test_projection_of_moved_weights(spark):
+    """Many vectors of two to six entries with ties: the table form against the vector form."""
+    state = spark.range(540).select(
+        (F.col("id") % 90).alias("vid"), F.floor(F.col("id") / 90).alias("g"), (F.col("id") * 31 % 17 / 17).alias("mu"), (F.col("id") * 7 % 5 / 5).alias("loss")
+    )
+    state = state.where(F.col("g") <= F.col("vid") % 5 + 1)
+    got = dual_step(state, "gradient_norm", lam=0.7, eta=0.5).toPandas()
+    assert len(got) == state.count()
+    for _, part in got.groupby("vid"):
+        want = dual_update(part["mu"].to_numpy(), part["loss"].to_numpy(), 0.7, 0.5, "gradient_norm")
+        assert np.allclose(part["mu_new"], want, atol=1e-12)
