@@ -12,7 +12,7 @@ documents whose prefix is shared by many get longer prefixes and must share more
 Links are only needed as far as they connect, so candidates come in two steps. First every document meets ``HUBS`` documents of
 similar size for each of its prefix shingles, which joins near copies of one text without pairing them all. Then documents that
 share prefix shingles across different components so far are paired, all of them: by a join where few are outside a shingle's largest
-component, by matrix products over blocks of documents elsewhere. Both steps count shared prefix shingles per pair, ask for as many as the lifts, the sizes and the ends
+component, by matrix products over blocks of documents elsewhere, once for lists of nearly the same documents. Both steps count shared prefix shingles per pair, ask for as many as the lifts, the sizes and the ends
 of the two prefixes imply, and verify on whole sets. The second step runs first with the best ``PARTNERS`` of each document only,
 again while that links many, so that the pairs of one large group are few when all are asked for once. Pairs verified before are not
 verified again. No link between different components is lost, so the components are exact, however many rounds were run.
@@ -175,7 +175,7 @@ def classes_of(docs: DataFrame, sketch: np.ndarray, id_col: str, text_col: str,
             tokens = shingle_set(data, hashes, n)
             if len(tokens):
                 lift, prefix, (f, h) = prefix_of(tokens, known.others(tokens), percent, max_lift)
-                yield (key, t, *set_digest(tokens), len(tokens), lift, {"f": f, "h": h}, prefix.view("int64").tolist())
+                yield (key, t, *set_digest(tokens), len(tokens), lift, {"f": f, "h": h}, prefix.view("int64"))
 
     schema = f"id {kind}, t bigint, d1 bigint, d2 bigint, n int, lift int, cut struct<f: double, h: bigint>, prefix array<bigint>"
     rows = map_rows(docs.select(F.col(id_col), F.xxhash64(text_of(text_col)), text_of(text_col).cast("binary")), run, schema)
@@ -234,14 +234,33 @@ def hub_pairs(postings: DataFrame, percent: int, hubs: int = HUBS) -> DataFrame:
     return met.select("v", F.col("y.v").alias("v_"))
 
 
-def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, seen: DataFrame, percent: int, best: bool) -> DataFrame:
+def families(heavy: DataFrame) -> DataFrame:
+    """``f, v, comp``: the lists ``t`` of ``heavy`` put together where they hold nearly the same documents, each document once.
+
+    A list goes to the family of the longest list of most of its documents. Where comparing a family's documents with each other takes
+    more than comparing those of its lists, the lists stay apart. Documents that share a list share a family in any case.
+    """
+    longest = F.max(F.struct("df", "t"))["t"].alias("f")
+    votes = heavy.groupBy("v").agg(longest, F.collect_list("t").alias("ts")).select("f", F.explode("ts").alias("t"))
+    votes = votes.groupBy("t", "f").agg(F.count(F.lit(1)).alias("c"))
+    chosen = votes.groupBy("t").agg(F.max_by("f", F.struct("c", "f")).alias("f"))
+    placed = heavy.select("t", "v", "comp", "df").join(chosen, "t")
+    # a row for each document of a list: its length, summed over them, is its square
+    costs = placed.groupBy("f").agg(F.count_distinct("v").alias("size"), F.sum("df").alias("apart"))
+    costs = costs.select("f", (F.col("size") * F.col("size") > F.col("apart")).alias("split"))
+    return placed.join(costs, "f").select(F.when(F.col("split"), F.col("t")).otherwise(F.col("f")).alias("f"), "v", "comp").distinct()
+
+
+def cross_pairs(
+    postings: DataFrame, prefixes: DataFrame, facts: DataFrame, comps: DataFrame, seen: DataFrame, percent: int, best: bool
+) -> DataFrame:
     """``a, b, na, nb``: all pairs in different components so far, and not in ``seen``, that share enough prefix shingles; with
     ``best`` only the ``PARTNERS`` that share most with each document. Written out.
 
     For each shingle its largest component is met by the documents of all others; two documents of one component never meet. Where
     at most ``LIGHT`` documents are outside the largest component this is a join, with at most ``LIGHT`` rows per posting. Longer
-    lists of documents that are alike but not linked are compared in blocks by matrix products, which emit only pairs that
-    share enough.
+    lists of documents that are alike but not linked are put together in families and compared in blocks by matrix products, which
+    emit only pairs that share enough.
     """
     known = settle(postings.join(comps, "v", "left").select("t", "v", "n", F.coalesce("comp", "v").alias("comp")))
     per = known.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -255,38 +274,43 @@ def cross_pairs(postings: DataFrame, facts: DataFrame, comps: DataFrame, seen: D
     # a light list gives each of its shared shingles; those of heavy lists are added to the count as if all were shared
     heavy = rows.where(~F.col("light"))
     extra = heavy.groupBy("v").agg(F.count(F.lit(1)).alias("h"))
-    pairs = enough(met, facts, percent, extra).unionByName(block_pairs(heavy, known, facts, percent, best))
+    members = settle(families(heavy))
+    pairs = enough(met, facts, percent, extra).unionByName(block_pairs(members, prefixes, facts, percent, best))
     pairs = pairs.join(seen, ["a", "b"], "left_anti")
     if best:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), "*")
         nearest = Window.partitionBy("v").orderBy(F.col("c").desc(), "a", "b")
         pairs = ends.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= PARTNERS).drop("v", "_n")
     out = settle(pairs.dropDuplicates(["a", "b"]))
-    release(known, rows)
+    release(known, rows, members)
     return out
 
 
-def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
-    """``a, b, na, nb, c`` of the pairs within the lists of ``heavy`` that share enough of all their repeated prefix shingles.
+def block_pairs(members: DataFrame, prefixes: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
+    """``a, b, na, nb, c`` of the pairs within the families of ``members`` that share enough of their prefix shingles ``p``.
 
-    A list is cut into blocks of about ``BLOCK`` documents, so that it is moved once unless it is longer; a task holds two blocks and compares them in
+    A family is cut into blocks of about ``BLOCK`` documents, so that it is moved once unless it is larger; a task holds two blocks and compares them in
     strips of ``STRIP`` documents.
     """
-    long = heavy.groupBy("v").agg(F.collect_list("t").alias("q"))
-    sets = known.select("v", "t").join(long.select("v"), "v").groupBy("v").agg(F.collect_list("t").alias("p"))  # parts of one prefix
-    sets = sets.join(long, "v").join(facts.select("v", F.struct("n", "lift", "cut").alias("x")), "v")
+    per = members.groupBy("f", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = per.groupBy("f").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("df"))
+    sets = prefixes.join(members.groupBy("v").agg(F.collect_list("f").alias("q")), "v")
+    sets = sets.join(facts.select("v", F.struct("n", "lift", "cut").alias("x")), "v")
     parts = F.ceil(F.col("df") / F.lit(BLOCK)).cast("int")
-    cut = heavy.select("t", "v", "comp", "out", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("v", "t"), F.col("parts")).cast("int"))
+    cut = members.join(sizes, "f").select("f", "v", "comp", (F.col("comp") != F.col("main")).alias("out"), parts.alias("parts"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("v", "f"), F.col("parts")).cast("int"))
     spread = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("t", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "v", "comp", "out").join(sets, "v")
+    spread = spread.select("f", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "v", "comp", "out").join(sets, "v")
 
     def lists(rows: pa.Table, name: str, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The values of the list column ``name`` (less than ``below``), numbered, with the row of each."""
+        """The values of the list column ``name`` (less than ``below``) that several rows have, numbered, with the row of each."""
         column = rows.column(name).combine_chunks()
         values, doc = column.flatten().to_numpy(), np.repeat(np.arange(rows.num_rows), np.diff(column.offsets.to_numpy()))
         if below is not None:
             values, doc = values[values < below], doc[values < below]
-        return np.unique(values, return_inverse=True)[1], doc
+        _, number, count = np.unique(values, return_inverse=True, return_counts=True)
+        several = count[number] > 1
+        return number[several], doc[several]
 
     def common(values: np.ndarray, doc: np.ndarray, rows: int, strip: np.ndarray, right: np.ndarray) -> np.ndarray:
         """How many values the rows of a strip share with each row on the right: only the strip's values take up columns."""
@@ -303,7 +327,7 @@ def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: i
         return same
 
     def compare(rows: pa.Table) -> pa.Table:
-        t, i, j = (rows.column(k)[0].as_py() for k in ("t", "i", "j"))
+        f, i, j = (rows.column(k)[0].as_py() for k in ("f", "i", "j"))
         own, v, comp, out = (rows.column(k).to_numpy() for k in ("own", "v", "comp", "out"))
         x = rows.column("x").to_pylist()
         n, lift = (np.array([r[k] for r in x]) for k in ("n", "lift"))
@@ -311,12 +335,12 @@ def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: i
         place = np.unique(cuts, return_inverse=True)[1]
         left = np.flatnonzero((own == i) & (out if i == j else True))
         right = np.flatnonzero(own == j)
-        prefixes, earlier = lists(rows, "p"), lists(rows, "q", t)
+        prefixes, earlier = lists(rows, "p"), lists(rows, "q", f)
         ends_a, ends_b, counts = [], [], []
         for at in range(0, len(left), STRIP):
             strip = left[at : at + STRIP]
             same = common(*prefixes, rows.num_rows, strip, right)
-            first = common(*earlier, rows.num_rows, strip, right) == 0  # a pair belongs to the first of the long lists that hold both
+            first = common(*earlier, rows.num_rows, strip, right) == 0  # a pair belongs to the first of the families that hold both
             nx, ny = n[strip][:, None], n[right][None, :]
             least = asked(
                 nx, ny, lift[strip][:, None], lift[right][None, :], place[strip][:, None] < place[right][None, :],
@@ -339,7 +363,7 @@ def block_pairs(heavy: DataFrame, known: DataFrame, facts: DataFrame, percent: i
         found = {"a": pa.array(v[a], pa.int64()), "b": pa.array(v[b], pa.int64()), "na": pa.array(n[a], pa.int32()), "nb": pa.array(n[b], pa.int32()), "c": pa.array(shared, pa.int64())}
         return pa.table(found)
 
-    return spread.groupBy("t", "i", "j").applyInArrow(compare, "a bigint, b bigint, na int, nb int, c bigint")
+    return spread.groupBy("f", "i", "j").applyInArrow(compare, "a bigint, b bigint, na int, nb int, c bigint")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -357,7 +381,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, t
         hashes = _WordHashes()
         for (data,) in batch:
             tokens = shingle_set(data, hashes, n)
-            yield (*set_digest(tokens), tokens.view("int64").tolist())
+            yield (*set_digest(tokens), tokens.view("int64"))
 
     sets = map_rows(rows, run, "d1 bigint, d2 bigint, tokens array<bigint>")
     sets = settle(sets.join(wanted.select("v", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["v"]).select("v", "tokens"))
@@ -379,13 +403,14 @@ def near_duplicates(
     postings = classes.select("v", "n", F.explode("prefix").alias("t"))
     shared = postings.groupBy("t").agg(F.min("v").alias("a"), F.max("v").alias("b")).where(F.col("a") != F.col("b")).select("t")
     postings = settle(postings.join(shared, "t"))
+    prefixes = settle(postings.groupBy("v").agg(F.collect_list("t").alias("p")))  # parts of them: what others have too
     facts = classes.select("v", "n", "lift", "cut")
     options = dict(docs=docs, classes=classes, id_col=id_col, text_col=text_col, n=n, percent=percent)
     seen = linked(settle(enough(hub_pairs(postings, percent), facts, percent)), **options)
     comps = settle(connected_components(seen.where("ok")))
     best, links = True, seen.where("ok").count()
     while True:
-        more = linked(cross_pairs(postings, facts, comps, seen.select("a", "b"), percent, best), **options)
+        more = linked(cross_pairs(postings, prefixes, facts, comps, seen.select("a", "b"), percent, best), **options)
         old, seen = seen, settle(seen.unionByName(more))
         gained = more.where("ok").count()
         if gained:
@@ -399,7 +424,7 @@ def near_duplicates(
 
     named = classes.select("v", "d1", "d2", "first_id", "first_t").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = settle(named)
-    release(classes, postings, seen, comps)
+    release(classes, postings, prefixes, seen, comps)
     place = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "d1", "d2", F.col("first_t").alias("t"))
     heads = named.groupBy("comp").agg(F.min(place).alias("head"))
     whole = named.join(heads, "comp").select("d1", "d2", "head")

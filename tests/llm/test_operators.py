@@ -388,3 +388,23 @@ def test_pipeline_stages(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() >= docs.count()
+
+
+def test_ngram_join_meets_the_documents_of_like_lists_once(spark):
+    """Forty lists of nearly the same documents are one family; lists with little in common stay apart; no shared list is lost."""
+    like = [(t, v) for t in range(40) for v in range(200) if (v * 7 + t) % 10]
+    apart = [(1000 + t, 10_000 + v) for t in range(6) for v in range(100 * t, 100 * t + 110)]
+    heavy = spark.createDataFrame([(t, v, v) for t, v in like + apart], "t bigint, v bigint, comp bigint")
+    heavy = heavy.join(heavy.groupBy("t").agg(F.count("*").alias("df")), "t")
+    rows = [tuple(r) for r in ngram_join.families(heavy).collect()]
+    assert len(rows) == len(set(rows))
+    assert all(v == comp for _, v, comp in rows)
+    family = {}
+    for f, v, _ in rows:
+        family.setdefault(f, set()).add(v)
+    lists = {}
+    for t, v in like + apart:
+        lists.setdefault(t, set()).add(v)
+    assert all(any(members <= x for x in family.values()) for members in lists.values())
+    assert sorted(len(x) for x in family.values() if min(x) < 10_000) == [200]  # 7,200 rows before
+    assert sum(len(x) ** 2 for x in family.values()) <= sum(len(x) ** 2 for x in lists.values())
