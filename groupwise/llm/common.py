@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..lookup import attach
 
+IN_ROWS = 500
 OUT_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +59,14 @@ def sampled_texts(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: s
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).join(F.broadcast(ids), id_col).select("text", by)
 
 
+def hand_back() -> None:
+    """Return what a task has freed to the system: Python workers stay for later tasks, and an executor's limit counts all of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` for a function from an iterator of row tuples to an iterator of row tuples."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -64,7 +74,8 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns])
+                for start in range(0, batch.num_rows, IN_ROWS):  # Python's copies of texts are made for a few rows at a time
+                    yield from zip(*[c.to_pylist() for c in batch.slice(start, IN_ROWS).columns])
 
         def pack(part: list[tuple]) -> pa.RecordBatch:
             columns = [pa.array(list(c), type=f.type) for c, f in zip(zip(*part), arrow)]
@@ -78,5 +89,6 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
                 part = []
         if part:
             yield pack(part)
+        hand_back()
 
     return df.mapInArrow(run, schema)

@@ -21,10 +21,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, sampled_texts
+from .common import hand_back, map_rows, sampled_texts
 
 SENTENCE = re.compile(r"[.!?\n]+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -203,8 +204,11 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     """The rows of ``docs`` below the threshold, with all their columns; the text is scored in place and nothing moves."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: shared.value.document(t)[0] < THRESHOLD)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        known = shared.value
+        kept = pa.array([known.document(t.as_py())[0] < THRESHOLD for t in texts], pa.bool_())
+        hand_back()
+        return kept
 
     return docs.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

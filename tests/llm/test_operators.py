@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
 from check import compare, duck  # noqa: E402
 
-from groupwise.llm import ann, chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, queries, secret_scan, toxicity  # noqa: E402
+from groupwise.llm import ann, chat, common, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, queries, secret_scan, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, source string, kept string, _row string, n bigint"
@@ -408,3 +408,18 @@ def test_ngram_join_meets_the_documents_of_like_lists_once(spark):
     assert all(any(members <= x for x in family.values()) for members in lists.values())
     assert sorted(len(x) for x in family.values() if min(x) < 10_000) == [200]  # 7,200 rows before
     assert sum(len(x) ** 2 for x in family.values()) <= sum(len(x) ** 2 for x in lists.values())
+
+
+def test_a_task_hands_its_memory_back():
+    """Texts freed between others that stay: their pages go back to the system."""
+
+    def held() -> float:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+
+    texts = [bytes(12_000) for _ in range(10_000)]
+    kept = texts[::50]
+    del texts
+    before = held()
+    common.hand_back()
+    assert len(kept) == 200
+    assert held() < before - 40
