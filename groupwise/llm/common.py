@@ -67,11 +67,24 @@ def hand_back() -> None:
         trim(0)
 
 
-def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` for a function from an iterator of row tuples to an iterator of row tuples."""
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(kind: str = "") -> dict:
+    """What tasks of one kind keep in a worker process for later ones; when a task of another kind starts, it goes back to the system."""
+    if kind not in _CACHES and _CACHES:
+        _CACHES.clear()
+        hand_back()
+    return _CACHES.setdefault(kind, {})
+
+
+def map_rows(df: DataFrame, fn, schema: str, kind: str = "") -> DataFrame:
+    """``mapInArrow`` for a function from an iterator of row tuples to an iterator of row tuples. ``kind``: of its :func:`worker_cache`."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(kind)
+
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for start in range(0, batch.num_rows, IN_ROWS):  # Python's copies of texts are made for a few rows at a time

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..lookup import attach
 from ..session import settle
-from .common import map_rows, text_of
+from .common import map_rows, text_of, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -110,16 +110,13 @@ class WordEncoder:
         return b"".join([get(w) or add(w) for w in words])
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def _encoder(content: str) -> WordEncoder:
     """One encoder per worker process, so that its word cache serves all tasks."""
-    key = zlib.crc32(content.encode())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(content)
-    return _ENCODERS[key]
+    key, held = zlib.crc32(content.encode()), worker_cache("packing")
+    if key not in held:
+        held.clear()
+        held[key] = WordEncoder(content)
+    return held[key]
 
 
 def token_pieces(
@@ -147,7 +144,7 @@ def token_pieces(
                 yield (*row, np.frombuffer(part, "<u4").astype("<i4").tolist()) if keep_ids else row
 
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return map_rows(docs.select(F.col(id_col), text_of(text_col)), cut, schema)
+    return map_rows(docs.select(F.col(id_col), text_of(text_col)), cut, schema, "packing")
 
 
 def plan_slots(counts: dict[int, int], limits: Limits, score: str = "norm", weights: tuple = (1.0, 1.0, 1.0)) -> pd.DataFrame:

@@ -18,14 +18,15 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hand_back, map_rows, sampled_texts
+from .common import hand_back, map_rows, sampled_texts, worker_cache
 
 SENTENCE = re.compile(r"[.!?\n]+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -38,7 +39,8 @@ RATE = 0.15
 RIDGE = 2e-5
 START_BIAS = -9.0
 LEAST_CHI = 20.0
-CACHE_WORDS = 300_000
+PIECE = 1 << 17
+CACHE_WORDS = 100_000
 THRESHOLD = 0.5
 
 
@@ -68,7 +70,7 @@ class _WordWeights(dict):
     def __missing__(self, word: str) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        value = self[word] = sum(self.weights.get(f, 0.0) for f in features_of(word))
+        value = self[word] = sum(self.weights.get(f, 0.0) for f in features_of(word)) or 0.0  # most words share this zero
         return value
 
     def __reduce__(self):
@@ -110,25 +112,28 @@ class ToxicityModel:
         return -math.expm1(total), found
 
 
-def fit(texts: list[str], labels: list[int], features: int = FEATURES, steps: int = STEPS) -> ToxicityModel:
-    """Noisy-or likelihood over the bags, by Adam steps with a ridge."""
+def fit(texts: Iterable[str], labels: list[int], features: int = FEATURES, steps: int = STEPS) -> ToxicityModel:
+    """Noisy-or likelihood over the bags, by Adam steps with a ridge. The texts are read once, one by one."""
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
         return ToxicityModel({}, -60.0)
     # words as numbers: the texts of the sample would take ten times their size as lists of words
     number: dict[str, int] = {}
-    words, ends, doc = array("i"), array("i"), array("i")
+    words, ends, doc, bounds = array("i"), array("i"), array("i"), array("i", [0])
     for d, t in enumerate(texts):
         for a, b in sentences_of(t):
             words.extend([number.setdefault(w, len(number)) for w in WORDS.findall(t[a:b].lower())])
             ends.append(len(words))
             doc.append(d)
-    words, doc = np.frombuffer(words, "int32"), np.array(doc, int)
-    sentence = np.repeat(np.arange(len(doc)), np.diff(np.array(ends), prepend=0))
+        bounds.append(len(words))
+    words, ends, doc = np.frombuffer(words, "int32"), np.frombuffer(ends, "int32"), np.array(doc, int)
     known: dict[str, int] = {}
-    parts = [[known.setdefault(f, len(known)) for f in features_of(w)] for w in number]
-    starts = np.cumsum([0] + [len(p) for p in parts])
-    flat = np.array([f for p in parts for f in p], int)
+    flat, starts = array("i"), array("i", [0])
+    for w in number:
+        flat.extend([known.setdefault(f, len(known)) for f in features_of(w)])
+        starts.append(len(flat))
+    del number
+    flat, starts = np.frombuffer(flat, "int32"), np.frombuffer(starts, "int32")
 
     def spread(word_ids: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features of each word, with the value beside it."""
@@ -137,7 +142,6 @@ def fit(texts: list[str], labels: list[int], features: int = FEATURES, steps: in
         return flat[np.repeat(starts[word_ids], sizes) + inside], np.repeat(beside, sizes)
 
     seen = np.zeros((2, len(known)), int)
-    bounds = np.searchsorted(doc[sentence] if len(words) else np.zeros(0, int), np.arange(len(texts) + 1))
     for d, label in enumerate(labels):
         own = np.unique(words[bounds[d] : bounds[d + 1]])
         seen[int(label == 1), np.unique(spread(own, own)[0])] += 1
@@ -156,11 +160,15 @@ def fit(texts: list[str], labels: list[int], features: int = FEATURES, steps: in
     names = [spelled[f] for f in chosen]
     at = np.full(len(known), -1)
     at[chosen] = np.arange(len(chosen))
-    told = np.zeros(len(parts), bool)  # words with a chosen feature
-    for w, p in enumerate(parts):
-        told[w] = any(at[f] >= 0 for f in p)
-    feat, sent = spread(words[told[words]], sentence[told[words]])
-    feat, sent = at[feat[at[feat] >= 0]], sent[at[feat] >= 0]
+    hits = np.append(0, np.cumsum(at[flat] >= 0))
+    told = hits[starts[1:]] > hits[starts[:-1]]  # words with a chosen feature
+    pieces = [(np.zeros(0, int), np.zeros(0, int))]
+    for start in range(0, len(words), PIECE):  # the features of all words at once would take many times what is kept of them
+        place = start + np.flatnonzero(told[words[start : start + PIECE]])
+        feat, sent = spread(words[place], np.searchsorted(ends, place, "right"))
+        pieces.append((at[feat[at[feat] >= 0]], sent[at[feat] >= 0]))
+    feat, sent = (np.concatenate(x) for x in zip(*pieces))
+    del pieces, words, ends, known, spelled, flat, starts, seen
     theta = np.append(np.zeros(len(names)), START_BIAS)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -180,9 +188,13 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
           per_class: int = PER_CLASS) -> ToxicityModel:
     """Learn from the rows of ``labelled`` (``id_col, label_col``), at most ``per_class`` documents of each label."""
     labels = labelled.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("label"))
-    rows = sampled_texts(docs, labels, id_col, text_col, "label", per_class).toArrow().to_pydict()
-    order = sorted(range(len(rows["text"])), key=lambda i: (rows["label"][i], rows["text"][i]))
-    return fit([rows["text"][i] for i in order], [rows["label"][i] for i in order])
+    rows = sampled_texts(docs, labels, id_col, text_col, "label", per_class).toArrow()
+    order = pc.sort_indices(rows, [("label", "ascending"), ("text", "ascending")]).to_pylist()
+    texts = rows["text"]
+    model = fit((texts[i].as_py() for i in order), [rows["label"][i].as_py() for i in order])
+    del rows, texts
+    hand_back()  # the driver has a limit too
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,6 +207,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         for doc, text in rows:
             p, found = known.document(text)
             yield doc, p, int(p >= THRESHOLD), [{"start": a, "end": b, "p": q} for a, b, q in found]
+        known.words.clear()  # workers keep broadcast values
 
     schema = f"`{id_col}` {kind}, score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
     return map_rows(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)
@@ -207,7 +220,9 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         known = shared.value
+        worker_cache()
         kept = pa.array([known.document(t.as_py())[0] < THRESHOLD for t in texts], pa.bool_())
+        known.words.clear()  # workers keep broadcast values
         hand_back()
         return kept
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -329,6 +330,25 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(["a"], [1]).document("a")[0] < 1e-9
 
 
+def test_toxicity_training_holds_little(spark):
+    """Texts are read one by one, and what training takes follows what it keeps of them: these took 68 MB, now 38."""
+    plain, rude = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j % 19)}" for j in range(i, i + 3000)) for i in range(800)], "vile. "
+    texts = [t if i % 2 else rude + t for i, t in enumerate(plain)]
+    tracemalloc.start()
+    model = toxicity.fit((t for t in texts), [1 - i % 2 for i in range(len(texts))], steps=2)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert "vile" in model.weights and most < 60, most
+
+
+def test_worker_caches_of_other_tasks_go():
+    own = common.worker_cache("packing")
+    own["x"] = 1
+    assert common.worker_cache("packing") is own and own == {"x": 1}
+    common.worker_cache()
+    assert common.worker_cache("packing") == {}
+
+
 def test_secret_base_spans_by_brute_force(spark, docs, empty):
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
     texts = ["token=ab Secret : 'abcdef' API_KEY=xxxxxxxx apikey:short", "AKIA" + "A1" * 8 + " AKIAAKIA" + "B" * 11, "x" + "0a" * 12 + "g" + "f" * 23, "", "passwordpassword=abcdefg"]
