@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +20,17 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return ";" if any(";" in line for line in first_lines(spark, path, 2)) else ","
 
 
-def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    """The first ``n`` lines of the file, of a folder those of its first file by name."""
-    files = spark.read.text(path).inputFiles()
-    return [row[0] for row in spark.read.text(unquote(min(files))).limit(n).collect()] if files else []
+def first_lines(spark: SparkSession, path: str, n: int, least: int = 1) -> list[str]:
+    """The first ``n`` lines of the file, of a folder those of its first file by name with ``least`` lines; nothing if none has them.
+
+    Files without a byte, as a task without rows leaves them, are told by their size in one job that opens no file.
+    """
+    sizes = spark.read.format("binaryFile").load(path).where("length > 0")
+    for file in sorted(row[0] for row in sizes.select("path").collect()):
+        lines = [row[0] for row in spark.read.text(file).limit(n).collect()]
+        if len(lines) >= least:
+            return lines
+    return []
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> list[str]:
@@ -90,10 +96,12 @@ def _read_skipping(spark: SparkSession, path: str, spec: TableSpec, sep: str, sk
     """The header is the line after ``skip`` lines of the file; these lines are dropped by their place, whatever they say.
 
     Lines are counted only in the first block of a file, in the order the scan gives them, so files stay splittable. Every file of a
-    folder starts with ``skip`` lines and a header.
+    folder starts with ``skip`` lines and a header, or is empty.
     """
-    header = first_lines(spark, path, skip + 1)[skip]
-    columns = [c.strip().strip('"') for c in header.split(sep)]
+    lead = first_lines(spark, path, skip + 1, skip + 1)
+    if not lead:
+        raise ValueError(f"no header after {skip} lines in {path}")
+    columns = [c.strip().strip('"') for c in lead[skip].split(sep)]
     schema = spec.schema(columns)
 
     def below_header(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupwise.operators.metrics import group_stats, rates
+from groupwise.plans import load
 from groupwise.plans.bindings import scored_events
 from groupwise.sources import readers as R
 from groupwise.sources import writers as W
@@ -63,6 +64,45 @@ def test_rows_equal_to_the_junk_or_header_line_stay(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
 
 
+def test_the_header_is_in_the_first_file_that_is_not_empty(spark, tmp_path):
+    d = tmp_path / "a b%20c"
+    d.mkdir()
+    for name, text in (("a", ""), ("b", ""), ("c", "j;j\n"), ("d e", "j;j\nid;c;v;y\n1;a;2.5;0\n"), ("f", ""), ("g", "j;j\nid;c;v;y\n2;b;1.5;1\n")):
+        (d / f"{name}.csv").write_text(text)
+    assert R.first_lines(spark, str(d), 2) == ["j;j"]
+    assert R.sniff_delimiter(spark, str(d)) == ";"
+    for sep in (";", None):
+        assert rows(R.read_table(spark, str(d), SPEC, sep=sep, skip_lines=1)) == [(1, "a", 2.5, 0), (2, "b", 1.5, 1)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.csv").write_text("")
+    assert R.first_lines(spark, str(tmp_path / "none"), 2) == []
+    with pytest.raises(ValueError, match="no header after 1 lines"):
+        R.read_table(spark, str(tmp_path / "none"), SPEC, skip_lines=1)
+
+
+def test_a_junk_first_line_when_tasks_have_no_rows(spark, tmp_path):
+    """A row group belongs to the split with its middle, so the first split of a table in one row group has no rows."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    orders = spark.range(5000).selectExpr(
+        "id as o_orderkey", "if(id % 7 = 0, null, id * 31 % 997) as o_custkey", "substr('FOP', 1 + cast(id % 3 as int), 1) as o_orderstatus",
+        "id / 4 as o_totalprice", "concat(id % 5, '-P, \"', id % 11, '\"') as o_orderpriority",
+    )
+    orders.coalesce(1).write.parquet(str(tmp_path / "some" / "orders.parquet"))
+    orders.limit(0).coalesce(1).write.parquet(str(tmp_path / "none" / "orders.parquet"))
+    size = max(f.stat().st_size for f in (tmp_path / "some" / "orders.parquet").glob("*.parquet"))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 5))
+    try:
+        tasks = spark.read.parquet(str(tmp_path / "some" / "orders.parquet")).rdd.glom().map(len).collect()
+        assert tasks[0] == 0 and sum(tasks) == 5000
+        got = load()[0]["source_csv_junk_first_line"](spark, str(tmp_path / "some"))
+        assert rows(got.select(*columns).na.fill(-1)) == rows(orders.na.fill(-1))
+        got = load()[0]["source_csv_junk_first_line"](spark, str(tmp_path / "none"))
+        assert got.columns == columns and rows(got) == []
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_whitespace(spark, tmp_path):
     (tmp_path / "a.txt").write_text("  1   a  2.5 0\n\n2 b 1.5   1  \n")
     got = R.read_table(spark, str(tmp_path / "a.txt"), SPEC, names=["id", "c", "v", "y"], sep_regex=r"\s+")
